@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from loomquery.llm.language_id import op2_language_id
+from loomquery.llm.quality_classifier import op8_quality_classifier
+from loomquery.llm.quality_rules import op4_quality_rules
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op4_quality_rules": op4_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
