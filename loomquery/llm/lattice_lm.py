@@ -181,7 +181,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     return arrow_map(df.select(F.col(text).alias("t")), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit(counts: DataFrame, n_docs: int, pieces: list[bytes], rounds: int = 3, add: float = 0.1) -> Lattice:
+def fit(counts: DataFrame, n_docs: int, pieces: list[bytes], rounds: int = 4, add: float = 0.1) -> Lattice:
     """Expectation maximisation over all (word, c); the driver gets one sum for each piece."""
     sc = counts.sparkSession.sparkContext
     lattice = Lattice(pieces, np.full(len(pieces) + 1, -np.log(len(pieces) + 1.0)))
@@ -204,7 +204,7 @@ def fit(counts: DataFrame, n_docs: int, pieces: list[bytes], rounds: int = 3, ad
     return lattice
 
 
-def score(df: DataFrame, train: Column, pieces: list[bytes], text: str = "text", keep: tuple[str, ...] = ("doc_id",), rounds: int = 3, common: int = 50_000) -> DataFrame:
+def score(df: DataFrame, train: Column, pieces: list[bytes], text: str = "text", keep: tuple[str, ...] = ("doc_id",), rounds: int = 4, common: int = 50_000) -> DataFrame:
     """``keep``, n_tokens, n_known, train_tokens, base_score and score of every row of ``df``.
 
     Words with more than 1/common of all tokens (fewer than ``common``, so a
