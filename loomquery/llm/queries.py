@@ -5,6 +5,7 @@ from __future__ import annotations
 from loomquery.llm.decontamination import op5_decontamination
 from loomquery.llm.language_id import op2_language_id
 from loomquery.llm.lattice_lm import op1_lattice_lm
+from loomquery.llm.mixing import OP6_SQL, op6_mixing
 from loomquery.llm.quality_classifier import op8_quality_classifier
 from loomquery.llm.quality_rules import op4_quality_rules
 
@@ -13,6 +14,9 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
+    "op6_mixing": op6_mixing,
     "op8_quality_classifier": op8_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": OP6_SQL,
+}
