@@ -10,10 +10,12 @@ from loomquery.llm.mixing import OP6_SQL, op6_mixing
 from loomquery.llm.quality_classifier import op8_quality_classifier
 from loomquery.llm.quality_rules import op4_quality_rules
 from loomquery.llm.suffix_dedup import op10_suffix_dedup
+from loomquery.llm.token_output import op3_token_output
 
 QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_language_id": op2_language_id,
+    "op3_token_output": op3_token_output,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
