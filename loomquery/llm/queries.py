@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from loomquery.llm.corpus_pii import op7_corpus_pii
 from loomquery.llm.decontamination import op5_decontamination
 from loomquery.llm.jaccard_join import op9_jaccard_join
 from loomquery.llm.language_id import op2_language_id
@@ -19,10 +21,14 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
+    "op7_corpus_pii": op7_corpus_pii,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": OP6_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
