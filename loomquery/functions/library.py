@@ -196,6 +196,8 @@ def cast(x: str, name: str, args: list[str], kind: Kind, safe: bool = False, ele
     up = name.upper()
     if up == "ARRAY":
         inner = spark_type(element or "VARCHAR", [])
+        if x.upper() == "NULL":
+            return f"CAST(NULL AS ARRAY<{inner}>)"
         return f"transform(filter({x}, e -> e IS NOT NULL), e -> {verb}(e AS {inner}))"
     to = spark_type(up, args)
     if to == "BIGINT" and kind(x) == "timestamp":
