@@ -117,7 +117,9 @@ class Items:
         out = []
         for i, _, t in K.slices(column):
             pairs = self.candidates(t)
-            cut = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1)) if len(pairs) else []
+            if not len(pairs):
+                continue
+            cut = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
             for lo, hi in zip(cut, [*cut[1:], len(pairs)], strict=True):
                 d = int(pairs[lo, 0])
                 have = five_words(t.buf[t.ptr[d] : t.ptr[d + 1]].tobytes())
