@@ -133,7 +133,7 @@ def shingles(word_hash: np.ndarray, wptr: np.ndarray, width: int = 5) -> tuple[n
     n = len(word_hash)
     counts = np.diff(wptr)
     acc = np.zeros(n, np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         part = word_hash[k:] * U((2 * k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         acc[: n - k] += part ^ (part >> U(31))
     keep = np.zeros(n, bool)

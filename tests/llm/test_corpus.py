@@ -1,0 +1,291 @@
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from loomquery.llm import decontamination, jaccard_join, language_id, mixing, queries, suffix_dedup, token_output
+from loomquery.llm.bwt import repeated_starts
+from loomquery.llm.components import components
+from loomquery.llm.range_coder import CorruptBlock, decode_blocks, encode_blocks
+
+WORDS = [f"w{i}" for i in range(400)]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def corpus(seed=1):
+    """Unrelated, exact and near copies, shared passages, odd rows."""
+    rng = random.Random(seed)
+    texts = [prose(rng, rng.randint(1, 120)) for _ in range(120)]
+    for i in range(12):
+        base = prose(rng, 80)
+        texts += [base] * (1 + i % 3)
+        for _ in range(i % 5):
+            w = base.split()
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(80)] = rng.choice(WORDS)
+            texts.append(" ".join(w))
+    passage = prose(rng, 60)
+    texts += [f"{prose(rng, 20)} {passage} {prose(rng, 20)}" for _ in range(9)] + [None, "", " \n", "one two", "one two", "x" * 5000, "é字" * 200, "é字" * 150]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    return rows + [rows[3], (None, "a null id and a short text"), (None, "a null id and a short text")]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "src1", 0) for i, t in rows], SCHEMA)
+
+
+# containment
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(3)
+    items = [(i, prose(rng, rng.randint(5, 40))) for i in range(30)] + [(40, "too few words"), (41, None), (42, "")]
+    docs = []
+    for i in range(80):
+        w = prose(rng, rng.choice([3, 50, 3000])).split()
+        if i % 3 == 0:
+            q = items[i % 30][1].split()
+            for _ in range(rng.randint(0, 2)):
+                q[rng.randrange(len(q))] = "changed"
+            at = rng.randrange(len(w))
+            w[at:at] = [x.upper() for x in q]
+        docs.append((i, ", ".join(w)))
+    df, its = frame(spark, docs + [(99, None), (98, "")]), spark.createDataFrame(items, "item_id long, text string")
+    expect = set()
+    for d, t in docs:
+        have = decontamination.five_words(t)
+        for i, q in items:
+            want = decontamination.five_words(q)
+            if want and len(want & have) >= 0.8 * len(want):
+                expect.add((i, d))
+    for block in (16 << 20, 200):
+        assert {(r.item_id, r.doc_id) for r in decontamination.matches(df, its, block_bytes=block).collect()} == expect and expect
+    kept = {r.doc_id for r in decontamination.decontaminate(df, its, block_bytes=500).collect()}
+    assert kept == {i for i, _ in docs} | {98, 99} - {d for _, d in expect} or kept == ({i for i, _ in docs} | {98, 99}) - {d for _, d in expect}
+    assert decontamination.matches(df, its.limit(0)).count() == 0 and decontamination.matches(df.limit(0), its).count() == 0
+
+
+# mixing
+def test_mixing_equals_its_sql(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, rng.randint(0, 60)) if i % 50 else None, rng.choice(["en", "en", "fr", None]), f"src{rng.choice([0, 0, 0, 1, 2, 7, 11])}" if i % 40 else None, 0) for i in range(1500)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    other = con.sql(mixing.OP6_SQL)
+    got = mixing.op6_mixing(spark, str(tmp_path))
+    assert got.columns == other.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, other.fetchall()))
+    plan = got._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
+
+
+def test_shares_fill_siblings_first(spark):
+    rows = [(1, "a " * 10, "en", "src0", 0), (2, "a " * 1000, "en", "src4", 0), (3, "a " * 1000, "fr", "src0", 0)]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA), F.lit("d"), {"lang": {"en": 1, "fr": 1}}, percent=50, max_epochs=1)
+    share = {(r.lang, r.source): r.mix_copies for r in out.collect()}
+    assert share == {("en", "src0"): 1}  # 502 tokens each for en and fr: no whole document of 1000 fits
+    docs = [(i, "a b", "en", "src0", 0) for i in range(10)] + [(i, "a b", "en", "src4", 0) for i in range(10, 500)] + [(i, "a b", "fr", "src0", 0) for i in range(500, 1000)]
+    out = mixing.mix(spark.createDataFrame(docs, SCHEMA), F.lit("d"), {"lang": {"en": 1, "fr": 1}}, percent=50, max_epochs=1)
+    n = Counter((r.lang, r.source) for r in out.collect())
+    assert n == {("en", "src0"): 10, ("en", "src4"): 240, ("fr", "src0"): 250}
+    assert mixing.mix(spark.createDataFrame([], SCHEMA), F.lit("d"), {}).count() == 0
+
+
+# Jaccard join
+def brute_classes(rows, threshold=0.8):
+    def sets(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    s = [sets(t) for _, t in rows]
+    links, parent = [0] * len(rows), list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if s[i] and s[j] and len(s[i] & s[j]) >= threshold * len(s[i] | s[j]):
+                links[i] += 1
+                links[j] += 1
+                parent[root(i)] = root(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(root(i), []).append(i)
+    out = []
+    for g in groups.values():
+        least = min((rows[i][0] for i in g if rows[i][0] is not None), default=None)
+        out += [(rows[i][0], least, links[i]) for i in g]
+    return out
+
+
+@pytest.mark.parametrize("limit", [2000, 4])
+def test_jaccard_join_against_brute_force(spark, tmp_path, limit):
+    rows = corpus()
+    frame(spark, rows).coalesce(3).write.parquet(str(tmp_path / "d"))
+    docs = jaccard_join.numbered(spark.read.parquet(str(tmp_path / "d")))
+    got = jaccard_join.classes(docs, limit=limit).collect()
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, ((r.doc_id, r.class_id, r.n_links) for r in got))) == sorted(map(key, brute_classes(rows)))
+    kept = jaccard_join.deduplicate(spark.read.parquet(str(tmp_path / "d")))
+    assert kept.count() == sum(r.first for r in got) and kept.columns == docs.columns[:-1]
+    none = [i for i, t in rows if not (t or "").strip()]
+    assert set(none) <= {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_jaccard_join_of_nothing(spark):
+    empty = jaccard_join.numbered(frame(spark, []))
+    assert jaccard_join.classes(empty).count() == 0
+
+
+def test_runs_reach_the_recall():
+    assert jaccard_join.runs_for(0.8, 2, 1, 0.99) == 2 and jaccard_join.runs_for(0.8, 2, 3, 0.9999) >= 4
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)]
+    parent = {v: v for e in edges for v in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = components(spark.createDataFrame(edges, "a long, b long"))
+    assert {(r.v, r.c) for r in got.collect()} == {(v, root(v)) for v in parent}
+
+
+# substrings
+def test_interval_expansion_against_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        n, a, k = int(rng.integers(2, 300)), int(rng.integers(1, 5)), int(rng.integers(1, 12))
+        x = rng.integers(0, a, n)
+        if rng.random() < 0.5:
+            x = np.concatenate([x, [7], x[: n // 2], [8], x[n // 3 :]])
+        places = {}
+        for i in range(len(x) - k + 1):
+            places.setdefault(tuple(x[i : i + k]), []).append(i)
+        truth = np.zeros(max(len(x) - k + 1, 0), bool)
+        for p in places.values():
+            truth[p] = len(p) > 1
+        assert (repeated_starts(x, k)[: len(truth)] == truth).all()
+
+
+def test_substring_dedup_against_brute_force(spark, tmp_path):
+    rng = random.Random(9)
+    rows = corpus(2)
+    long = "".join(rng.choice("abc ") for _ in range(700))
+    rows += [(900, long), (901, "q" + long[100:330] + "r"), (902, long[:199]), (903, long[500:] + long[:300]), (904, "z" * 900), (905, "z" * 200), (906, "yes" + "z" * 199)]
+    frame(spark, rows).coalesce(3).write.parquet(str(tmp_path / "documents.parquet"))
+    raw = [(t or "").encode() for _, t in rows]
+    count = Counter(r[i : i + 200] for r in raw for i in range(len(r) - 199))
+    expect = []
+    for (i, _), r in zip(rows, raw, strict=True):
+        gone = np.zeros(len(r), bool)
+        for p in range(len(r) - 199):
+            if count[r[p : p + 200]] > 1:
+                gone[p : p + 200] = True
+        runs = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        expect.append((i, len(r), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(r, np.uint8)[~gone].tobytes()).hexdigest()))
+    got = suffix_dedup.op10_suffix_dedup(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expect))
+    assert suffix_dedup.deduplicate(frame(spark, [])).count() == 0
+
+
+# token files
+def test_range_coder_round_trips():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 63, 64, 65, 5000, 70_000):
+        for a in (1, 3, 300, 49_000):
+            x = rng.integers(0, a, n)
+            assert (decode_blocks(encode_blocks(x)) == x).all()
+    x = np.tile(rng.integers(0, 50_000, 3000), 30)
+    blocks = encode_blocks(x)
+    assert (decode_blocks(blocks) == x).all() and sum(map(len, blocks)) * 8 < 6 * len(x)
+    p = 1 / np.arange(1, 1001)
+    y = rng.choice(1000, 200_000, p=p / p.sum())
+    assert sum(map(len, encode_blocks(y))) * 8 / len(y) < -(p / p.sum() * np.log2(p / p.sum())).sum() + 0.8
+    assert (decode_blocks([blocks[1]]) == x[65536:131072]).all()  # each block on its own
+    broken = bytearray(blocks[0])
+    broken[5000] ^= 1
+    with pytest.raises(CorruptBlock):
+        decode_blocks([bytes(broken)])
+
+
+def test_token_files_hold_the_tokenizers_ids(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    rnd = random.Random(1)
+    odd = ["".join(rnd.choice("abAB'sS.,!?é Éß 12́\x0b\x1c\xa0　字Σς\n\tİ<|>/re") for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    rows = corpus()[:60] + [(500 + i, t) for i, t in enumerate(odd)] + [(7, "again"), (7, "again"), (None, "no id"), (900, "<|endoftext|> it's WE'LL"), (901, None)]
+    got = token_output.encode(frame(spark, rows), path).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert len(got) == len(rows)
+    truth = Counter()
+    for i, t in order:
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        truth[i, len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == truth
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert token_output.encode(frame(spark, []), path).count() == 0
+
+
+# pipeline
+def test_pipeline_against_brute_force(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    item = prose(rng, 30)
+    rows = [r for r in corpus(4) if r[0] is not None] + [(700, f"{prose(rng, 50)} {item} {prose(rng, 50)}"), (701, "123 456")]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    frame(spark, rows).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    kept = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+    first = {}
+    for i, c, _ in sorted(brute_classes(kept)):
+        first.setdefault(c, i)
+    left = {i: t for i, t in kept if i in first.values() and i != 700}
+    assert set(got) <= set(left)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 'en', 'src1')", [(i, t) for i, t in left.items()])
+    sql = mixing.OP6_SQL.replace("* 80 //", "* 90 //").replace("2 * sum(n)::BIGINT AS cap", "sum(n)::BIGINT AS cap")
+    assert set(got) == {r[0] for r in con.sql(sql).fetchall()}
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for i, (n, crc) in got.items():
+        ids = np.array(tok.encode(left[i], add_special_tokens=False).ids + [2], "<u4")
+        assert (n, crc) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_registry():
+    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.QUERIES if k.startswith("op")} and "pipeline" in queries.QUERIES
+    assert len(corpus_pipeline.STAGES) == 5 and language_id.UNKNOWN == "und" and os.path.exists(corpus_pipeline.__file__)
