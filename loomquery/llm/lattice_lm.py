@@ -15,19 +15,18 @@ and V are 0 and the pieces have equal weights.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
+from loomquery.llm import textkernel as K
 from loomquery.llm.shared import arrow_map, checkpoint, crc_mod, docs_of, parts
 
 LN10 = float(np.log(10))
@@ -60,27 +59,33 @@ class Lattice:
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.pieces))
-        size = np.array([len(p) for p in self.pieces])
-        flat = np.zeros((len(self.pieces), self.longest), np.uint64)
-        for i, p in enumerate(self.pieces):
+        number = {p: i for i, p in enumerate(self.pieces)}
+        for p in self.pieces:  # prefixes that are no piece: a search may go on behind them
+            for k in range(1, len(p)):
+                number.setdefault(p[:k], -1)
+        keys = sorted(number)
+        size = np.array([len(p) for p in keys])
+        flat = np.zeros((len(keys), self.longest), np.uint64)
+        for i, p in enumerate(keys):
             flat[i, : len(p)] = np.frombuffer(p, np.uint8) + np.uint64(1)
-        h = np.zeros(len(self.pieces), np.uint64)
+        h = np.zeros(len(keys), np.uint64)
         for k in range(self.longest):
             h = np.where(k < size, self._step(h, flat[:, k]), h)
         if len(np.unique(h)) < len(h):
             raise ValueError("two pieces have one hash")
-        bits = int(np.ceil(np.log2(len(h)))) + 4
+        bits = int(np.ceil(np.log2(len(h)))) + 3
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.zeros(1 << bits, np.uint64)
-        self.ids = np.full(1 << bits, -1, np.int32)
+        self.ids = np.full(1 << bits, -3, np.int32)  # -1: a prefix alone; -2: neither; -3: an empty place
+        value = np.array([number[k] for k in keys], np.int32)
         at = (h >> self.shift).astype(np.int64)
         left = np.arange(len(h))
         self.probes = 0
         while len(left):  # linear probing, all at once
             self.probes += 1
-            free = left[self.ids[at[left]] < 0]
+            free = left[self.ids[at[left]] == -3]
             free = free[np.unique(at[free], return_index=True)[1]]
-            self.keys[at[free]], self.ids[at[free]] = h[free], free
+            self.keys[at[free]], self.ids[at[free]] = h[free], value[free]
             left = np.setdiff1d(left, free)
             at[left] = at[left] + 1 & self.mask
 
@@ -90,32 +95,39 @@ class Lattice:
         return h ^ (h >> np.uint64(29))
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece numbers of hashes, -1 where there is none."""
+        """Piece numbers of hashes; -1 for the prefix of a piece, -2 for anything else."""
         at = (h >> self.shift).astype(np.int64)
-        out = np.full(len(h), -1, np.int32)
-        left = np.arange(len(h))
+        here = self.ids[at]
+        out = np.where(self.keys[at] == h, here, -2)
+        out[here == -3] = -2
+        left = np.flatnonzero((out == -2) & (here != -3))
         for _ in range(self.probes):
-            here = self.ids[at[left]]
-            hit = (self.keys[at[left]] == h[left]) & (here >= 0)
-            out[left[hit]] = here[hit]
-            left = left[~hit & (here >= 0)]
             if not len(left):
                 break
             at[left] = at[left] + 1 & self.mask
+            here = self.ids[at[left]]
+            hit = (self.keys[at[left]] == h[left]) & (here != -3)
+            out[left[hit]] = here[hit]
+            left = left[~hit & (here != -3)]
         return out
 
     def edges(self, m: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(from, to, rows, pieces) of a matrix of equally long byte strings."""
         n, width = m.shape
+        columns = np.ascontiguousarray(m.T) + np.uint64(1)
         out = []
         for i in range(width):
-            h = np.zeros(n, np.uint64)
+            h, rows = np.zeros(n, np.uint64), np.arange(n)
             for j in range(i, min(width, i + self.longest)):
-                h = self._step(h, m[:, j] + np.uint64(1))
+                h = self._step(h, columns[j][rows] if len(rows) < n else columns[j])
                 ids = self.find(h)
-                rows = np.flatnonzero(ids >= 0)
-                if len(rows):
-                    out.append((i, j + 1, rows, ids[rows]))
+                hit = np.flatnonzero(ids >= 0)
+                if len(hit):
+                    out.append((i, j + 1, rows[hit], ids[hit]))
+                on = np.flatnonzero(ids > -2)
+                if not len(on):
+                    break
+                h, rows = h[on], rows[on]
         return out
 
     def forward(self, n: int, width: int, edges: list) -> np.ndarray:
@@ -133,7 +145,7 @@ class Lattice:
         return b
 
     @staticmethod
-    def groups(words: list[bytes], most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def groups(words: list[bytes], most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions, byte matrix) of equally long words, a bounded number of bytes at a time."""
         size = np.array([len(w) for w in words])
         order = np.argsort(size, kind="stable")
@@ -155,10 +167,23 @@ class Lattice:
     def expected(self, words: list[bytes], weight: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, words counting ``weight`` times."""
         out = np.zeros(len(self.log_p))
+        p = np.exp(self.log_p)
         for rows, m in self.groups(words):
             edges = self.edges(m)
-            a, b = self.forward(len(m), m.shape[1], edges), self.backward(len(m), m.shape[1], edges)
             w = weight[rows]
+            n, width = m.shape
+            if width <= 32:  # short words can't underflow: plain sums of products
+                a, b = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+                a[0] = b[width] = 1
+                for i, j, r, ids in sorted(edges, key=lambda e: (e[1], e[0])):
+                    a[j, r] += a[i, r] * p[ids]
+                for i, j, r, ids in sorted(edges, key=lambda e: (-e[0], e[1])):
+                    b[i, r] += b[j, r] * p[ids]
+                w = w / a[-1]
+                for i, j, r, ids in edges:
+                    np.add.at(out, ids, w[r] * a[i, r] * p[ids] * b[j, r])
+                continue
+            a, b = self.forward(n, width, edges), self.backward(n, width, edges)
             for i, j, r, ids in edges:
                 out += np.bincount(ids, w[r] * np.exp(a[i, r] + self.log_p[ids] + b[j, r] - a[-1, r]), len(out))
         return out
@@ -169,24 +194,36 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """(word, c) over all rows; counted in each task's batch before the shuffle."""
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """64-bit keys of words, as the text kernel gives them; equal keys of two words are detected where the table is used."""
+    ptr = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    return K.Text(np.frombuffer(b"".join(words), np.uint8), ptr).hashes(ptr[:-1], ptr[1:])
+
+
+def word_counts(df: DataFrame, text: str, train: str) -> DataFrame:
+    """(word, c) of all rows' words: c counts the training rows' uses. Each task's batch counts before the shuffle."""
 
     def run(b: pa.RecordBatch):
         c: Counter = Counter()
-        for t in b.column(0).to_pylist():
-            c.update(tokens(t))
-        yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], ["word", "c"])
+        other: set[bytes] = set()
+        for t, learn in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if learn:
+                c.update(tokens(t))
+            else:
+                other.update(tokens(t))
+        other -= c.keys()
+        yield pa.RecordBatch.from_arrays([pa.array([*c, *other], pa.binary()), pa.array([*c.values(), *[0] * len(other)], pa.int64())], ["word", "c"])
 
-    return arrow_map(df.select(F.col(text).alias("t")), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return arrow_map(df.select(F.col(text).alias("t"), F.col(train).alias("l")), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit(counts: DataFrame, n_docs: int, pieces: list[bytes], rounds: int = 4, add: float = 0.1) -> Lattice:
+def fit(counts: DataFrame, n_docs: int, pieces: list[bytes], rounds: int = 3, add: float = 0.1) -> Lattice:
     """Expectation maximisation over all (word, c); the driver gets one sum for each piece."""
     sc = counts.sparkSession.sparkContext
     lattice = Lattice(pieces, np.full(len(pieces) + 1, -np.log(len(pieces) + 1.0)))
     size = np.array([len(p) for p in pieces])
     lattice.log_p[:-1] = -1.5 * size - 2  # a first guess that prefers no length
+    counts = counts.filter("c > 0")
     for _ in range(rounds):
         sent = sc.broadcast(lattice)
 
@@ -204,7 +241,7 @@ def fit(counts: DataFrame, n_docs: int, pieces: list[bytes], rounds: int = 4, ad
     return lattice
 
 
-def score(df: DataFrame, train: Column, pieces: list[bytes], text: str = "text", keep: tuple[str, ...] = ("doc_id",), rounds: int = 4, common: int = 50_000) -> DataFrame:
+def score(df: DataFrame, train: Column, pieces: list[bytes], text: str = "text", keep: tuple[str, ...] = ("doc_id",), rounds: int = 3, common: int = 50_000) -> DataFrame:
     """``keep``, n_tokens, n_known, train_tokens, base_score and score of every row of ``df``.
 
     Words with more than 1/common of all tokens (fewer than ``common``, so a
@@ -214,72 +251,62 @@ def score(df: DataFrame, train: Column, pieces: list[bytes], text: str = "text",
     """
     spark, sc = df.sparkSession, df.sparkSession.sparkContext
     df = df.select(*keep, F.col(text).alias("_text"), train.alias("_train"), F.monotonically_increasing_id().alias("_row"))
-    counts = checkpoint(word_counts(df.filter("_train"), "_text"))
+    counts = checkpoint(word_counts(df, "_text", "_train"))
     n_docs = df.filter("_train").count()
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    total = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] + n_docs, total["v"] + (n_docs > 0)
     model = fit(counts, n_docs, pieces, rounds)
     lattice = sc.broadcast(model)
-    unit = n + 0.1 * (v + 1)
-    if not n:
-        unit = 1.0
-    hot_rows = counts.filter(F.col("c") > n / common).collect()
-    hot_words = [bytes(r["word"]) for r in hot_rows]
-    hot_c = np.array([r["c"] for r in hot_rows], float)
-    hot_lp = model.log_prob(hot_words) / LN10 if hot_words else np.zeros(0)
-    hot = sc.broadcast({w: i for i, w in enumerate(hot_words)})
-    values = sc.broadcast((hot_c, np.log10((hot_c + 0.1) / unit), hot_lp))
+    unit = n + 0.1 * (v + 1) if n else 1.0
+    rare = F.col("c") <= n / common
+    hot = counts.filter(~rare).toPandas()
+    words = [bytes(w) for w in hot["word"]]
+    order = np.argsort(key := word_keys(words))
+    c = hot["c"].to_numpy(float)[order]
+    frequent = sc.broadcast((key[order], c, np.log10((c + 0.1) / unit), (model.log_prob(words) / LN10)[order]))
     end = (float(np.log10((n_docs + 0.1) / unit)), float(model.log_p[-1] / LN10))
-    buckets = 4 * parts(spark)
+    buckets = 2 * parts(spark)
     kinds = [df.schema[c].dataType for c in keep]
-    packed = StructType().add("bucket", "integer").add("kind", "integer").add("words", ArrayType(BinaryType()))
-    for name, kind in (("at", LongType()), ("count", DoubleType()), ("nt", LongType()), ("nk", LongType()), ("base", DoubleType()), ("lp", DoubleType()), *zip((f"keep{i}" for i in range(len(keep))), kinds, strict=True)):
+    packed = StructType().add("bucket", "integer").add("kind", "integer")
+    for name, kind in (("key", LongType()), ("at", LongType()), ("nk", LongType()), ("base", DoubleType()), ("lp", DoubleType()), *zip((f"keep{i}" for i in range(len(keep))), kinds, strict=True)):
         packed = packed.add(name, ArrayType(kind))
     arrow = to_arrow_schema(packed)
 
-    def rows_of(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow)
+    def dealt(kind: int, bucket: np.ndarray, cut: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        """One row for each run of equal buckets; cut: where the runs begin, and the end."""
+        k = len(cut) - 1
+        off, none = pa.array(cut, pa.int32()), pa.array(np.zeros(k + 1), pa.int32())
+        lists = [pa.ListArray.from_arrays(off, columns[f.name].cast(f.type.value_type)) if f.name in columns else pa.ListArray.from_arrays(none, pa.array([], f.type.value_type)) for f in list(arrow)[2:]]
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(np.full(k, kind), pa.int32()), *(x.cast(f.type) for x, f in zip(lists, list(arrow)[2:], strict=True))], schema=arrow)
 
-    def spread(words: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-        of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+    def by_bucket(kind: int, key: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+        of = (key % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(of, kind="stable")
-        cut = np.flatnonzero(np.diff(of[order], prepend=-1))
-        for i, j in zip(cut, [*cut[1:], len(order)], strict=True):
-            yield int(of[order[i]]), order[i:j]
+        of = of[order]
+        cut = np.flatnonzero(np.diff(of, prepend=-1))
+        return dealt(kind, of[cut], np.append(cut, len(of)), {"key": pa.array(key[order].view(np.int64))} | {k: pa.array(x[order]) for k, x in columns.items()})
 
     def table(b: pa.RecordBatch):
-        words, c = b.column(0).to_pylist(), b.column(1).to_numpy()
-        lp = lattice.value.log_prob(words) / LN10
-        yield rows_of([{"bucket": k, "kind": 0, "words": [words[i] for i in at], "count": c[at].astype(float), "lp": lp[at]} for k, at in spread(words)])
+        words = b.column(0).to_pylist()
+        yield by_bucket(0, word_keys(words), at=b.column(1).to_numpy(), lp=lattice.value.log_prob(words) / LN10)
 
     def bags(b: pa.RecordBatch):
-        known, (hc, hb, hp) = hot.value, values.value
-        row = b.column(1).to_numpy()
-        words, of, tf = [], [], []
-        nt, nk, base, lp = (np.zeros(len(row), kind) for kind in (np.int64, np.int64, float, float))
-        for i, t in enumerate(b.column(0).to_pylist()):
-            bag = Counter(tokens(t))
-            x = np.fromiter(bag.values(), np.int64, len(bag))
-            at = np.fromiter(map(known.get, bag, repeat(-1)), np.int64, len(bag))
-            here = at >= 0
-            a, y = at[here], x[here]
-            nt[i], nk[i] = x.sum() + 1, y[hc[a] > 0].sum() + (n_docs > 0)
-            base[i], lp[i] = (y * hb[a]).sum() + end[0], (y * hp[a]).sum() + end[1]
-            far = np.flatnonzero(~here)
-            if len(far):
-                w = list(bag)
-                words += [w[k] for k in far]
-                of.append(np.full(len(far), i))
-                tf.append(x[far])
-        out = []
-        if words:
-            of, tf = np.concatenate(of), np.concatenate(tf)
-            out = [{"bucket": k, "kind": 1, "words": [words[i] for i in at], "at": row[of[at]], "count": tf[at].astype(float)} for k, at in spread(words)]
-        for i in range(0, len(row), 1000):  # these need no word; they only come along
-            k = slice(i, i + 1000)
-            out.append({"bucket": int(row[i]) % buckets, "kind": 2, "at": row[k], "nt": nt[k], "nk": nk[k], "base": base[k], "lp": lp[k]} | {f"keep{j}": b.column(2 + j).slice(i, 1000).to_pylist() for j in range(len(keep))})
-        for i in range(0, len(out), 64):
-            yield rows_of(out[i : i + 64])
+        known, hc, hb, hp = frequent.value
+        for lo, hi, t in K.slices(b.column(0)):
+            row = b.column(1).to_numpy()[lo:hi]
+            low = t.lowered()
+            start, stop, wptr = low.spans(~K.IS_SPACE)
+            key, doc = low.hashes(start, stop), K.doc_of(wptr)
+            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+            here = known[at] == key if len(known) else np.zeros(len(key), bool)
+            a, d = at[here], doc[here]
+            if (~here).any():
+                yield by_bucket(1, key[~here], at=row[doc[~here]])
+            n_here = len(row)
+            sums = {"base": np.bincount(d, hb[a], n_here) + end[0], "lp": np.bincount(d, hp[a], n_here) + end[1]}
+            whole = {"key": pa.array(np.diff(wptr) + 1), "at": pa.array(row), "nk": pa.array(np.bincount(d, hc[a] > 0, n_here).astype(np.int64) + (n_docs > 0))} | {k: pa.array(x) for k, x in sums.items()}
+            cut = np.unique(np.append(np.arange(0, n_here, 200), n_here))
+            yield dealt(2, row[cut[:-1]] % buckets, cut, whole | {f"keep{j}": b.column(2 + j).slice(lo, n_here) for j in range(len(keep))})
 
     result = StructType().add("_row", "long").add("nt", "long").add("nk", "long").add("base", "double").add("lp", "double")
     for i, kind in enumerate(kinds):
@@ -287,43 +314,35 @@ def score(df: DataFrame, train: Column, pieces: list[bytes], text: str = "text",
     plain = to_arrow_schema(result)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known, c, lp = None, {}, [], []
-        unseen: dict[bytes, float] = {}
+        """Each bucket's table rows come before its documents' words."""
+        at, key, c, lp, ready = None, [], [], [], False
         for b in batches:
             for r in range(b.num_rows):
                 bucket, kind = b.column(0)[r].as_py(), b.column(1)[r].as_py()
                 if bucket != at:
-                    at, known, c, lp = bucket, {}, [], []
+                    at, key, c, lp, ready = bucket, [], [], [], False
                 col = {f.name: b.column(k)[r].values for k, f in enumerate(arrow) if k > 1}
-                if kind == 2:
-                    yield pa.RecordBatch.from_arrays([col["at"], col["nt"], col["nk"], col["base"], col["lp"], *(col[f"keep{i}"] for i in range(len(keep)))], schema=plain)
+                if kind == 2:  # these need no look-up: they bring what was known, and the columns kept
+                    yield pa.RecordBatch.from_arrays([col["at"], col["key"], col["nk"], col["base"], col["lp"], *(col[f"keep{i}"] for i in range(len(keep)))], schema=plain)
                     continue
-                words = col["words"].to_pylist()
                 if kind == 0:
-                    known.update(zip(words, range(len(known), len(known) + len(words)), strict=True))
-                    c.append(col["count"].to_numpy())
+                    key.append(col["key"].to_numpy().view(np.uint64))
+                    c.append(col["at"].to_numpy())
                     lp.append(col["lp"].to_numpy())
                     continue
-                if len(c) != 1:
-                    c, lp = [np.concatenate([*c, np.zeros(0)])], [np.concatenate([*lp, np.zeros(0)])]
-                got = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
-                tf = col["count"].to_numpy()
-                cw, pw = np.zeros(len(words)), np.zeros(len(words))
-                have = got >= 0
-                cw[have], pw[have] = c[0][got[have]], lp[0][got[have]]
-                none = np.flatnonzero(~have)
-                if len(none):  # held-out words: each once a task
-                    new = [w for w in {words[i] for i in none} if w not in unseen]
-                    if len(unseen) > 200_000:
-                        unseen.clear()
-                        new = list({words[i] for i in none})
-                    unseen.update(zip(new, lattice.value.log_prob(new) / LN10, strict=True))
-                    pw[none] = [unseen[words[i]] for i in none]
+                if not ready:
+                    order = np.argsort(keys := np.concatenate(key))
+                    keys = keys[order]
+                    if (keys[1:] == keys[:-1]).any():
+                        raise ValueError("two words have one 64-bit key")
+                    cs = np.concatenate(c)[order]
+                    bs, ps, ready = np.log10((cs + 0.1) / unit), np.concatenate(lp)[order], True
+                found = np.searchsorted(keys, col["key"].to_numpy().view(np.uint64))
                 row, inv = np.unique(col["at"].to_numpy(), return_inverse=True)
-                sums = [np.bincount(inv, x, len(row)) for x in (tf * (cw > 0), tf * np.log10((cw + 0.1) / unit), tf * pw)]
+                sums = [np.bincount(inv, x[found], len(row)) for x in (cs > 0, bs, ps)]
                 yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.zeros(len(row), np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *(pa.nulls(len(row), f.type) for f in list(plain)[5:])], schema=plain)
 
-    both = arrow_map(counts.filter(F.col("c") <= n / common), table, packed).unionAll(arrow_map(df.select("_text", "_row", *keep), bags, packed))
+    both = arrow_map(counts.filter(rare), table, packed).unionAll(arrow_map(df.select("_text", "_row", *keep), bags, packed))
     met = both.repartition(parts(spark), "bucket").sortWithinPartitions("bucket", "kind")
     out = met.mapInArrow(look_up, result).groupBy("_row").agg(F.sum("nt").alias("n_tokens"), F.sum("nk").alias("n_known"), F.sum("base").alias("base_score"), F.sum("lp").alias("score"), *(F.first(f"keep{i}", ignorenulls=True).alias(c) for i, c in enumerate(keep)))
     return out.select(*keep, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
