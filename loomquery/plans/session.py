@@ -101,17 +101,19 @@ class Session:
         if "://" in name or "/" in name or re.search(r"\.(\w+)$", name) and name.rsplit(".", 1)[-1].lower() in files.FORMATS:
             if ".." in name.split("/"):
                 raise QueryError("a path can't leave its folder")
-            path = name if "://" in name or name.startswith("/") else f"{self.root}/{name}"
-            found = files.list_files(self.spark, path)
+            tried = [name if "://" in name or name.startswith("/") else f"{self.root}/{name}"]
         else:
-            found = files.list_files(self.spark, f"{self.root}/{name.replace('.', '/')}") or files.list_files(self.spark, f"{self.root}/{name}.parquet")
-        if not found:
-            raise UnknownRelation(f"no relation {name}")
-        if files.is_partitioned(found):
-            found = files.partitioned(found, *(days or (self.today, self.today)))
+            tried = [f"{self.root}/{name.replace('.', '/')}", f"{self.root}/{name}.parquet"]
+        for path in tried:
+            if (first := files.first_file(self.spark, path)) is None:
+                continue
+            if (tree := files.tree_of(first)) is None:
+                return files.load(self.spark, [path], first.rsplit(".", 1)[-1])
+            found = files.days_between(self.spark, tree, *(days or (self.today, self.today)))
             if not found:
                 raise UnknownRelation(f"{name} has no data on these days")
-        return files.load(self.spark, found)
+            return files.load(self.spark, found)
+        raise UnknownRelation(f"no relation {name}")
 
     def _fake(self, args: list[str]) -> DataFrame:
         """Random rows: a number of long columns, or a list of types."""

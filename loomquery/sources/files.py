@@ -16,50 +16,65 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 
 from loomquery.errors import QueryError, UnknownRelation
 
-FORMATS = {"parquet": "parquet", "orc": "orc", "jsonl": "json", "ndjson": "json", "csv": "csv", "tsv": "csv", "psv": "csv", "arrow": "arrow", "ipc": "arrow", "feather": "arrow", "xz": "xz", "lzma": "xz", "zst": "json", "zstd": "json", "gz": "json", "avro": "avro"}
+FORMATS = {"parquet": "parquet", "orc": "orc", "jsonl": "json", "ndjson": "json", "csv": "csv", "tsv": "csv", "psv": "csv", "arrow": "arrow", "ipc": "arrow", "feather": "arrow", "xz": "packed", "lzma": "packed", "zst": "packed", "zstd": "packed", "gz": "json", "avro": "avro"}
 SEPARATORS = {"csv": ",", "tsv": "\t", "psv": "|"}
 #: Control files, never read as data.
 CONTROL = ("frame.complete", "frame.ignore", ".manifest", ".complete", ".ignore")
 
 
-def list_files(spark: SparkSession, path: str, deep: bool = True) -> list[str]:
-    """Data and control files under a path or glob, through Hadoop's file systems."""
+def walk(spark: SparkSession, path: str) -> Iterator[str]:
+    """Files under a path or glob as Hadoop's file systems list them, a page at a time."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(conf)
-    out = []
     for s in fs.globStatus(p) or []:
         if s.isFile():
-            out.append(s.getPath().toString())
-        elif deep:
+            yield s.getPath().toString()
+        else:
             it = fs.listFiles(s.getPath(), True)
             while it.hasNext():
-                out.append(it.next().getPath().toString())
-    return sorted(out)
+                yield it.next().getPath().toString()
+
+
+def is_data(path: str) -> bool:
+    return not path.endswith(CONTROL) and not re.search(r"/[._][^/]*$", path)
+
+
+def first_file(spark: SparkSession, path: str) -> str | None:
+    """Any data file: its ending and folders tell how to read the rest."""
+    return next(filter(is_data, walk(spark, path)), None)
+
+
+def days_between(spark: SparkSession, tree: str, start: dt.date, end: dt.date) -> list[str]:
+    """Files of a date-partitioned tree; only the folders of these days are listed."""
+    out: list[str] = []
+    for n in range((end - start).days + 1):
+        day = start + dt.timedelta(days=n)
+        out += walk(spark, f"{tree}/year_{day.year:04d}/month_{day.month:02d}/day_{day.day:02d}")
+    return partitioned(sorted(out), start, end)
 
 
 def load(spark: SparkSession, paths: list[str], kind: str | None = None) -> DataFrame:
-    """All files of one format as one relation; columns that a file lacks are null there."""
-    data = [p for p in paths if not p.endswith(CONTROL) and not re.search(r"/[._][^/]*$", p)]
+    """Files, folders or globs of one format as one relation; columns that a file lacks are null there."""
+    data = [p for p in paths if is_data(p)]
     if not data:
         raise UnknownRelation("no data files")
-    kind = kind or data[0].rsplit(".", 1)[-1].lower()
-    data = [p for p in data if p.lower().endswith(kind)] or data
+    kind = (kind or data[0].rsplit(".", 1)[-1]).lower()
     form = FORMATS.get(kind)
     if form is None:
         raise QueryError(f"no reader for .{kind} files")
     if form == "parquet":
-        out = spark.read.option("mergeSchema", len(data) > 1).parquet(*data)
+        out = spark.read.option("recursiveFileLookup", True).parquet(*data)
     elif form == "orc":
-        out = spark.read.option("mergeSchema", len(data) > 1).orc(*data)
+        out = spark.read.option("recursiveFileLookup", True).orc(*data)
     elif form == "json":
-        out = spark.read.json(data)
+        out = spark.read.option("recursiveFileLookup", True).json(data)
     elif form == "csv":
-        out = spark.read.csv(data, sep=SEPARATORS[kind], header=True, inferSchema=True, multiLine=True, escape='"')
+        out = spark.read.csv(data, sep=SEPARATORS[kind], header=True, inferSchema=True, multiLine=True, escape='"', recursiveFileLookup=True)
     elif form == "avro":
-        out = spark.read.format("avro").load(data)
-    elif form == "xz":
-        lines = spark.read.format("binaryFile").load(data).select("content").mapInArrow(_unpack, "value string")
+        out = spark.read.format("avro").option("recursiveFileLookup", True).load(data)
+    elif form == "packed":  # compressed JSON lines that Hadoop has no codec for
+        lines = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(data).select("content").mapInArrow(_unpack, "value string")
         fields = spark.read.json(lines.rdd.map(lambda r: r.value)).schema
         out = lines.select(F.from_json("value", fields).alias("r")).select("r.*")
     else:
@@ -71,14 +86,30 @@ def load(spark: SparkSession, paths: list[str], kind: str | None = None) -> Data
                 for content in b.column(0):
                     yield from _open(content.as_py()).cast(schema).to_batches()
 
-        out = spark.read.format("binaryFile").load(data).select("content").mapInArrow(read, from_arrow_schema(schema))
+        out = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(data).select("content").mapInArrow(read, from_arrow_schema(schema))
     return flat(out)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of xz or zstd files, a bounded number at a time."""
     for b in batches:
         for content in b.column(0):
-            yield pa.RecordBatch.from_arrays([pa.array(lzma.decompress(content.as_py()).decode().splitlines(), pa.string())], ["value"])
+            raw = io.BytesIO(content.as_py())
+            if raw.getbuffer()[:4] == b"\x28\xb5\x2f\xfd":
+                import zstandard
+
+                stream = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+            else:
+                stream = lzma.open(raw)
+            lines: list[str] = []
+            for line in io.TextIOWrapper(stream, "utf-8"):
+                if line.strip():
+                    lines.append(line)
+                if len(lines) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+                    lines = []
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
 
 
 def _open(raw: bytes) -> pa.Table:
@@ -138,5 +169,7 @@ def partitioned(paths: list[str], start: dt.date, end: dt.date) -> list[str]:
     return [p for p in out if not p.endswith(CONTROL)]
 
 
-def is_partitioned(paths: list[str]) -> bool:
-    return any(_DAY.search(p) for p in paths)
+def tree_of(path: str) -> str | None:
+    """The folder above the years, for a file of a date-partitioned tree."""
+    m = _DAY.search(path)
+    return path[: m.start()] if m else None

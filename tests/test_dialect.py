@@ -134,6 +134,10 @@ def test_files(spark, tmp_path, run):
     assert run("SELECT A, B FROM 't.psv'") == [(1, "x")]
     (tmp_path / "z.xz").write_bytes(lzma.compress(b'{"q": 5}\n'))
     assert run("SELECT q FROM 'z.xz'") == [(5,)]
+    import zstandard
+
+    (tmp_path / "y.zst").write_bytes(zstandard.compress(b'{"q": 6}\n{"q": 7}\n'))
+    assert run("SELECT SUM(q) AS s FROM 'y.zst'") == [(13,)]
     with pa.OSFile(str(tmp_path / "f.arrow"), "wb") as f, pa.ipc.new_file(f, pa.schema([("n", pa.int64())])) as w:
         w.write(pa.record_batch([pa.array([7])], ["n"]))
     assert run("SELECT n FROM 'f.arrow'") == [(7,)]
