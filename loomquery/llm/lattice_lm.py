@@ -21,12 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
 from loomquery.llm import textkernel as K
+from loomquery.llm.jaccard_join import groups
 from loomquery.llm.shared import arrow_map, checkpoint, crc_mod, docs_of, parts
 
 LN10 = float(np.log(10))
@@ -267,33 +269,34 @@ def score(df: DataFrame, train: Column, pieces: list[bytes], text: str = "text",
     end = (float(np.log10((n_docs + 0.1) / unit)), float(model.log_p[-1] / LN10))
     buckets = 2 * parts(spark)
     kinds = [df.schema[c].dataType for c in keep]
-    packed = StructType().add("bucket", "integer").add("kind", "integer")
-    for name, kind in (("key", LongType()), ("at", LongType()), ("nk", LongType()), ("base", DoubleType()), ("lp", DoubleType()), *zip((f"keep{i}" for i in range(len(keep))), kinds, strict=True)):
+    packed = StructType().add("bucket", "integer").add("kind", "integer").add("home", "long")
+    for name, kind in (("key", LongType()), ("at", IntegerType()), ("nk", LongType()), ("base", DoubleType()), ("lp", DoubleType()), *zip((f"keep{i}" for i in range(len(keep))), kinds, strict=True)):
         packed = packed.add(name, ArrayType(kind))
     arrow = to_arrow_schema(packed)
 
-    def dealt(kind: int, bucket: np.ndarray, cut: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-        """One row for each run of equal buckets; cut: where the runs begin, and the end."""
+    def dealt(kind: int, home: int, bucket: np.ndarray, cut: np.ndarray, columns: dict[str, pa.Array], schema: pa.Schema = arrow) -> pa.RecordBatch:
+        """One row for each run of columns; cut: where the runs begin, and the end."""
         k = len(cut) - 1
         off, none = pa.array(cut, pa.int32()), pa.array(np.zeros(k + 1), pa.int32())
-        lists = [pa.ListArray.from_arrays(off, columns[f.name].cast(f.type.value_type)) if f.name in columns else pa.ListArray.from_arrays(none, pa.array([], f.type.value_type)) for f in list(arrow)[2:]]
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(np.full(k, kind), pa.int32()), *(x.cast(f.type) for x, f in zip(lists, list(arrow)[2:], strict=True))], schema=arrow)
+        lists = [pa.ListArray.from_arrays(off, columns[f.name].cast(f.type.value_type)) if f.name in columns else pa.ListArray.from_arrays(none, pa.array([], f.type.value_type)) for f in list(schema)[3:]]
+        head = [pa.array(bucket, pa.int32()), pa.array(np.full(k, kind), pa.int32()), pa.array(np.full(k, home), pa.int64())]
+        return pa.RecordBatch.from_arrays([*head, *(x.cast(f.type) for x, f in zip(lists, list(schema)[3:], strict=True))], schema=schema)
 
-    def by_bucket(kind: int, key: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    def by_bucket(kind: int, home: int, key: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
         of = (key % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(of, kind="stable")
         of = of[order]
         cut = np.flatnonzero(np.diff(of, prepend=-1))
-        return dealt(kind, of[cut], np.append(cut, len(of)), {"key": pa.array(key[order].view(np.int64))} | {k: pa.array(x[order]) for k, x in columns.items()})
+        return dealt(kind, home, of[cut], np.append(cut, len(of)), {"key": pa.array(key[order].view(np.int64))} | {k: pa.array(x[order]) for k, x in columns.items()})
 
     def table(b: pa.RecordBatch):
         words = b.column(0).to_pylist()
-        yield by_bucket(0, word_keys(words), at=b.column(1).to_numpy(), lp=lattice.value.log_prob(words) / LN10)
+        yield by_bucket(0, 0, word_keys(words), nk=b.column(1).to_numpy(), lp=lattice.value.log_prob(words) / LN10)
 
     def bags(b: pa.RecordBatch):
         known, hc, hb, hp = frequent.value
         for lo, hi, t in K.slices(b.column(0)):
-            row = b.column(1).to_numpy()[lo:hi]
+            home, n_here = int(b.column(1)[lo].as_py()), hi - lo  # a slice is named by its first row
             low = t.lowered()
             start, stop, wptr = low.spans(~K.IS_SPACE)
             key, doc = low.hashes(start, stop), K.doc_of(wptr)
@@ -301,33 +304,26 @@ def score(df: DataFrame, train: Column, pieces: list[bytes], text: str = "text",
             here = known[at] == key if len(known) else np.zeros(len(key), bool)
             a, d = at[here], doc[here]
             if (~here).any():
-                yield by_bucket(1, key[~here], at=row[doc[~here]])
-            n_here = len(row)
-            sums = {"base": np.bincount(d, hb[a], n_here) + end[0], "lp": np.bincount(d, hp[a], n_here) + end[1]}
-            whole = {"key": pa.array(np.diff(wptr) + 1), "at": pa.array(row), "nk": pa.array(np.bincount(d, hc[a] > 0, n_here).astype(np.int64) + (n_docs > 0))} | {k: pa.array(x) for k, x in sums.items()}
-            cut = np.unique(np.append(np.arange(0, n_here, 200), n_here))
-            yield dealt(2, row[cut[:-1]] % buckets, cut, whole | {f"keep{j}": b.column(2 + j).slice(lo, n_here) for j in range(len(keep))})
-
-    result = StructType().add("_row", "long").add("nt", "long").add("nk", "long").add("base", "double").add("lp", "double")
-    for i, kind in enumerate(kinds):
-        result = result.add(f"keep{i}", kind)
-    plain = to_arrow_schema(result)
+                yield by_bucket(1, home, key[~here], at=doc[~here])
+            whole = {"key": np.diff(wptr) + 1, "at": np.arange(n_here), "nk": np.bincount(d, hc[a] > 0, n_here).astype(np.int64) + (n_docs > 0), "base": np.bincount(d, hb[a], n_here) + end[0], "lp": np.bincount(d, hp[a], n_here) + end[1]}
+            kept = {f"keep{j}": b.column(2 + j).slice(lo, n_here) for j in range(len(keep))}
+            yield dealt(2, home, np.array([home % buckets]), np.array([0, n_here]), {k: pa.array(x) for k, x in whole.items()} | kept)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each bucket's table rows come before its documents' words."""
+        """Each bucket's table rows come before its documents' words; sums by document go back to the slice."""
         at, key, c, lp, ready = None, [], [], [], False
         for b in batches:
             for r in range(b.num_rows):
-                bucket, kind = b.column(0)[r].as_py(), b.column(1)[r].as_py()
+                bucket, kind, home = (b.column(k)[r].as_py() for k in range(3))
                 if bucket != at:
                     at, key, c, lp, ready = bucket, [], [], [], False
-                col = {f.name: b.column(k)[r].values for k, f in enumerate(arrow) if k > 1}
-                if kind == 2:  # these need no look-up: they bring what was known, and the columns kept
-                    yield pa.RecordBatch.from_arrays([col["at"], col["key"], col["nk"], col["base"], col["lp"], *(col[f"keep{i}"] for i in range(len(keep)))], schema=plain)
+                if kind == 2:  # needs no look-up: brings what was known, and the columns kept
+                    yield b.slice(r, 1)
                     continue
+                col = {f.name: b.column(k)[r].values for k, f in enumerate(arrow) if k > 2}
                 if kind == 0:
                     key.append(col["key"].to_numpy().view(np.uint64))
-                    c.append(col["at"].to_numpy())
+                    c.append(col["nk"].to_numpy())
                     lp.append(col["lp"].to_numpy())
                     continue
                 if not ready:
@@ -338,14 +334,31 @@ def score(df: DataFrame, train: Column, pieces: list[bytes], text: str = "text",
                     cs = np.concatenate(c)[order]
                     bs, ps, ready = np.log10((cs + 0.1) / unit), np.concatenate(lp)[order], True
                 found = np.searchsorted(keys, col["key"].to_numpy().view(np.uint64))
-                row, inv = np.unique(col["at"].to_numpy(), return_inverse=True)
-                sums = [np.bincount(inv, x[found], len(row)) for x in (cs > 0, bs, ps)]
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.zeros(len(row), np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *(pa.nulls(len(row), f.type) for f in list(plain)[5:])], schema=plain)
+                doc, inv = np.unique(col["at"].to_numpy(), return_inverse=True)
+                sums = {k: pa.array(np.bincount(inv, x[found], len(doc)).astype(kind_)) for k, x, kind_ in (("nk", cs > 0, np.int64), ("base", bs, float), ("lp", ps, float))}
+                yield dealt(1, home, np.array([bucket]), np.array([0, len(doc)]), {"at": pa.array(doc)} | sums)
+
+    result = StructType().add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+    for c, kind in zip(keep, kinds, strict=True):
+        result = result.add(c, kind)
+    plain = to_arrow_schema(result)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each slice, summed by document."""
+        for _, g in groups(batches, 1):
+            g = g.combine_chunks()
+            flat = {f.name: g.column(k).combine_chunks() for k, f in enumerate(g.schema)}
+            at = flat["at"].flatten().to_numpy()
+            own = g.filter(pa.compute.equal(flat["kind"], 2))
+            n = len(own.column("at")[0])
+            sums = {k: np.bincount(at, flat[k].flatten().to_numpy(), n) for k in ("nk", "base", "lp")}
+            kept = [own.column(f"keep{i}").combine_chunks().flatten() for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([own.column("key").combine_chunks().flatten(), pa.array(sums["nk"].astype(np.int64)), pa.array(sums["base"]), pa.array(sums["lp"]), *kept], schema=plain)
 
     both = arrow_map(counts.filter(rare), table, packed).unionAll(arrow_map(df.select("_text", "_row", *keep), bags, packed))
     met = both.repartition(parts(spark), "bucket").sortWithinPartitions("bucket", "kind")
-    out = met.mapInArrow(look_up, result).groupBy("_row").agg(F.sum("nt").alias("n_tokens"), F.sum("nk").alias("n_known"), F.sum("base").alias("base_score"), F.sum("lp").alias("score"), *(F.first(f"keep{i}", ignorenulls=True).alias(c) for i, c in enumerate(keep)))
-    return out.select(*keep, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    back = met.mapInArrow(look_up, packed).select("home", *(f.name for f in packed.fields if f.name != "home")).repartition(parts(spark), "home").sortWithinPartitions("home")
+    return back.mapInArrow(add_up, result).select(*keep, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1_lattice_lm(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
