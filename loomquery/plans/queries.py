@@ -81,6 +81,8 @@ add("str_cut", "SELECT p_partkey, SUBSTRING(p_name, 2, 4) AS a, SUBSTRING(p_name
 add("str_pad_trim", "SELECT LPAD(s, 5, '*') AS l, RPAD(s, 5, '*') AS r, TRIM(s) AS t, LTRIM(s) AS a, RTRIM(s) AS b, TRIM(BOTH 'x' FROM s) AS x FROM (VALUES ('abcdefg'), ('  a'), ('xyx')) AS v(s)", "SELECT * FROM (VALUES ('abcdefg', 'abcdefg', 'abcdefg', 'abcdefg', 'abcdefg', 'abcdefg'), ('**  a', '  a**', 'a', 'a', '  a', '  a'), ('**xyx', 'xyx**', 'xyx', 'xyx', 'xyx', 'y')) AS v(l, r, t, a, b, x)")
 add("str_distance", "SELECT n_name, LEVENSHTEIN(n_name, 'NATION_1') AS d, STARTS_WITH(n_name, 'N') AS s, ENDS_WITH(n_name, '1') AS e, ASCII(LEFT(n_name, 1)) AS a, CHAR(8364) AS c FROM nation", "SELECT n_name, levenshtein(n_name, 'NATION_1')::INTEGER AS d, starts_with(n_name, 'N') AS s, ends_with(n_name, '1') AS e, ascii(left(n_name, 1))::BIGINT AS a, chr(8364) AS c FROM nation")
 add("str_hash", "SELECT c_custkey, MD5(c_name) AS m, SHA1(c_name) AS s1, SHA256(c_name) AS s2 FROM customer", "SELECT c_custkey, md5(c_name) AS m, sha1(c_name) AS s1, sha256(c_name) AS s2 FROM customer")
+add("str_sha", "SELECT r_name, SHA224('abc') AS a, SHA384('abc') AS b, SHA512('abc') AS c FROM region WHERE r_regionkey = 0", "SELECT r_name, '23097d223405d8228642a477bda255b32aadbce4bda0b3f7e36c9da7' AS a, 'cb00753f45a35e8bb5a03d699ac65007272c32ab0eded1631a8b605a43ff5bed8086072ba1e7cc2358baeca134c825a7' AS b, 'ddaf35a193617abacc417349ae20413112e6fa4e89a97ea20a9eeee64b55d39a2192992a274fc1a836ba3c23a3feebbd454d4423643ce80e2a9ac94fa54ca49f' AS c FROM region WHERE r_regionkey = 0")
+add("get_element", "SELECT GET(s, 1) AS a, GET(s, -1) AS b, GET(s, 9) AS c FROM (VALUES ('xyz')) AS v(s)", "SELECT 'y' AS a, 'z' AS b, NULL::VARCHAR AS c")
 add("str_encode", "SELECT c_custkey, BASE64_ENCODE(c_name) AS b, HEX_ENCODE(c_name) AS h, HEX_DECODE(HEX_ENCODE(c_name)) AS x, BASE64_DECODE(BASE64_ENCODE(c_name)) AS y, BASE85_DECODE(BASE85_ENCODE(c_name)) AS z FROM customer", "SELECT c_custkey, base64(c_name::BLOB) AS b, hex(c_name) AS h, c_name AS x, c_name AS y, c_name AS z FROM customer")
 add("str_split", "SELECT event_id, SPLIT(event_type, 'c') AS p, LENGTH(SPLIT(event_type, 'c')) AS n FROM events", "SELECT event_id, string_split(event_type, 'c') AS p, len(string_split(event_type, 'c')) AS n FROM events")
 add("str_humanize", "SELECT HUMANIZE(x) AS h FROM (VALUES (950), (12), (1200000), (2500000000)) AS v(x)", "SELECT * FROM (VALUES ('1.0 thousand'), ('12'), ('1.2 million'), ('2.5 billion')) AS v(h)")
@@ -90,6 +92,8 @@ add("str_random", "SELECT RANDOM() AS a, NORMAL() AS b, RANDOM_STRING(8) AS c, H
 # types
 add("casts", "SELECT CAST(o_orderkey AS VARCHAR) AS s, CAST(o_totalprice AS INTEGER) AS i, CAST('12' AS INTEGER) AS n, TRY_CAST('x' AS INTEGER) AS bad, CAST('2024-02-29' AS DATE) AS d, CAST(1 AS BOOLEAN) AS b, o_orderkey::DOUBLE AS f FROM orders", "SELECT o_orderkey::VARCHAR AS s, trunc(o_totalprice)::BIGINT AS i, 12::BIGINT AS n, NULL::BIGINT AS bad, DATE '2024-02-29' AS d, true AS b, o_orderkey::DOUBLE AS f FROM orders")
 add("cast_decimal", "SELECT CAST(l_extendedprice AS DECIMAL(12, 2)) AS d, CAST(l_quantity AS DECIMAL(10, 1)) AS q FROM lineitem WHERE l_orderkey < 100")
+add("try_functions", "SELECT TRY_INTEGER(s) AS i, TRY_DOUBLE(s) AS d, TRY_DATE(s) AS t, TRY_BOOLEAN(s) AS b FROM (VALUES ('12'), ('x'), ('2024-01-02'), ('true'), (NULL)) AS v(s)", "SELECT TRY_CAST(s AS BIGINT) AS i, TRY_CAST(s AS DOUBLE) AS d, TRY_CAST(s AS DATE) AS t, CASE WHEN s = 'true' THEN true END AS b FROM (VALUES ('12'), ('x'), ('2024-01-02'), ('true'), (NULL)) AS v(s)")
+add("cast_array", "SELECT CAST(v AS ARRAY<INTEGER>) AS a FROM (SELECT ARRAY['1', '2', NULL] AS v) AS t", "SELECT [1, 2]::BIGINT[] AS a")
 # numbers
 add("num_round", "SELECT ROUND(x) AS r, ROUND(x, 1) AS r1, FLOOR(x) AS f, CEIL(x) AS c, TRUNC(x) AS t, ABS(x) AS a, SIGN(x) AS s FROM (VALUES (2.5), (-2.5), (3.25), (-0.75)) AS v(x)", "SELECT round_even(x, 0) AS r, round_even(x, 1) AS r1, floor(x) + 0 AS f, ceil(x) + 0 AS c, trunc(x) + 0 AS t, abs(x) AS a, sign(x)::DOUBLE AS s FROM (VALUES (2.5::DOUBLE), (-2.5::DOUBLE), (3.25::DOUBLE), (-0.75::DOUBLE)) AS v(x)")
 add("num_log", "SELECT o_orderkey, ROUND(LN(o_totalprice), 6) AS l, ROUND(LOG10(o_totalprice), 6) AS t, ROUND(LOG2(o_totalprice), 6) AS b, ROUND(LOG(o_totalprice, 3), 6) AS c, ROUND(SQRT(o_totalprice), 6) AS s, ROUND(PI() + E() + PHI(), 6) AS k, POWER(2, 5) AS p FROM orders", "SELECT o_orderkey, round_even(ln(o_totalprice), 6) AS l, round_even(log10(o_totalprice), 6) AS t, round_even(log2(o_totalprice), 6) AS b, round_even(ln(o_totalprice) / ln(3), 6) AS c, round_even(sqrt(o_totalprice), 6) AS s, round_even(pi() + exp(1) + 1.618033988749895, 6) AS k, 32.0::DOUBLE AS p FROM orders")
@@ -117,6 +121,8 @@ add("planets_join", "SELECT p.name, q.name AS next FROM $planets AS p INNER JOIN
 add("set_variable", "SET least = 30; SELECT COUNT(*) AS n FROM lineitem WHERE l_quantity > @@least", "SELECT COUNT(*) AS n FROM lineitem WHERE l_quantity > 30")
 add("show_columns", "SHOW COLUMNS FROM nation", "SELECT * FROM (VALUES ('n_nationkey', 'bigint', true), ('n_name', 'string', true), ('n_regionkey', 'bigint', true)) AS t(name, type, nullable)")
 add("explain", "EXPLAIN SELECT COUNT(*) AS n FROM region", None)
+add("visible_self_join", "SELECT COUNT(*) AS n FROM events AS a INNER JOIN events AS b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
+add("time_series_gaps", "SELECT d.d AS day, COUNT(e.event_id) AS n FROM GENERATE_SERIES('2024-01-01', '2024-01-31', '1d') AS d LEFT JOIN events AS e ON DATE_TRUNC('day', e.ts) = d.d GROUP BY d.d", "SELECT d.day, COUNT(e.event_id) AS n FROM (SELECT generate_series AS day FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS d LEFT JOIN events AS e ON date_trunc('day', e.ts) = d.day GROUP BY d.day")
 # whole queries
 add("priority_counts", "SELECT o_orderpriority, COUNT(*) AS n FROM orders LEFT SEMI JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 40 WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1998-01-01' GROUP BY o_orderpriority ORDER BY o_orderpriority", "SELECT o_orderpriority, COUNT(*) AS n FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1998-01-01' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40) GROUP BY o_orderpriority")
 add("forecast_revenue", "SELECT ROUND(SUM(l_extendedprice * l_discount), 0) AS revenue FROM lineitem WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '1997-01-01' AND l_discount BETWEEN 0.02 AND 0.08 AND l_quantity < 24", "SELECT round_even(SUM(l_extendedprice * l_discount), 0) AS revenue FROM lineitem WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '1997-01-01' AND l_discount BETWEEN 0.02 AND 0.08 AND l_quantity < 24")

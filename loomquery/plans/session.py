@@ -44,6 +44,7 @@ class Session:
         self.stores: dict[str, Callable[[str], DataFrame]] = {}
         self.kinds: dict[str, str] = {}
         self.n = 0
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # timestamps have no zone here
         vector.register(spark)
 
     # relations
