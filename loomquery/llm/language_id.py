@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from loomquery.llm.shared import arrow_map, crc_mod, docs_of, extended
 
 UNKNOWN = "und"
+#: Texts whose n-grams are held at once.
+SOME = 200
 _letters: list[np.ndarray] = []
 
 
@@ -105,25 +107,17 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_n: int = 3, t
     """
 
     def count(b: pa.RecordBatch):
-        names = np.array(b.column(1).to_pylist(), object)
-        texts = b.column(0).to_pylist()
-        total: dict[str, list[np.ndarray]] = {}
-        for name, codes in zip(names, gram_codes(texts, max_n), strict=True):
-            total.setdefault(name, []).append(codes)
-        for name, all_codes in total.items():
-            part: list[tuple[np.ndarray, np.ndarray]] = []
-            held: list[np.ndarray] = []
-            size = 0
-            for c in [*all_codes, None]:  # blocks of a few million codes bound the memory
-                if c is not None:
-                    held.append(c)
-                    size += len(c)
-                if size > 4_000_000 or c is None and held:
-                    part.append(np.unique(np.concatenate(held), return_counts=True))
-                    held, size = [], 0
-            codes = np.concatenate([p[0] for p in part])
-            u, inv = np.unique(codes, return_inverse=True)
-            n = np.bincount(inv, np.concatenate([p[1] for p in part]), len(u)).astype(np.int64)
+        """Counts by language; codes are kept for a few hundred texts at a time."""
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for i in range(0, b.num_rows, SOME):
+            held: dict[str, list[np.ndarray]] = {}
+            for name, codes in zip(b.column(1).slice(i, SOME).to_pylist(), gram_codes(b.column(0).slice(i, SOME).to_pylist(), max_n), strict=True):
+                held.setdefault(name, []).append(codes)
+            for name, codes in held.items():
+                found.setdefault(name, []).append(np.unique(np.concatenate(codes), return_counts=True))
+        for name, pairs in found.items():
+            u, inv = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
+            n = np.bincount(inv, np.concatenate([p[1] for p in pairs]), len(u)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(u)), pa.array(u), pa.array(n)], ["lang", "code", "n"])
 
     counts = arrow_map(
@@ -144,10 +138,13 @@ def predict(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     keep = [c for c in df.columns if c not in ("lang_pred", "score")]
     model = spark.sparkContext.broadcast(profiles)
     at = keep.index(text)
+    names = [*keep, "lang_pred", "score"]
 
     def run(b: pa.RecordBatch):
-        lang, score = model.value.predict(b.column(at).to_pylist())
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], [*map(str, range(len(keep))), "a", "b"])
+        for i in range(0, b.num_rows, SOME):
+            part = b.slice(i, SOME)
+            lang, score = model.value.predict(part.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names)
 
     src = df.select(*[F.col(f"`{c}`") for c in keep])
     return arrow_map(src, run, extended(src, ("lang_pred", "string"), ("score", "double")))
