@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U(pow(int(_BASE), -1, 1 << 64))
