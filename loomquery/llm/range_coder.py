@@ -37,6 +37,10 @@ class CorruptBlock(ValueError):
     """A checksum or a length does not fit."""
 
 
+#: By confidence, missed then hit: the change of confidence, or -9 for a new candidate.
+_MOVE = np.array([-9, -9, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0])
+
+
 class _Model:
     """State of n blocks whose alphabets have sizes ``alphabet``; lanes are blocks x STRIPES."""
 
@@ -94,8 +98,9 @@ class _Model:
     def learn(self, sym: np.ndarray) -> None:
         h1, h2 = self.c1 == sym, self.c2 == sym
         new = sym << 3
-        self.one[self.i1] = np.where(h1, self.e1 + (self.k1 < 7), np.where(self.k1 > 1, self.e1 - (self.k1 + 1 >> 1), new))
-        self.two[self.i2] = np.where(h2, self.e2 + (self.k2 < 7), np.where(self.k2 > 1, self.e2 - (self.k2 + 1 >> 1), new))
+        for table, at, entry, k, hit in ((self.one, self.i1, self.e1, self.k1, h1), (self.two, self.i2, self.e2, self.k2, h2)):
+            move = _MOVE[k + 8 * hit]  # confidence rises by one or halves; a doubtful candidate makes way
+            table[at] = np.where(move > -9, entry + move, new)
         self.log.append((sym, self.k1, self.k2, h1, h2))
         self.prev[1] = self.prev[0]
         self.prev[0] = sym
@@ -166,7 +171,7 @@ def _decode_lanes(words: np.ndarray, first: np.ndarray, alphabet: np.ndarray, bi
         step = rng >> U(TOTAL_BITS)
         v = np.minimum(code // step, U(TOTAL - 1)).view(np.int64)
         r = v - m.f12
-        u = ((np.maximum(r, 0) + 1 << bits) - 1) // m.rest
+        u = (((np.maximum(r, 0) + 1 << bits) - 1).view(U) // m.rest.view(U)).view(np.int64)
         sym = table[lane_table + u].astype(np.int64)
         i = m.at1 + sym
         start = m.cum[i] * m.rest >> bits

@@ -22,7 +22,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomquery.llm import textkernel as K
 from loomquery.llm.range_coder import BLOCK, CorruptBlock, decode_blocks, encode_blocks
 from loomquery.llm.shared import checkpoint, docs_of, fresh_path, parts
 
@@ -41,23 +41,54 @@ GROUP = 64 * BLOCK
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 
 
-@dataclass
+class Index:
+    """64-bit keys -> numbers in their order of arrival; linear probing, many keys at once."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.numbers, self.n = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        at = (key >> self.shift).astype(np.int64)
+        here = self.keys[at]
+        out = np.where(here == key, self.numbers[at], -1)
+        left = np.flatnonzero((here != key) & (here != 0))
+        while len(left):
+            at[left] = at[left] + 1 & self.mask
+            here = self.keys[at[left]]
+            hit = here == key[left]
+            out[left[hit]] = self.numbers[at[left[hit]]]
+            left = left[~hit & (here != 0)]
+        return out
+
+    def add(self, key: np.ndarray) -> None:
+        """Distinct keys that are not here yet."""
+        number = np.arange(self.n, self.n + len(key), dtype=np.int32)
+        self.n += len(key)
+        at = (key >> self.shift).astype(np.int64)
+        left = np.arange(len(key))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            free = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[free]], self.numbers[at[free]] = key[free], number[free]
+            left = np.setdiff1d(left, free, assume_unique=True)
+            at[left] = at[left] + 1 & self.mask
+
+
 class Encoder:
     """Ids of whole texts, from a tokenizers file; chunks between ASCII blanks are encoded once and kept.
 
     The tokenizer drops blanks and never joins across them, so a text's ids are
-    those of its chunks, one after another.
+    those of its chunks, one after another. Chunks are known by 64-bit hashes; a
+    full store starts anew.
     """
 
-    path: str
-    most: int = 300_000
-    known: dict[bytes, int] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
+    def __init__(self, path: str, bits: int = 21):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(self.path)
+        self.bits = bits
+        self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         vocabulary = self.tok.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -65,70 +96,64 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known.clear()
-        self.flat, self.n = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-
-    def _keep(self, chunk: bytes, ids: np.ndarray) -> None:
-        k = len(self.known)
-        if k == len(self.start):
-            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
-        if self.n + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-        self.flat[self.n : self.n + len(ids)] = ids
-        self.start[k], self.size[k] = self.n, len(ids)
-        self.n += len(ids)
-        self.known[chunk] = k
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        plain: list[tuple[bytes, str, str]] = []
-        other: list[tuple[bytes, str]] = []
-        for c in chunks:
-            s = c.decode("utf-8", "replace")
-            if m := _PLAIN.fullmatch(s):
-                plain.append((c, m[1].lower(), m[2]))
-            else:
-                other.append((c, s))
-        words = list({p[1] for p in plain})
-        got: dict[str, np.ndarray] = {}
-        for i in range(0, len(words), 1000):  # many words in one text: each ends with an id that marks a word's end
-            some = words[i : i + 1000]
-            ids = self._encode([" ".join(some)])[0]
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(some):
-                got.update(zip(some, np.split(ids, cut[:-1]), strict=True))
+        self.index = Index(self.bits)
+        self.flat, self.n = np.zeros(1 << 22, np.uint16 if len(self.ends) <= 65536 else np.uint32), 0
+        self.start, self.size = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
+        """Plain chunks are encoded many in one text: a word, and the marks behind it, end with an id that ends a word."""
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        match = [_PLAIN.fullmatch(t) for t in texts]
+        plain = [i for i, m in enumerate(match) if m]
+        order, ids, sizes = [], [], []
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            got = np.array(self._encode([" ".join([texts[k] for k in some])])[0], np.int64)
+            cut = np.flatnonzero(self.ends[got]) + 1
+            words = np.cumsum([1 + bool(match[k][2]) for k in some])
+            if len(cut) == words[-1]:
+                order += some
+                ids.append(got)
+                sizes.append(np.diff(cut[words - 1], prepend=0))
             else:
-                got.update(zip(some, self._encode(some), strict=True))
-        marks = list({p[2] for p in plain})
-        mark = dict(zip(marks, self._encode(marks), strict=True))
-        for c, w, p in plain:
-            self._keep(c, np.concatenate([got[w], mark[p]]) if p else got[w])
-        for (c, _), ids in zip(other, self._encode([s for _, s in other]), strict=True):
-            self._keep(c, ids)
-
-    def ids(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, counts by document), ``end`` behind each document."""
-        if len(self.known) > self.most:
-            self._reset()
-        if b"" not in self.known:
-            self._keep(b"", np.array([end], np.uint32))
-        chunks: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            w = (t or "").encode("utf-8", "surrogatepass").split()
-            w.append(b"")
-            counts[i] = len(w)
-            chunks += w
-        if miss := set(chunks) - self.known.keys():
-            self._learn(sorted(miss))
-        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        size = self.size[at]
-        total = np.cumsum(size)
-        out = self.flat[np.repeat(self.start[at] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
-        return out, np.add.reduceat(size, np.cumsum(counts) - counts) if len(counts) else counts
+                plain[i : i + 2000] = [-1] * len(some)
+        rest = np.setdiff1d(np.arange(len(chunks)), order)
+        for k, got in zip(rest, self._encode([texts[k] for k in rest]), strict=True):
+            order.append(int(k))
+            ids.append(np.array(got, np.int64))
+            sizes.append(np.array([len(got)]))
+        new, size = np.concatenate(ids), np.concatenate(sizes)
+        while self.n + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        k = self.index.n
+        self.flat[self.n : self.n + len(new)] = new
+        self.start[k : k + len(size)] = self.n + np.cumsum(size) - size
+        self.size[k : k + len(size)] = size
+        self.n += len(new)
+        self.index.add(keys[order])
+
+    def ids(self, texts: pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(all ids, counts by document) of stretches of texts, ``end`` behind each document."""
+        for _, _, t in K.slices(texts):
+            start, stop, wptr = t.spans(~K.IS_SPACE)
+            key = t.hashes(start, stop) | np.uint64(1)
+            at = self.index.find(key)
+            if len(miss := np.flatnonzero(at < 0)):
+                if self.index.n + len(miss) > 1 << self.bits - 1:
+                    self._reset()
+                    miss = np.arange(len(key))
+                new, first = np.unique(key[miss], return_index=True)
+                raw = t.buf.tobytes()
+                self._learn(new, [raw[a:z] for a, z in zip(start[miss[first]].tolist(), stop[miss[first]].tolist(), strict=True)])
+                at[miss] = self.index.find(key[miss])
+            size = self.size[at].astype(np.int64)
+            total = np.cumsum(size)
+            out = self.flat[np.repeat(self.start[at] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
+            counts = K.segment_sums(size, wptr)
+            yield np.insert(out, np.cumsum(counts), end), counts + 1
 
 
 _encoders: dict[str, Encoder] = {}
@@ -196,15 +221,13 @@ def write(docs: DataFrame, to: str, tokenizer: str, end: int, text: str = "text"
             held[:] = [ids[cut:]]
 
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                some = b.slice(i, 1000)
-                if out is None:
-                    system.create_dir(folder, recursive=True)
-                    own = f"{folder}/part-{part:06d}.{uuid.uuid4().hex}.tmp"
-                    out = system.open_output_stream(own)
-                    out.write(FILE)
-                ids, n = encoder(tokenizer).ids(some.column(1).to_pylist(), end)
-                names += some.column(0).to_pylist()
+            if out is None and b.num_rows:
+                system.create_dir(folder, recursive=True)
+                own = f"{folder}/part-{part:06d}.{uuid.uuid4().hex}.tmp"
+                out = system.open_output_stream(own)
+                out.write(FILE)
+            names += b.column(0).to_pylist()
+            for ids, n in encoder(tokenizer).ids(b.column(1), end):
                 counts.append(n)
                 held.append(ids)
                 put(False)
