@@ -61,7 +61,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], per
     lang, source) and name.
     """
     name = lambda c: F.coalesce(c.cast("string"), F.lit("(null)"))
-    d = docs.select("*", name(domain).alias("_d"), name(F.col(lang)).alias("_l"), name(F.col(source)).alias("_s"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("_n"))
+    d = docs.select("*", name(domain).alias("_d"), name(F.col(lang)).alias("_l"), name(F.col(source)).alias("_s"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("_n"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     leaf = checkpoint(d.groupBy("_d", "_l", "_s").agg(F.sum("_n").alias("avail"), F.count("*").alias("rows")))
     sums = leaf.agg(F.coalesce(F.sum("avail"), F.lit(0)).alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("r")).first()
     total, rows = sums["n"], sums["r"]
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], per
     totals = d.groupBy(*place).agg(F.sum("_n").alias("t"))
     before = Window.partitionBy("_d", "_l", "_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     d = d.join(totals.withColumn("t", F.coalesce(F.sum("t").over(before), F.lit(0))), place)
-    run = F.sum("_n").over(Window.partitionBy(*place).orderBy("_k", F.md5(F.coalesce(F.col(text), F.lit("")))))
+    run = F.sum("_n").over(Window.partitionBy(*place).orderBy("_k", "_t"))
     d = d.withColumn("mix_copies", F.col("epochs") + F.when(F.col("t") + run <= F.col("rest"), 1).otherwise(0)).filter("mix_copies > 0")
     return d.select(*docs.columns, F.col("_d").alias("mix_domain"), F.col("_n").alias("mix_tokens"), "mix_copies")
 
