@@ -21,6 +21,7 @@ Positions are code points.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -353,24 +354,27 @@ def rewritten(text: str, spans: list[tuple[str, int, int]], seed: int) -> tuple[
 
 
 def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", windows: int = 3000, epochs: int = 8, hidden: int = 12, embed: int = 8, seed: int = 11) -> Tagger:
-    """A tagger from at most ``windows`` labelled windows (a documented bound).
+    """A tagger from at most ``windows`` labelled windows of about as many texts (documented bounds).
 
     Labelled spans are the base spans of the documents that have a digit or an
-    ``@``, taken in the order of a hash of the text, once as they are and once
+    ``@``, a share of them by a hash of the text, once as they are and once
     rewritten in other notations; what else such windows hold is labelled none.
     """
-    some = docs.filter(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).orderBy("h").limit(windows).select("t")
+    having = docs.filter(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    n = having.agg(F.approx_count_distinct("h")).first()[0]
+    cut = min(1 << 20, math.ceil(windows / max(n, 1) * (1 << 20)))  # of the hashes, so copies are one text
+    some = having.filter(F.pmod("h", F.lit(1 << 20)) < cut).dropDuplicates(["h"])
 
     def run(b: pa.RecordBatch):
-        for t in b.column(0).to_pylist():
+        for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             spans = base_spans(t)
             both = [labelled_windows(t, spans)] + ([labelled_windows(*rewritten(t, spans, len(t)))] if spans else [])
             x, y = (np.concatenate([w[k][:40] for w in both]) for k in (0, 1))  # 40 windows a text
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["h", "x", "y"])
 
-    got = arrow_map(some, run, "x binary, y binary").collect()
-    x, y = (np.frombuffer(b"".join(bytes(r[k]) for r in got), np.int8).reshape(-1, WINDOW)[: 4 * windows].astype(np.int64) for k in (0, 1))
+    got = sorted(arrow_map(some, run, "h long, x binary, y binary").collect(), key=lambda r: r["h"])
+    x, y = (np.frombuffer(b"".join(bytes(r[k]) for r in got), np.int8).reshape(-1, WINDOW)[: 4 * windows].astype(np.int64) for k in ("x", "y"))
     tagger = Tagger.new(hidden, embed, seed)
     if not len(x) or not y.any():
         tagger.p["c"][0] = 50  # nothing to learn: no tag ever wins
