@@ -1,13 +1,23 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search.
+"""Benchmark decontamination by size-partitioned MinHash containment search, exact for short items.
 
-Documents are partitioned by their number of distinct five-word shingles, in
+A match holds threshold * n of an item's n shingles, so it misses few of them: of
+any n - threshold * n + 1 shingles one at least lies in the document. Items whose
+matches may share fewer than ``SURE`` shingles are found in this way: that many of
+their shingles, the rarest among the items first, are looked up in each document's
+whole shingle set, and no match is lost.
+
+For longer items, documents are partitioned by their number of distinct five-word shingles, in
 powers of two. A partition's documents are sketched by one-permutation MinHash
 with as many bins as the partition's largest size: shingles are dealt to bins by
 hash, and each bin keeps its least. A test item is sketched once for every
 partition in the same way. A short item that lies in a long document loses a bin
 only to a smaller foreign shingle in that bin, so it shares many bins with the
-document whatever the document's length; one shared bin makes a candidate. The
-candidates are verified by exact containment of the item's shingles, as words.
+document whatever the document's length; one shared bin makes a candidate. A
+shared shingle loses its bin with a probability of 0.43 at most (a document that
+fills its class, an item with a fifth of foreign shingles), and all of ``SURE``
+lose theirs in fewer than one pair in 10^8.
+
+All candidates are verified by exact containment of the item's shingles, as words.
 
 Words are runs of letters, digits and underscores, A-Z in lower case, where any
 multi-byte character counts as a letter.
@@ -33,6 +43,8 @@ from loomquery.llm.shared import arrow_map, docs_of, extended
 
 WIDTH = 5
 SIZES = 26
+#: Items whose matches share as many shingles or more are sketched, others looked up exactly.
+SURE = 24
 _WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 
 
@@ -76,43 +88,60 @@ def sketch(s: np.ndarray, ptr: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray
     return d[first], s[order[first]]
 
 
+def lookup(key: np.ndarray, item: np.ndarray, doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """(document, item) pairs of equal values; key is sorted."""
+    lo, hi = np.searchsorted(key, value, "left"), np.searchsorted(key, value, "right")
+    n = hi - lo
+    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.stack([np.repeat(doc, n), item[at]], 1)
+
+
+def enough(s: np.ndarray, ptr: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(item, shingle): of each item so many shingles, the rarest first, that every match holds one at least."""
+    item, n = K.doc_of(ptr), np.diff(ptr)
+    _, which, times = np.unique(s, return_inverse=True, return_counts=True)
+    order = np.lexsort((s, times[which], item))
+    need = np.ceil(threshold * n - 1e-9).astype(np.int64)
+    keep = np.arange(len(s)) - ptr[item] <= (n - need)[item]
+    return item[keep], s[order[keep]]
+
+
 class Items:
-    """Sketches of a block of test items for every size class, and their exact shingles."""
+    """A block of test items: shingles to look up, sketches for every size class, and the exact shingles."""
 
-    def __init__(self, ids: list, texts: list[bytes]):
-        self.ids, self.exact = ids, [five_words(t) for t in texts]
+    def __init__(self, ids: list, texts: list[bytes], threshold: float):
+        self.ids, self.exact, self.threshold = ids, [five_words(t) for t in texts], threshold
         column = pa.array(texts, pa.binary())
         self.by_class: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         parts = [(i, *shingle_sets(t)) for i, _, t in K.slices(column)]
-        for c in range(SIZES):
-            key, item = [], []
-            for i, s, ptr in parts:
-                d, v = sketch(s, ptr, np.full(len(ptr) - 1, c))
-                key.append(v)
-                item.append(d + i)
-            v, d = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (key, item))
-            order = np.argsort(v, kind="stable")
-            self.by_class[c] = v[order], d[order].astype(np.int64)
+        s = np.concatenate([np.zeros(0, np.uint64), *(p[1] for p in parts)])
+        n = np.concatenate([np.zeros(0, np.int64), *(np.diff(p[2]) for p in parts)])
+        short = threshold * n < SURE
+        own = np.repeat(short, n)
+        self.short = self._sorted(*enough(s[own], np.r_[0, np.cumsum(np.where(short, n, 0))], threshold))
+        long, ptr = s[~own], np.r_[0, np.cumsum(np.where(short, 0, n))]
+        self.sketched = len(long) > 0
+        for c in range(SIZES if self.sketched else 0):
+            self.by_class[c] = self._sorted(*sketch(long, ptr, np.full(len(n), c)))
+
+    @staticmethod
+    def _sorted(item: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        return key[order], item[order].astype(np.int64)
 
     def candidates(self, t: K.Text) -> np.ndarray:
-        """Distinct (document, item) pairs that share a bin's least shingle."""
+        """Distinct (document, item) pairs that share a shingle looked up, or a bin's least shingle."""
         s, ptr = shingle_sets(t)
-        sizes = np.minimum(size_class(np.diff(ptr)), SIZES - 1)
-        d, v = sketch(s, ptr, sizes)
-        out = []
-        for c in np.unique(sizes):
-            key, item = self.by_class[int(c)]
-            own = sizes[d] == c
-            dd, vv = d[own], v[own]
-            lo, hi = np.searchsorted(key, vv, "left"), np.searchsorted(key, vv, "right")
-            n = hi - lo
-            if n.sum():
-                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out.append(np.stack([np.repeat(dd, n), item[at]], 1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-
-
-    def found(self, column: pa.Array, threshold: float) -> list[tuple[int, int, int, int]]:
+        out = [lookup(*self.short, K.doc_of(ptr), s)]
+        if self.sketched:
+            sizes = np.minimum(size_class(np.diff(ptr)), SIZES - 1)
+            d, v = sketch(s, ptr, sizes)
+            for c in np.unique(sizes):
+                own = sizes[d] == c
+                out.append(lookup(*self.by_class[int(c)], d[own], v[own]))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def found(self, column: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item, shared shingles, item's shingles) of all verified pairs of a text column."""
         out = []
         for i, _, t in K.slices(column):
@@ -126,12 +155,12 @@ class Items:
                 for k in pairs[lo:hi, 1]:
                     want = self.exact[k]
                     shared = len(want & have)
-                    if want and shared >= threshold * len(want) - 1e-9:
+                    if want and shared >= self.threshold * len(want) - 1e-9:
                         out.append((i + d, int(k), shared, len(want)))
         return out
 
 
-def blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[Items]:
+def blocks(items: DataFrame, item_id: str, item_text: str, threshold: float, block_bytes: int) -> Iterator[Items]:
     """The items, at most ``block_bytes`` of text at a time; there is one block at least."""
     ids, texts, size, none = [], [], 0, True
     for row in items.select(F.col(item_id).alias("i"), F.encode(F.col(item_text), "utf-8").alias("t")).orderBy("i").toLocalIterator():
@@ -139,10 +168,10 @@ def blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) ->
         texts.append(bytes(row[1] or b""))
         size += len(texts[-1])
         if size >= block_bytes:
-            yield Items(ids, texts)
+            yield Items(ids, texts, threshold)
             ids, texts, size, none = [], [], 0, False
     if ids or none:
-        yield Items(ids, texts)
+        yield Items(ids, texts, threshold)
 
 
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
@@ -156,11 +185,11 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
     full = extended(src.select("doc_id"), ("containment", "double"), ("n_shared", "long"), ("n_item", "long"))
     schema = type(full)([items.select(F.col(item_id).alias("item_id")).schema[0], *full.fields])
     out = None
-    for block in blocks(items, item_id, item_text, block_bytes):
+    for block in blocks(items, item_id, item_text, threshold, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(b: pa.RecordBatch, sent=sent):
-            if rows := sent.value.found(b.column(1), threshold):
+            if rows := sent.value.found(b.column(1)):
                 at, k, n, m = (np.array(x) for x in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([sent.value.ids[i] for i in k]), b.column(0).take(pa.array(at)), pa.array(n / m), pa.array(n), pa.array(m)], ["item_id", "doc_id", "containment", "n_shared", "n_item"])
 
@@ -172,12 +201,12 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
     """Rows of docs that hold no item, unchanged; blocks of items filter one after another, without a join."""
     at = docs.columns.index(text)
-    for block in blocks(items, item_id, item_text, block_bytes):
+    for block in blocks(items, item_id, item_text, threshold, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(b: pa.RecordBatch, sent=sent):
             keep = np.ones(b.num_rows, bool)
-            keep[[r[0] for r in sent.value.found(b.column(at), threshold)]] = False
+            keep[[r[0] for r in sent.value.found(b.column(at))]] = False
             yield b.filter(pa.array(keep))
 
         docs = arrow_map(docs, run, docs.schema)

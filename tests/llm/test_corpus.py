@@ -75,6 +75,25 @@ def test_decontamination_against_brute_force(spark):
     assert decontamination.matches(df, its.limit(0)).count() == 0 and decontamination.matches(df.limit(0), its).count() == 0
 
 
+@pytest.mark.parametrize("n_words", [5, 6, 7, 8, 9, 10, 20, 60])
+def test_decontamination_finds_every_item_in_every_document(spark, n_words):
+    rng = random.Random(n_words)
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(n_words))) for i in range(20)]
+    docs = []
+    for i in range(400):
+        w = prose(rng, rng.choice([1, 30, 63, 64, 520, 700])).split()
+        at = rng.randrange(len(w))
+        q = items[i % 20][1].split()
+        if i % 2 and n_words >= 10:
+            q[0] = "changed"  # one shingle fewer: 5 of 6, 15 of 16, 55 of 56
+        w[at:at] = q
+        docs.append((i, " ".join(w)))
+    its = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.matches(frame(spark, docs), its).collect()
+    assert {(r.item_id, r.doc_id) for r in got} == {(i % 20, i) for i in range(400)}
+    assert {r.n_item for r in got} == {n_words - 4}
+
+
 # mixing
 def test_mixing_equals_its_sql(spark, tmp_path):
     rng = random.Random(5)
