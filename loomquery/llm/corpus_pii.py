@@ -9,8 +9,12 @@ a span without one is not allowed. So windows without such a character have no
 span whatever the network says, and only the others are computed; every text is
 searched to its end.
 
-Windows overlap. Each is decoded on its own, and each span it finds has a score,
-the margin of its tags over none. The document's spans are reconciled together:
+Windows overlap by half, so one of them sees a span of up to half a window whole.
+A span that a window's edge cuts is looked for again in windows of twice the
+length, and so on until one sees it whole; a text's own end cuts nothing. Where
+the run of characters round an ``@`` is longer than half a window, windows that
+hold all of it are computed from the start. Each window is decoded on its own, and
+each span it finds has a score, the margin of its tags over none. The document's spans are reconciled together:
 the base spans stay, and of the model's spans that touch none of them the set of
 the highest total score without overlaps is taken.
 
@@ -24,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +49,7 @@ PATTERNS = {
 }
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DIGITS = re.compile(r"[0-9]")
+_STOPS = re.compile(r"[\s@]")
 
 
 def luhn(digits: str) -> bool:
@@ -287,6 +293,90 @@ def plausible(kind: int, text: str) -> bool:
     return d >= 4 and not re.search(r"[A-Za-z]", text) and (kind != 1 or 4 <= d <= 12) and (kind != 2 or 16 <= d <= 19 and luhn("".join(c for c in text if c.isdigit()))) and (kind != 3 or 8 <= d <= 15)
 
 
+def may_grow(kind: int, text: str) -> bool:
+    """Whether a part of a span can belong to a plausible one."""
+    if kind == 0:
+        return text.count("@") < 2
+    return len(_DIGITS.findall(text)) <= 19 and not re.search(r"[A-Za-z]", text)
+
+
+def around_at(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """The longest plausible place of an address round each ``@`` that no base span holds."""
+    stops = [m.start() for m in _STOPS.finditer(text)]
+    taken = sorted((a, b) for _, a, b in base)
+    ends = np.maximum.accumulate([b for _, b in taken]) if taken else []
+    stops = [-1, *stops, len(text)]
+    for n in range(1, len(stops) - 1):
+        i = stops[n]
+        held = bisect_right(taken, (i, len(text)))
+        if text[i] != "@" or held and ends[held - 1] > i:
+            continue
+        lo, hi = n - 1, n + 1  # a blank next to the @ is part of it
+        lo -= lo > 0 and stops[lo] == i - 1 and text[i - 1] != "@"
+        hi += hi < len(stops) - 1 and stops[hi] == i + 1 and text[i + 1] != "@"
+        yield stops[lo] + 1, stops[hi]
+
+
+def search(model: Tagger, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, int, float]]]:
+    """The model's plausible spans (kind, start, end, score) of each text, whole at any length.
+
+    Level k has windows of WINDOW << k characters at each half of that. Of the
+    levels above 0 only the windows are computed that may hold a span which is too
+    long for the level below, and only such spans are taken from them.
+    """
+    found: list[list] = [[] for _ in texts]
+    wider: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    held: list[np.ndarray] = []
+    owner: list[tuple[int, int]] = []
+
+    def widen(level: int, d: int, at: int) -> None:
+        half = STEP << level
+        wider[level] |= {(d, at // half * half), (d, max(at // half * half - half, 0))}
+
+    def flush(level: int) -> None:
+        if not held:
+            return
+        width = WINDOW << level
+        tags, gain = model.decode(np.concatenate(held).astype(np.int64))
+        for w in np.flatnonzero((tags % 2).any(1)):
+            d, at = owner[w]
+            t = texts[d]
+            for k, lo, hi, s in spans_of_tags(tags[w], gain[w]):
+                a, z = at + lo, min(at + hi, len(t))
+                if lo == 0 and at > 0 or hi == width and at + width < len(t):
+                    if may_grow(k, t[a:z]) and not any(a < y and x < z for _, x, y in base[d]):
+                        widen(level + 1, d, a)
+                elif (level == 0 or z - a >= width // 4) and plausible(k, t[a:z]):
+                    found[d].append((k, a, z, s))
+        held.clear()
+        owner.clear()
+
+    for d, t in enumerate(texts):
+        if "@" in t or _DIGITS.search(t):
+            x = codes(t)
+            starts = windows_of(x)
+            for i in range(0, len(starts), 2048):
+                some = starts[i : i + 2048]
+                held.append(padded(x, some))
+                owner.extend((d, int(s)) for s in some)
+                if len(owner) >= 2048:
+                    flush(0)
+            for a, z in around_at(t, base[d]) if "@" in t else ():
+                if z - a >= STEP:
+                    widen(((z - a) // STEP).bit_length(), d, a)
+    flush(0)
+    while wider:
+        level = min(wider)
+        for d, at in sorted(wider.pop(level)):
+            x = codes(texts[d][at : at + (WINDOW << level)])
+            held.append(np.pad(x, (0, (WINDOW << level) - len(x)))[None])
+            owner.append((d, at))
+            if len(owner) << level >= 2048:
+                flush(level)
+        flush(level)
+    return found
+
+
 def reconcile(base: list[tuple[str, int, int]], found: list[tuple[int, int, int, float]]) -> list[tuple[str, int, int]]:
     """Base spans and the best set of found ones without overlaps, by kind, then start."""
     best: dict[tuple[int, int, int], float] = {}
@@ -392,37 +482,9 @@ def find(docs: DataFrame, tagger: Tagger, text: str = "text", doc_id: str = "doc
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(b: pa.RecordBatch):
-        model = sent.value
         texts = [t or "" for t in b.column(1).to_pylist()]
         base = [base_spans(t) for t in texts]
-        found: list[list] = [[] for _ in texts]
-        held: list[np.ndarray] = []
-        owner: list[tuple[int, int]] = []
-
-        def flush() -> None:
-            if not held:
-                return
-            tags, gain = model.decode(np.concatenate(held).astype(np.int64))
-            for w in np.flatnonzero((tags % 2).any(1)):
-                d, at = owner[w]
-                for k, lo, hi, s in spans_of_tags(tags[w], gain[w]):
-                    cut = lo == 0 and at > 0 or hi == WINDOW  # its other window sees it whole
-                    if not cut and plausible(k, texts[d][at + lo : at + hi]):
-                        found[d].append((k, at + lo, at + hi, s))
-            held.clear()
-            owner.clear()
-
-        for d, t in enumerate(texts):
-            if "@" in t or _DIGITS.search(t):
-                x = codes(t)
-                starts = windows_of(x)
-                for i in range(0, len(starts), 2048):
-                    some = starts[i : i + 2048]
-                    held.append(padded(x, some))
-                    owner.extend((d, int(s)) for s in some)
-                    if len(owner) >= 2048:
-                        flush()
-        flush()
+        found = search(sent.value, texts, base)
         all_ = [reconcile(p, f) if f else p for p, f in zip(base, found, strict=True)]
         lists = [pa.array([[{"kind": k, "start": a, "end": z} for k, a, z in s] for s in x], pa.list_(item)) for x in (base, all_)]
         yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["doc_id", "base", "spans"])

@@ -193,6 +193,57 @@ def test_reconcile_takes_the_best_set_without_overlaps():
     assert corpus_pii.reconcile(base, found) == [("ip", 10, 15), ("card", 0, 4), ("phone", 4, 9)]
 
 
+class Between:
+    """Stands for a tagger: what lies between two # is an address."""
+
+    def decode(self, x):
+        inside = (x != 0) & (x != corpus_pii.codes("#")[0])
+        tags = np.where(inside, 2, 0)
+        first = inside.copy()
+        first[:, 1:] &= ~inside[:, :-1]
+        return np.where(first, 1, tags), inside.astype(float)
+
+
+@pytest.mark.parametrize("n", [10, 31, 32, 43, 64, 100, 129, 1000])
+def test_spans_of_any_length_are_found_at_any_place(n):
+    for local in (2, n - 8):
+        span = f"{'x' * local} @ y{'z' * (n - local - 7)}.de"
+        assert len(span) == n and corpus_pii.base_spans(span) == []
+        places = [(before, after) for before in range(70) for after in (0, 5, 200)]
+        texts = ["#" * i + span + "#" * j for i, j in places] + ["#" * (-n % 32 + 64) + span]
+        got = corpus_pii.search(Between(), texts, [[] for _ in texts])
+        for f, t in zip(got, texts, strict=True):
+            at = t.index("x")
+            assert {s[:3] for s in f} == {(0, at, at + n)}, (len(t), at)
+
+
+def test_long_numbers_and_neighbours_are_found():
+    card = "4111" + "-" * 40 + "1111" + "-" * 40 + "1111" + "-" * 40 + "1111"
+    rng = np.random.default_rng(1)
+
+    class Card(Between):
+        def decode(self, x):
+            tags, gain = super().decode(x)
+            return np.where(tags > 0, tags + 4, 0), gain
+
+    texts = ["#" * int(i) + card + "#" * int(j) for i, j in rng.integers(0, 300, (60, 2))]
+    for f, t in zip(corpus_pii.search(Card(), texts, [[] for _ in texts]), texts, strict=True):
+        assert {s[:3] for s in f} == {(2, t.index("4"), t.index("4") + len(card))}
+    t = "a@b@c @ d@" + "e" * 50 + "\n@f"
+    assert [t[a:b] for a, b in corpus_pii.around_at(t, [])] == ["a@b", "b@c", "c @ d", "d@" + "e" * 50, "e" * 50 + "\n@f"]
+    assert [t[a:b] for a, b in corpus_pii.around_at(t, [("email", 0, 9)])] == ["d@" + "e" * 50, "e" * 50 + "\n@f"]
+
+
+def test_a_texts_own_end_cuts_no_span(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, f"call +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)} or write x{i}@mail.example.com today, room {i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tail = "call 1-555/555/1234"
+    texts = [(n, ("the room of the day or today and " * 6)[len(tail) - n :] + tail) for n in (64, 70, 95, 96, 128, 160)]
+    got = corpus_pii.find(spark.createDataFrame(texts, df.schema), corpus_pii.fit(df, epochs=6)).collect()
+    assert all(len(r.base) == 0 and [s.end for s in r.spans] == [r.doc_id] for r in got)
+
+
 def test_personal_data_query_shape(spark):
     rng = np.random.default_rng(6)
     rows = [(i, f"call +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)} or write x{i}@mail.example.com today, room {i}") for i in range(150)]
