@@ -46,7 +46,7 @@ add("join_natural", "SELECT k, a, b FROM (VALUES (1, 'x'), (2, 'y')) AS t(k, a)
 add("join_theta", "SELECT a.r_name AS low, b.r_name AS high FROM region AS a INNER JOIN region AS b ON a.r_regionkey < b.r_regionkey")
 add("join_residual", "SELECT COUNT(*) AS n FROM orders AS o INNER JOIN lineitem AS l ON o.o_orderkey = l.l_orderkey AND l.l_shipdate > o.o_orderdate")
 add("join_five", "SELECT n.n_name, COUNT(*) AS n, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 0) AS revenue FROM customer AS c INNER JOIN orders AS o ON c.c_custkey = o.o_custkey INNER JOIN lineitem AS l ON l.l_orderkey = o.o_orderkey INNER JOIN supplier AS s ON l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey INNER JOIN nation AS n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name", "SELECT n.n_name, COUNT(*) AS n, round_even(SUM(l.l_extendedprice * (1 - l.l_discount)), 0) AS revenue FROM customer AS c INNER JOIN orders AS o ON c.c_custkey = o.o_custkey INNER JOIN lineitem AS l ON l.l_orderkey = o.o_orderkey INNER JOIN supplier AS s ON l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey INNER JOIN nation AS n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name")
-add("unnest_cross", "SELECT l.event_id, w FROM events AS l CROSS JOIN UNNEST(SPLIT(l.event_type, 'i')) AS w WHERE l.event_id < 500", "SELECT event_id, unnest(string_split(event_type, 'i')) AS w FROM events WHERE event_id < 500")
+add("unnest_cross", "SELECT l.event_id, w FROM events AS l CROSS JOIN UNNEST(SPLIT(l.event_type, 'i')) AS w", "SELECT event_id, unnest(string_split(event_type, 'i')) AS w FROM events")
 add("in_unnest_any_all", "SELECT k, 2 = ANY(v) AS e, 2 != ANY(v) AS n, 2 > ANY(v) AS g, 2 = ALL(v) AS a, k IN UNNEST(v) AS i FROM (SELECT 1 AS k, ARRAY[1, 2] AS v UNION ALL SELECT 2, ARRAY[2, 2] UNION ALL SELECT 3, NULL) AS t", "SELECT * FROM (VALUES (1, true, true, true, false, true), (2, true, false, false, true, true), (3, false, false, false, false, false)) AS t(k, e, n, g, a, i)")
 add("array_contains_ops", "SELECT k, v @> (1, 5) AS part, v @>> (1, 2) AS whole, ARRAY_CONTAINS(v, 3) AS has FROM (SELECT 1 AS k, ARRAY[1, 2, 3] AS v UNION ALL SELECT 2, ARRAY[5] UNION ALL SELECT 3, NULL) AS t", "SELECT * FROM (VALUES (1, true, true, true), (2, true, false, false), (3, false, false, false)) AS t(k, part, whole, has)")
 # aggregates
@@ -58,7 +58,7 @@ add("agg_bool", "SELECT user_id, ALL(value > 1) AS every, ANY(value > 99) AS som
 add("agg_array", "SELECT o_custkey, ARRAY_AGG(o_orderkey ORDER BY o_orderkey LIMIT 3) AS first3 FROM orders GROUP BY o_custkey", "SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey)[1:3] AS first3 FROM orders GROUP BY o_custkey")
 add("agg_array_desc", "SELECT o_orderstatus, ARRAY_AGG(DISTINCT o_orderpriority ORDER BY o_orderpriority DESC) AS p FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, list(DISTINCT o_orderpriority ORDER BY o_orderpriority DESC) AS p FROM orders GROUP BY o_orderstatus")
 add("agg_min_max", "SELECT s.k, s.r.min AS low, s.r.max AS high FROM (SELECT o_orderstatus AS k, MIN_MAX(o_orderkey) AS r FROM orders GROUP BY o_orderstatus) AS s", "SELECT o_orderstatus AS k, MIN(o_orderkey) AS low, MAX(o_orderkey) AS high FROM orders GROUP BY o_orderstatus")
-add("agg_product", "SELECT l_returnflag, ROUND(PRODUCT(l_linenumber), 0) AS p FROM lineitem WHERE l_orderkey < 4 GROUP BY l_returnflag", "SELECT l_returnflag, round_even(product(l_linenumber), 0) AS p FROM lineitem WHERE l_orderkey < 4 GROUP BY l_returnflag")
+add("agg_product", "SELECT l_orderkey, ROUND(PRODUCT(l_linenumber), 0) AS p FROM lineitem GROUP BY l_orderkey", "SELECT l_orderkey, round_even(product(l_linenumber), 0) AS p FROM lineitem GROUP BY l_orderkey")
 add("agg_group_all", "SELECT p_brand, p_size, COUNT(*) AS n FROM part GROUP BY ALL", "SELECT p_brand, p_size::BIGINT AS p_size, COUNT(*) AS n FROM part GROUP BY ALL")
 add("agg_ordinal_having", "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY 1 HAVING COUNT(*) > 10")
 add("agg_expression_key", "SELECT YEAR(o_orderdate) AS y, COUNT(*) AS n FROM orders GROUP BY YEAR(o_orderdate)")
@@ -91,7 +91,7 @@ add("text_cosine", "SELECT doc_id, ROUND(COSINE_SIMILARITY(text, 'the and of'),
 add("str_random", "SELECT RANDOM() AS a, NORMAL() AS b, RANDOM_STRING(8) AS c, HASH(r_name) AS h FROM region", None)
 # types
 add("casts", "SELECT CAST(o_orderkey AS VARCHAR) AS s, CAST(o_totalprice AS INTEGER) AS i, CAST('12' AS INTEGER) AS n, TRY_CAST('x' AS INTEGER) AS bad, CAST('2024-02-29' AS DATE) AS d, CAST(1 AS BOOLEAN) AS b, o_orderkey::DOUBLE AS f FROM orders", "SELECT o_orderkey::VARCHAR AS s, trunc(o_totalprice)::BIGINT AS i, 12::BIGINT AS n, NULL::BIGINT AS bad, DATE '2024-02-29' AS d, true AS b, o_orderkey::DOUBLE AS f FROM orders")
-add("cast_decimal", "SELECT CAST(l_extendedprice AS DECIMAL(12, 2)) AS d, CAST(l_quantity AS DECIMAL(10, 1)) AS q FROM lineitem WHERE l_orderkey < 100")
+add("cast_decimal", "SELECT CAST(l_extendedprice AS DECIMAL(12, 2)) AS d, CAST(l_quantity AS DECIMAL(10, 1)) AS q FROM lineitem")
 add("try_functions", "SELECT TRY_INTEGER(s) AS i, TRY_DOUBLE(s) AS d, TRY_DATE(s) AS t, TRY_BOOLEAN(s) AS b FROM (VALUES ('12'), ('x'), ('2024-01-02'), ('true'), (NULL)) AS v(s)", "SELECT TRY_CAST(s AS BIGINT) AS i, TRY_CAST(s AS DOUBLE) AS d, TRY_CAST(s AS DATE) AS t, CASE WHEN s = 'true' THEN true END AS b FROM (VALUES ('12'), ('x'), ('2024-01-02'), ('true'), (NULL)) AS v(s)")
 add("cast_array", "SELECT CAST(v AS ARRAY<INTEGER>) AS a FROM (SELECT ARRAY['1', '2', NULL] AS v) AS t", "SELECT [1, 2]::BIGINT[] AS a")
 # numbers

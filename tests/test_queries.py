@@ -39,3 +39,8 @@ def test_query(spark, duck, name):
     other = duck.sql(queries.ORACLE_SQL[name])
     at = [other.columns.index(c) for c in df.columns]
     assert sorted(map(repr, rows)) == sorted(repr(tuple(norm(r[i]) for i in at)) for r in other.fetchall())
+
+
+def test_these_run_over_the_whole_table(spark, duck):
+    for name, of in (("unnest_cross", "(SELECT unnest(string_split(event_type, 'i')) FROM events)"), ("cast_decimal", "lineitem"), ("agg_product", "(SELECT DISTINCT l_orderkey FROM lineitem)")):
+        assert queries.QUERIES[name](spark, DATA).count() == duck.sql(f"SELECT count(*) FROM {of}").fetchall()[0][0]
