@@ -37,7 +37,7 @@ LN10 = float(np.log(10))
 START = b" "
 
 
-def pieces_of(path: str, longest: int = 16) -> list[bytes]:
+def pieces_of(path: str) -> list[bytes]:
     """Lower-cased byte pieces of a sentencepiece model, with all single bytes, so that every text has a segmentation."""
     import sentencepiece
 
@@ -47,7 +47,7 @@ def pieces_of(path: str, longest: int = 16) -> list[bytes]:
         if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i):
             continue
         p = re.sub(rb"\xe2\x96\x81", START, sp.id_to_piece(i).encode()).lower()
-        if 1 <= len(p) <= longest and START not in p[1:]:
+        if p and START not in p[1:]:
             out.add(p)
     return sorted(out)
 

@@ -88,6 +88,21 @@ def test_lattice_sums_all_segmentations():
         assert e[i] == pytest.approx(((up - m.log_prob(words)) * [1, 2, 3, 1]).sum() / 1e-5, rel=1e-3, abs=1e-3)
 
 
+def test_lattice_takes_pieces_of_any_length():
+    P = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    own = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    raw = {p.replace("▁", " ").encode().lower() for p in own if "▁" not in p[1:]}
+    got = lattice_lm.pieces_of(path)
+    assert set(got) == raw | {bytes([b]) for b in range(256)} and max(map(len, got)) > 16
+    long = max(got, key=len).lstrip(b" ")
+    m = lattice_lm.Lattice(got, np.zeros(len(got) + 1))
+    assert max(j - i for i, j, _, _ in m.edges(np.frombuffer(b" " + long, np.uint8)[None].astype(np.uint64))) >= len(long)
+
+
 def test_lattice_scores(spark):
     pieces = sorted({bytes([b]) for b in range(256)} | {b" the", b"th", b"at"})
     rows = [(i, t, i != 3) for i, t in enumerate(["the cat", "that Cat the", None, "new cat", "the " * 30])] + [(9, "x\x0by\x1cz", True)]
