@@ -20,8 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         told = edges.join(labels.withColumnRenamed("v", "b"), "b").select(F.col("a").alias("v"), "c")
         least = checkpoint(told.unionAll(labels).groupBy("v").agg(F.min("c").alias("c")))
-        jump = least.select(F.col("v").alias("c"), F.col("c").alias("up"))
-        new = checkpoint(least.join(jump, "c").select("v", F.least("c", "up").alias("c")))
+        jump = least.filter("v <> c").select(F.col("v").alias("c"), F.col("c").alias("up"))  # a root's label is itself
+        new = checkpoint(least.join(jump, "c", "left").select("v", F.coalesce("up", "c").alias("c")))
         changed = new.join(labels.withColumnRenamed("c", "old"), "v").filter("c <> old").limit(1).count()
         labels = new
         if not changed:

@@ -2,29 +2,34 @@
 
 A document is its set of five-word shingles (words between blanks, as they are).
 Equal sets are one vertex. Every set is embedded as a MinHash sketch, whose
-(coordinate, value) pairs are the tokens of the recursion: a node samples some
-coordinates, the sets that share a sampled token go to one child, and a child
-that holds too many sets is split again in the same way. Small buckets are
-compared by brute force on the sketches. Independent runs are repeated until a
-pair at the threshold is met with the target recall. The pairs found link
-candidate clusters; inside each, all pairs are verified on the exact sets, in
-blocks.
-
-Which nodes are too large is counted over all sets (counts are combined before
-the shuffle), so a hot token is split before its sets are brought together. What
-still is too large at the greatest depth is compared block by block.
+(coordinate, value) pairs are the tokens of the recursion: a run deals the
+coordinates out to its levels, the sets of a node that share a token sampled at
+its level go to one child, and a child that holds too many sets is split again.
+Small buckets are compared by brute force on the sketches. Runs are repeated
+until a pair at the threshold is met with the target recall at the depth that
+the recursion has reached. The pairs found link candidate clusters; inside each,
+all pairs are verified on the exact sets, in blocks.
+
+A node is counted (before any sets are brought together) and only the children
+of nodes that are too large go to the next level. A node whose split would not
+lower the number of pairs to compare holds sets that are alike by 1/width or
+more on average. Splitting it more is no use; it is one candidate cluster, linked
+by a star and verified exactly. So no node and no bucket has a cap on its sets.
+
+Link counts need each pair of different sets in a cluster once: blocks of 128
+sets meet in tasks of their own, so a cluster of g sets moves g/128 times.
 
 Defined results: null, empty and blank texts have no shingle; each is its own
 class without links. A text of one to four words has one shingle. Documents with
 equal sets (repeated rows too) are linked to each other. A class has the least
-doc_id of its members; null ids come last.
+doc_id of its members; null ids come last. Other columns, whatever their names,
+play no part and are kept by ``deduplicate``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from loomquery.llm import textkernel as K
 from loomquery.llm.components import components
-from loomquery.llm.shared import arrow_map, checkpoint, docs_of, parts
+from loomquery.llm.shared import arrow_map, checkpoint, docs_of, free_name, parts
 
 T = 64
 _rng = np.random.default_rng(5)
@@ -58,48 +63,24 @@ def sketches(s: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out
 
 
-@dataclass(frozen=True)
-class Paths:
-    """The recursion: ``runs`` roots, ``width`` sampled coordinates a node, hot nodes (with their size) split down to ``depth``."""
-
-    runs: int
-    width: int
-    depth: int
-    hot: dict
-    block: int = 1000
-
-    def coordinates(self, node: np.ndarray) -> np.ndarray:
-        """Distinct sampled coordinates of each node: they depend on nothing but the node."""
-        first = (K.mix(node ^ K.U(0xA5A5)) % K.U(T)).astype(np.int64)
-        step = (K.mix(node ^ K.U(0x5A5A)) % K.U(T // 2)).astype(np.int64) * 2 + 1
-        return (first[:, None] + step[:, None] * np.arange(self.width)) % T
-
-    def children(self, node: np.ndarray, sk: np.ndarray) -> np.ndarray:
-        """Child nodes [rows, width] of sets sk in nodes."""
-        c = self.coordinates(node)
-        v = np.take_along_axis(sk, c, 1).astype(np.uint64)
-        return K.mix(node[:, None] * K.U(0x9E3779B97F4A7C15) + K.mix(v << K.U(8) | c.astype(np.uint64)))
-
-    def leaves(self, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, nodes) where the recursion ends."""
-        rows, out = [], []
-        hot = np.array(sorted(self.hot), np.uint64)
-        at = np.repeat(np.arange(len(sk)), self.runs)
-        node = np.tile(K.mix(np.arange(self.runs, dtype=np.uint64) + K.U(77)), len(sk))
-        for level in range(1, self.depth + 1):
-            node = self.children(node, sk[at]).ravel()
-            at = np.repeat(at, self.width)
-            big = np.isin(node, hot) if len(hot) and level < self.depth else np.zeros(len(node), bool)
-            rows.append(at[~big])
-            out.append(node[~big])
-            at, node = at[big], node[big]
-            if not len(at):
-                break
-        return np.concatenate(rows), np.concatenate(out)
+def coordinates(run: np.ndarray, level: int, width: int) -> np.ndarray:
+    """The ``width`` coordinates [runs, width] that runs sample at a level; a run takes none twice."""
+    order = np.argsort(K.mix(run.astype(np.uint64)[:, None] * K.U(64) + np.arange(T, dtype=np.uint64) + K.U(77)), 1)
+    return order[:, level * width : (level + 1) * width]
+
+
+def children(node: np.ndarray, sk: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Child nodes [rows, width] of sets sk in nodes, by coordinates c [rows, width]."""
+    v = np.take_along_axis(sk, c, 1).astype(np.uint64)
+    return K.mix(node[:, None] * K.U(0x9E3779B97F4A7C15) + K.mix(v << K.U(8) | c.astype(np.uint64)))
+
+
+def sketch_matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, T)
 
 
 def runs_for(threshold: float, width: int, depth: int, recall: float) -> int:
-    """Runs after which a pair at the threshold is met with ``recall``, at the greatest depth."""
+    """Runs after which a pair at the threshold is met with ``recall``, where the recursion is ``depth`` levels deep."""
     once = (1 - (1 - threshold) ** width) ** depth
     return math.ceil(math.log(1 - recall) / math.log(1 - once))
 
@@ -147,14 +128,109 @@ def star_edges(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np
     return ids[order[label[far]]], ids[far]
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, recall: float = 0.9999, width: int = 2, depth: int = 3, limit: int = 2000) -> DataFrame:
-    """(_row, doc_id, class_id, n_links, first) of every row of docs, which has the row number ``_row``.
+def candidates(reps: DataFrame, threshold: float, recall: float, width: int, limit: int, depth: int = 3) -> DataFrame:
+    """Edges (a, b) of rep numbers: spanning stars of the sets that the recursion brings together.
+
+    The first runs are as many as a recursion of ``depth`` levels needs; more follow if it goes deeper.
+
+    reps: (rep, sketch), read more than once. Levels end by themselves: a split
+    node has fewer pairs to compare than its parent, and a run has T / width
+    levels at most, after which the sets of a node share half of all coordinates.
+    """
+    spark = reps.sparkSession
+    least = math.floor(T * (threshold - 0.25))
+
+    def first(runs: np.ndarray):
+        c, roots = coordinates(runs, 0, width), K.mix(runs.astype(np.uint64) + K.U(77))
+
+        def deal(b: pa.RecordBatch):
+            sk, n = sketch_matrix(b.column(1)), len(runs)
+            node = children(np.tile(roots, b.num_rows), np.repeat(sk, n, 0), np.tile(c, (b.num_rows, 1))).ravel()
+            run = np.tile(np.repeat(runs, width), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(node.view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n * width)))], ["run", "node", "rep"])
+
+        return arrow_map(reps.select("rep", "sketch"), deal, "run long, node long, rep long")
+
+    def deeper(opened: DataFrame, level: int):
+        def split(b: pa.RecordBatch):
+            run, node, sk = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), sketch_matrix(b.column(3))
+            runs, at = np.unique(run, return_inverse=True)
+            kids = children(node, sk, coordinates(runs, level, width)[at]).ravel()
+            take = pa.array(np.repeat(np.arange(b.num_rows), width))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(kids.view(np.int64)), b.column(2).take(take)], ["run", "parent", "node", "rep"])
+
+        return arrow_map(opened.select("run", "node", "rep", "sketch"), split, "run long, parent long, node long, rep long")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spanning edges of the pairs in each bucket whose sketches agree about as far as the threshold."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for _, g in groups(batches, 1):
+            ids, sk = g.column(1).to_numpy(), sketch_matrix(g.column(2))
+            left, right = [], []
+            for i in range(len(ids) - 1):
+                j = np.flatnonzero((sk[i + 1 :] == sk[i]).sum(1) >= least)
+                if len(j):
+                    left.append(np.full(len(j), i))
+                    right.append(j + i + 1)
+            if left:
+                out.append(star_edges(ids, np.concatenate(left), np.concatenate(right)))
+                size += len(out[-1][0])
+            if size > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in out])) for k in (0, 1)], ["a", "b"])
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in out])) for k in (0, 1)], ["a", "b"])
+
+    def compared(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
+        rows = buckets.join(sketches, "rep").select("node", "rep", "sketch")
+        return checkpoint(rows.repartition(parts(spark), "node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long"))
+
+    def level_of(entries: DataFrame, *keys: str) -> DataFrame:
+        """Entries of nodes with more than one set, with the node's count; counts are combined before the shuffle."""
+        counts = entries.groupBy(*keys).agg(F.count("*").alias("c"))
+        return checkpoint(entries.join(counts.filter("c > 1"), list(keys)))
+
+    edges, done, needed = [], 0, runs_for(threshold, width, depth, recall)
+    while done < needed:
+        kept, sketches, level = level_of(first(np.arange(done, needed)), "node"), reps.select("rep", "sketch"), 1
+        done = needed
+        edges.append(compared(kept.filter(F.col("c") <= limit), sketches))
+        while not (hot := kept.filter(F.col("c") > limit)).isEmpty():
+            opened = checkpoint(hot.join(sketches, "rep").select("run", "node", "rep", "sketch", "c"))
+            sketches = opened.select("rep", "sketch").dropDuplicates(["rep"])
+            own = opened.groupBy("node").agg(F.first("c").alias("own"), F.min("rep").alias("least"))
+            ends = (level + 1) * width > T
+            if ends:
+                whole = own
+            else:
+                kids = checkpoint(deeper(opened, level))
+                pairs = kids.groupBy("parent", "node").agg(F.count("*").alias("c")).groupBy("parent").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("pairs"))
+                verdict = checkpoint(own.join(pairs.withColumnRenamed("parent", "node"), "node").withColumn("whole", F.expr("pairs >= double(own) * own")))
+                whole = verdict.filter("whole")
+            edges.append(checkpoint(opened.select("node", "rep").join(whole.select("node", "least"), "node").filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))))
+            if ends:
+                break
+            split = verdict.filter("not whole").select(F.col("node").alias("parent"))
+            kept, level = level_of(kids.join(split, "parent", "left_semi").select("run", "node", "rep"), "node"), level + 1
+            if not kept.isEmpty():
+                edges.append(compared(kept.filter(F.col("c") <= limit), sketches))
+        needed = max(needed, runs_for(threshold, width, level, recall))
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionAll(e)
+    return out
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, recall: float = 0.9999, width: int = 2, limit: int = 1000, row: str = "_row", block: int = 128) -> DataFrame:
+    """(_row, doc_id, class_id, n_links, first) of every row of docs, whose column ``row`` has the row numbers.
 
     n_links: other rows whose sets have a Jaccard similarity of ``threshold`` or
     more. ``first``: the one row of its class with the least (doc_id, _row).
+    limit: sets in a node above which it is split; block: sets of a verified block.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col("_row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+    src = docs.select(F.col(row).alias("_row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
 
     def embed(b: pa.RecordBatch):
         """One row for each distinct set of a batch, with its rows."""
@@ -179,88 +255,13 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     sets = checkpoint(arrow_map(src, embed, "s1 long, s2 long, n long, rows array<long>, ids array<long>, sketch binary"))
     some = sets.filter("n > 0")
     reps = checkpoint(some.groupBy("s1", "s2", "n").agg(F.min(F.struct(F.col("ids")[0].isNull(), F.col("ids")[0].alias("id"), F.col("rows")[0].alias("row"))).alias("lead"), F.sum(F.size("rows")).alias("m"), F.first("sketch").alias("sketch")).select("s1", "s2", "n", "m", "sketch", F.col("lead.row").alias("rep"), F.col("lead.id").alias("min_id")))
-    total = reps.count()
-    if not total:
-        reps = reps.limit(0)
-
-    # which nodes are too large, level by level; at most total * runs * width**depth / most nodes can be
-    runs = runs_for(threshold, width, depth, recall)
-    most = max(limit, total // 20_000)
-    hot: dict[int, int] = {}
-    for _ in range(depth):
-        sent = spark.sparkContext.broadcast(Paths(runs, width, depth, hot))
-
-        def nodes(b: pa.RecordBatch, sent=sent):
-            sk = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32).reshape(-1, T)
-            u, c = np.unique(sent.value.leaves(sk)[1].view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], ["node", "c"])
-
-        large = arrow_map(reps.select("sketch"), nodes, "node long, c long").groupBy("node").agg(F.sum("c").alias("c")).filter(F.col("c") > most).collect()
-        new = {r["node"] & (1 << 64) - 1: r["c"] for r in large}
-        if new.keys() <= hot.keys():
-            break
-        hot = hot | new
-    paths = spark.sparkContext.broadcast(Paths(runs, width, depth, hot))
-
-    def deal(b: pa.RecordBatch):
-        """(node, block pair, rep, sketch) of each leaf; a node that stays too large is dealt in pairs of blocks."""
-        p = paths.value
-        blob = b.column(1)
-        sk = np.frombuffer(b"".join(blob.to_pylist()), np.uint32).reshape(-1, T)
-        rows, node = p.leaves(sk)
-        pair = np.zeros(len(rows), np.int64)
-        big = np.flatnonzero(np.isin(node, np.array(sorted(p.hot), np.uint64))) if p.hot else []
-        if len(big):
-            rep = b.column(0).to_numpy()
-            extra_r, extra_n, extra_p = [], [], []
-            for i in big:
-                k = math.ceil(p.hot[int(node[i])] / p.block)
-                own = int(K.mix(rep[rows[i] : rows[i] + 1].astype(np.uint64))[0] % K.U(k))
-                to = [min(own, j) << 20 | max(own, j) for j in range(k)]
-                pair[i] = to[0]
-                extra_r += [rows[i]] * (k - 1)
-                extra_n += [node[i]] * (k - 1)
-                extra_p += to[1:]
-            rows, node, pair = np.r_[rows, np.array(extra_r, np.int64)], np.r_[node, np.array(extra_n, np.uint64)], np.r_[pair, np.array(extra_p, np.int64)]
-        for lo in range(0, len(rows), 20_000):
-            at = pa.array(rows[lo : lo + 20_000])
-            yield pa.RecordBatch.from_arrays([pa.array(node[lo : lo + 20_000].view(np.int64)), pa.array(pair[lo : lo + 20_000]), b.column(0).take(at), blob.take(at)], ["node", "pair", "rep", "sketch"])
-
-    least = math.floor(T * (threshold - 0.25))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spanning edges of the pairs in each bucket whose sketches agree about as far as the threshold."""
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for _, g in groups(batches, 2):
-            if g.num_rows < 2:
-                continue
-            ids = g.column(2).to_numpy()
-            sk = np.frombuffer(b"".join(g.column(3).to_pylist()), np.uint32).reshape(-1, T)
-            left, right = [], []
-            for i in range(len(ids) - 1):
-                j = np.flatnonzero((sk[i + 1 :] == sk[i]).sum(1) >= least)
-                if len(j):
-                    left.append(np.full(len(j), i))
-                    right.append(j + i + 1)
-            if left:
-                out.append(star_edges(ids, np.concatenate(left), np.concatenate(right)))
-                size += len(out[-1][0])
-            if size > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in out])) for k in (0, 1)], ["a", "b"])
-                out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in out])) for k in (0, 1)], ["a", "b"])
-
     n_parts = parts(spark)
-    dealt = arrow_map(reps.select("rep", "sketch"), deal, "node long, pair long, rep long, sketch binary").repartition(n_parts, "node", "pair").sortWithinPartitions("node", "pair")
-    clusters = components(dealt.mapInArrow(compare, "a long, b long"))
+    clusters = components(candidates(reps, threshold, recall, width, limit))
     sizes = clusters.groupBy("c").agg(F.count("*").alias("size"))
     members = checkpoint(clusters.join(sizes, "c").join(reps.select(F.col("rep").alias("v"), "m"), "v"))
 
     # exact sets of the members, dealt to their cluster's pairs of blocks
-    block = 1000
-    texts = members.join(docs.select(F.col("_row").alias("v"), F.col(text).alias("t")), "v")
+    texts = members.join(docs.select(F.col(row).alias("v"), F.col(text).alias("t")), "v")
 
     def exact(b: pa.RecordBatch):
         for i, j, t in K.slices(b.column(3)):
@@ -320,17 +321,14 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     return out.unionByName(none.select("_row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first")))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with ``_row``: the same numbers whenever a file is read again."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """One row of each class, unchanged. docs must read the same rows in the same order each time, as files do."""
-    rows = numbered(docs)
-    first = classes(rows, text, doc_id, threshold).filter("first").select("_row")
-    return rows.join(first, "_row", "left_semi").drop("_row")
+    row = free_name(docs, "_row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    first = classes(rows, text, doc_id, threshold, row=row).filter("first").select(F.col("_row").alias(row))
+    return rows.join(first, row, "left_semi").select(*docs.columns)
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return classes(numbered(docs_of(spark, sf_dir))).select("doc_id", "class_id", "n_links")
+    docs = docs_of(spark, sf_dir).select("doc_id", "text")
+    return classes(docs.withColumn("_row", F.monotonically_increasing_id())).select("doc_id", "class_id", "n_links")

@@ -28,6 +28,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the store that Hadoop finds it in."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return out if not out.startswith("file:/") or out.startswith("file://") else "file://" + out[5:]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of fresh_path that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage, so a lost executor costs a read, not a recomputation."""
     sc = df.sparkSession.sparkContext
@@ -36,6 +49,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage like a checkpoint, in less space."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions, as the session sizes them for its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -52,6 +72,14 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(doc_id: str, m: int):
     """crc32 of the id's decimal text, modulo m; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % m, F.lit(0))
