@@ -11,7 +11,12 @@ repeat (byte for byte, so hashes decide nothing).
 
 A task's batch sends one row at most for each anchor hash and each snippet to
 the place where they meet; further copies in it are known to repeat and only
-travel by document. So a hot passage never gathers in one task.
+travel by document. Where more than ``most`` bytes of different snippets meet at
+one anchor (a line that many documents share), they are not judged there. Each
+is cut by its starts' distance to the anchor into narrower classes, whose windows
+have more bytes in common than the anchor, and goes to where those bytes meet;
+again, until the snippets of a place are few or a place has one window. So no
+task holds all that a hot passage or a hot line brings together.
 
 Defined results: null and empty texts have no bytes, no spans and the hash of
 nothing. Repeated rows, with one id or several, are copies of each other. Texts
@@ -29,19 +34,19 @@ from pyspark.sql import functions as F
 
 from loomquery.llm import textkernel as K
 from loomquery.llm.bwt import repeated_starts
-from loomquery.llm.shared import arrow_map, docs_of, parts
+from loomquery.llm.shared import arrow_map, docs_of, parts, written
 
-LEAST, GRAM = 200, 96
+LEAST, GRAM, MOST = 200, 96, 1 << 20
 
 
-def anchors(t: K.Text, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first start, last start, anchor hash) of each run of starts with one anchor; starts count in the document."""
+def anchors(t: K.Text, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first start, last start, anchor hash, anchor's place) of each run of starts with one anchor; places count in the document."""
     none = np.zeros(0, np.int64)
     n, w = len(t.buf), least - gram + 1
     size = np.diff(t.ptr)
     long = np.flatnonzero(size >= least)
     if not len(long):
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     p = np.arange(n - gram + 1)
     s = t.prefix()
     _, inv = K.powers(n + 1)
@@ -56,7 +61,7 @@ def anchors(t: K.Text, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray
     cut = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
     lo, hi = q[cut], q[np.r_[cut[1:], len(q)] - 1]
     d = np.searchsorted(t.ptr, lo, "right") - 1
-    return d, lo - t.ptr[d], hi - t.ptr[d], h[a[cut]]
+    return d, lo - t.ptr[d], hi - t.ptr[d], h[a[cut]], a[cut] - t.ptr[d]
 
 
 def repeats_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,25 +80,49 @@ def spans_of(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(lo[cut].tolist(), hi[np.r_[cut[1:], len(lo)] - 1].tolist(), strict=True))
 
 
-def by_key(batches: Iterator[pa.RecordBatch], most: int, weigh: int | None = None) -> Iterator[pa.Table]:
-    """Tables of whole groups of the first column (sorted), of about ``most`` rows or bytes of a binary column."""
+def by_key(batches: Iterator[pa.RecordBatch], most: int, weigh: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """(rows, whole): groups of the first column (sorted), of about ``most`` rows or bytes of a binary column.
+
+    A group that alone is larger comes in pieces, which are not whole.
+    """
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, large = 0, None
+
+    def weight(x) -> int:
+        return x.num_rows if weigh is None else x.column(weigh).nbytes
+
     for b in batches:
         if not b.num_rows:
             continue
+        if large is not None:  # more of the group that is in pieces
+            n = int(np.searchsorted(b.column(0).to_numpy(), large, "right"))
+            if n:
+                held.append(b.slice(0, n))
+                size += weight(held[-1])
+                if size < most and n == b.num_rows:
+                    continue
+                yield pa.Table.from_batches(held).combine_chunks(), False
+            elif held:
+                yield pa.Table.from_batches(held).combine_chunks(), False
+            held, size = [], 0
+            if n == b.num_rows:
+                continue
+            b, large = b.slice(n), None
         held.append(b)
-        size += b.num_rows if weigh is None else b.column(weigh).nbytes
+        size += weight(b)
         if size >= most:
             t = pa.Table.from_batches(held).combine_chunks()
             k = t.column(0).to_numpy()
             cut = int(np.searchsorted(k, k[-1], "left"))
             if cut:
-                yield t.slice(0, cut)
-                held = t.slice(cut).combine_chunks().to_batches()
-                size = held[0].num_rows if weigh is None else held[0].column(weigh).nbytes
+                yield t.slice(0, cut), True
+                t = t.slice(cut).combine_chunks()
+            held, size = t.to_batches(), weight(t)
+            if size >= most:
+                yield t, False
+                held, size, large = [], 0, k[-1]
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield pa.Table.from_batches(held).combine_chunks(), large is None
 
 
 def repeated_in(ah: np.ndarray, blobs: list[bytes], known: np.ndarray, least: int = LEAST) -> list[np.ndarray]:
@@ -118,22 +147,111 @@ def repeated_in(ah: np.ndarray, blobs: list[bytes], known: np.ndarray, least: in
     return [flags[i] for i in of]
 
 
-def repeated_spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
+DEALT = "ah long, spread short, row long, at long, s binary"
+#: Starts lo to lo + n of a row: known to repeat if s is null, else still to be judged on the bytes s.
+JUDGED = "row long, lo long, n long, known boolean, s binary"
+
+
+def judge(least: int, most: int, width: int | None):
+    """Judges what meets at a key; a group of over ``most`` bytes is handed on, but for copies among its pieces.
+
+    ``width`` 1: the snippets are single windows that are equal, unless two of
+    them share a 64-bit key; so a group's different ones are few, and it is judged.
+    """
+
+    def rows_of(row, lo, n, known=None, s=None) -> pa.RecordBatch:
+        k = len(row)
+        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64()), pa.array(np.zeros(k, bool) if known is None else known), pa.nulls(k, pa.binary()) if s is None else pa.array(s, pa.binary())], ["row", "lo", "n", "known", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single, single_key = {}, None  # width 1: the window's first row, None once it is known to repeat
+        for t, whole in by_key(batches, most, 4):
+            ah, row, at = (t.column(k).to_numpy() for k in (0, 2, 3))
+            s = t.column(4).to_pylist()
+            lo, n, known = at >> 9, at >> 1 & 255, at & 1 > 0
+            full = np.array([x is None for x in s])
+            yield rows_of(row[full], lo[full], n[full])
+            own = np.flatnonzero(~full)
+            if width == 1:
+                again = []
+                for i in own.tolist():
+                    if ah[i] != single_key:
+                        single, single_key = {}, ah[i]
+                    if s[i] not in single:
+                        single[s[i]] = None if known[i] else i, int(row[i]), int(lo[i])
+                        if known[i]:
+                            again.append((int(row[i]), int(lo[i])))
+                        continue
+                    first, r, p = single[s[i]]
+                    if first is not None:
+                        again.append((r, p))
+                        single[s[i]] = None, r, p
+                    again.append((int(row[i]), int(lo[i])))
+                yield rows_of([x[0] for x in again], [x[1] for x in again], [0] * len(again))
+            elif whole:
+                a, b, c = [], [], []
+                for i, f in zip(own, repeated_in(ah[own], [s[i] for i in own], known[own], least), strict=True):
+                    edge = np.array([0, len(f)]) if f.all() else np.flatnonzero(np.diff(np.r_[False, f, False]))
+                    a += [row[i]] * (len(edge) // 2)
+                    b += (lo[i] + edge[::2]).tolist()
+                    c += (edge[1::2] - edge[::2] - 1).tolist()
+                yield rows_of(a, b, c)
+            else:
+                first: dict[bytes, int] = {}
+                twice = set()
+                for i in own.tolist():
+                    if first.setdefault(s[i], i) != i:
+                        twice.add(first[s[i]])
+                copies = np.array([i for i in own.tolist() if first[s[i]] != i], np.int64)
+                yield rows_of(row[copies], lo[copies], n[copies])
+                left = list(first.values())
+                sure = np.array([known[i] or i in twice for i in left])
+                yield rows_of(row[left], lo[left], n[left], sure, [s[i] for i in left])
+
+    return run
+
+
+def narrower(least: int, width: int):
+    """Snippets cut into classes of ``width`` distances from a start to the anchor, by the bytes that all windows of the class hold."""
+
+    def run(b: pa.RecordBatch):
+        row, lo, n, known = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        for i, j, t in K.slices(b.column(4)):
+            d, first, last, _, place = anchors(t, least)
+            if (np.diff(d, prepend=-1) != 1).any() or (last - first != n[i:j]).any():
+                raise ValueError("a snippet has one anchor")
+            low, high = (place - n[i:j]) // width, place // width
+            size = high - low + 1
+            at = np.repeat(np.arange(j - i), size)
+            k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[at]
+            start = np.maximum(place[at] - (k + 1) * width + 1, 0)  # starts of the class
+            stop = np.minimum(place[at] - k * width, n[i:j][at])
+            base = t.ptr[:-1][at]
+            inner = base + place[at] - k * width  # bytes that windows of the class share
+            key = t.hashes(inner, inner - width + 1 + least) ^ K.mix(k.astype(np.uint64))
+            raw = t.buf.tobytes()
+            s = [raw[x:y] for x, y in zip((base + start).tolist(), (base + stop + least).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.zeros(len(at), np.int16)), pa.array(row[i:j][at]), pa.array((lo[i:j][at] + start) << 9 | (stop - start) << 1 | known[i:j][at]), pa.array(s, pa.binary())], ["ah", "spread", "row", "at", "s"])
+
+    return run
+
+
+def repeated_spans(rows: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     """rows (_row, doc_id, raw binary) -> (_row, lo, hi): ranges of repeated starts."""
     n_parts = parts(rows.sparkSession)
 
     def deal(b: pa.RecordBatch):
         for i, _, t in K.slices(b.column(1)):
-            d, lo, hi, h = anchors(t, least)
+            d, lo, hi, h, _ = anchors(t, least)
             lead, twice = repeats_of(h)
             row = b.column(0).to_numpy()[d + i]
             spread = np.where(lead, 0, 1 + (row + lo) % 1009)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(spread.astype(np.int16)), pa.array(row), pa.array(lo << 9 | (hi - lo) << 1 | twice)], ["ah", "spread", "row", "at"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, 50_000):
+        for t, whole in by_key(batches, 50_000):
             ah, at = t.column(0).to_numpy(), t.column(3).to_numpy()
-            keep = pa.array((at & 1 > 0) | repeats_of(ah)[1])
+            keep = pa.array((at & 1 > 0) | repeats_of(ah)[1] | (not whole))
             yield from t.select(["row", "ah", "at"]).filter(keep).to_batches()
 
     found = arrow_map(rows.select("_row", "raw"), deal, "ah long, spread short, row long, at long").repartition(n_parts, "ah", "spread").sortWithinPartitions("ah").mapInArrow(meet, "row long, ah long, at long")
@@ -177,35 +295,26 @@ def repeated_spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
         if keys:
             yield out()
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, 1 << 20, 4):
-            ah, row, at = (t.column(k).to_numpy() for k in (0, 2, 3))
-            s = t.column(4).to_pylist()
-            lo, n = at >> 9, at >> 1 & 255
-            full = np.array([x is None for x in s])
-            own = np.flatnonzero(~full)
-            a, b_, c = [row[full]], [lo[full]], [lo[full] + n[full]]
-            for i, f in zip(own, repeated_in(ah[own], [s[i] for i in own], at[own] & 1 > 0, least), strict=True):
-                if f.all():
-                    edge = np.array([0, len(f)])
-                else:
-                    edge = np.flatnonzero(np.diff(np.r_[False, f, False]))
-                a.append(np.full(len(edge) // 2, row[i]))
-                b_.append(lo[i] + edge[::2])
-                c.append(lo[i] + edge[1::2] - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b_, c)], ["_row", "lo", "hi"])
-
     dealt = arrow_map(texts, cut, "ah long, spread short, row long, at long, s binary").repartition(n_parts, "ah", "spread").sortWithinPartitions("ah")
-    return dealt.mapInArrow(judge, "_row long, lo long, hi long")
-
-
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
+    width, out = None, None
+    while True:
+        judged = written(dealt.mapInArrow(judge(least, most, width), JUDGED), "judged")
+        done = judged.filter("s IS NULL").select(F.col("row").alias("_row"), "lo", (F.col("lo") + F.col("n")).alias("hi"))
+        out = done if out is None else out.unionAll(done)
+        left = judged.filter("s IS NOT NULL")
+        if width == 1 or left.isEmpty():
+            return out
+        width = max(1, (least - GRAM + 1 if width is None else width) // 2)
+        dealt = arrow_map(left.select("row", "lo", "n", "known", "s"), narrower(least, width), DEALT).repartition(n_parts, "ah", "spread").sortWithinPartitions("ah")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, most: int = MOST) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row: removed byte runs and what is left.
 
     docs must read the same rows in the same order each time, as files do.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.encode(F.col(text), "utf-8"), F.lit(b"")).alias("raw"))
-    found = repeated_spans(rows, least).groupBy("_row").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    found = repeated_spans(rows, least, most).groupBy("_row").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
 
     def remove(b: pa.RecordBatch):
         off = b.column(2).offsets.to_numpy()
