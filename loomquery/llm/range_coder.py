@@ -1,15 +1,18 @@
 """Adaptive context-mixing range coder for token ids, in numpy.
 
 A block is coded on its own: its models start anew and two checksums guard it.
-It holds the block's alphabet and ``STRIPES`` equal stretches of ids that are
-coded side by side, so all stripes of many blocks advance in one vector step.
-The id after two others is predicted thrice: by the last id after the same two
-(order 2, hashed), by the last id after the same one (order 1), and by all ids'
-counts so far (order 0). The mixture of the three fills the coder's range: order
-2's and order 1's candidates get shares by how often candidates of their
-confidence were right in this block, and the counts share the rest. Counts and
-shares are renewed every ``RENEW`` steps, candidates every step. Both sides
-derive all of it from ids already coded; all arithmetic is in integers.
+It holds the block's alphabet and equal stretches of ids (1,024 in a full block)
+that are coded side by side, so all stretches of many blocks advance in one
+vector step. The id after two others is predicted thrice: by the last id after
+the same two (order 2, hashed), by the last id after the same one (order 1), and
+by all ids' counts so far (order 0). The mixture of the three fills the coder's
+range: order 2's and order 1's candidates get shares by how often candidates of
+their kind were right in this block, and the counts share the rest. A kind is a
+candidate's confidence and, for order 2, how many predictions in a row were right
+in this stretch, so text that was seen before costs little after its first ids.
+Counts and shares are renewed every ``RENEW`` steps, and after 1, 2, 4, ... steps
+before that; candidates every step. Both sides derive all of it from ids already
+coded; all arithmetic is in integers.
 
 The coder keeps a 64-bit low and range for each stripe, writes 32-bit words, and
 passes carries on to words already written.
@@ -17,19 +20,21 @@ passes carries on to words already written.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
 import numpy as np
 
-MAGIC = b"LQR1"
-STRIPES = 64
-BLOCK = 65536
+MAGIC = b"LQR2"
+BLOCK = 1 << 20
+STEPS = 1024
 RENEW = 64
-TOTAL_BITS = 20
+TOTAL_BITS = 24
 TOTAL = 1 << TOTAL_BITS
-HASH_BITS = 14
-HEAD = struct.Struct("<4sIIIIII")
+RUN = 7
+HASH_BITS = 18
+HEAD = struct.Struct("<4sIIIIIII")
 U = np.uint64
 
 
@@ -42,38 +47,43 @@ _MOVE = np.array([-9, -9, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0])
 
 
 class _Model:
-    """State of n blocks whose alphabets have sizes ``alphabet``; lanes are blocks x STRIPES."""
+    """State of n blocks whose alphabets have sizes ``alphabet``; lanes are blocks x stripes."""
 
-    def __init__(self, alphabet: np.ndarray, bits: int):
+    def __init__(self, alphabet: np.ndarray, bits: int, stripes: int):
         n = len(alphabet)
         self.bits, self.alphabet = bits, alphabet
-        self.block = np.repeat(np.arange(n), STRIPES)
+        self.block = np.repeat(np.arange(n), stripes)
         self.base = np.concatenate([[0], np.cumsum(alphabet)])
         self.of = np.repeat(np.arange(n), alphabet)
         self.count = np.zeros(self.base[-1], np.int64)
         self.at1 = self.base[:-1][self.block]
-        self.at2 = self.block << HASH_BITS
+        self.hash = max(6, min(HASH_BITS, int(stripes).bit_length() + 8))
+        self.at2 = self.block << self.hash
         self.one = np.zeros(self.base[-1], np.int64)  # candidate << 3 | confidence
-        self.two = np.zeros(n << HASH_BITS, np.int64)
-        self.hits = np.zeros((2, 2, n * 8), np.int64)  # order, (tries, hits), block and confidence
-        self.prior = np.tile(np.array([1, 4, 8, 12, 14, 15, 15, 15]), n)
-        self.lane8 = self.block * 8
-        self.prev = np.zeros((2, n * STRIPES), np.int64)
+        self.two = np.zeros(n << self.hash, np.int64)
+        self.kinds = (8, 8 * (RUN + 1))
+        self.hits = [np.zeros((2, n * k), np.int64) for k in self.kinds]  # (tries, hits), block and kind
+        self.lane = [self.block * k for k in self.kinds]
+        prior = np.array([1, 4, 8, 12, 14, 15, 15, 15])
+        self.prior = [np.tile(prior, n), np.tile(np.minimum(prior + 2 * np.arange(RUN + 1)[:, None], 15).ravel(), n)]
+        self.run = np.zeros(n * stripes, np.int64)  # order 2's hits in a row, in eighths of its kinds
+        self.prev = np.zeros((2, n * stripes), np.int64)
         self.log: list[tuple] = []
+        self.steps = 0
         self.renew()
 
     def renew(self) -> None:
         """Shares and counts from all that was coded."""
         if self.log:
             sym, k1, k2, h1, h2 = (np.concatenate(x) for x in zip(*self.log, strict=True))
-            lane = np.tile(self.lane8, len(self.log))
             self.count += np.bincount(np.tile(self.at1, len(self.log)) + sym, minlength=len(self.count))
-            for o, (k, h) in enumerate(((k1, h1), (k2, h2))):
-                self.hits[o, 0] += np.bincount(lane + k, minlength=self.hits.shape[2])
-                self.hits[o, 1] += np.bincount((lane + k)[h], minlength=self.hits.shape[2])
+            for hits, k, h in ((self.hits[0], k1, h1), (self.hits[1], k2, h2)):
+                hits[0] += np.bincount(k, minlength=hits.shape[1])
+                hits[1] += np.bincount(k[h], minlength=hits.shape[1])
             self.log = []
-        # 1/1024ths of what is left, three quarters at most
-        self.share = [np.clip((self.hits[o, 1] * 1024 + self.prior * 64) // (self.hits[o, 0] + 16 * 4), 1, 768) for o in (0, 1)]
+        # 1/1024ths of what is left
+        share = [np.clip((hits[1] * 1024 + prior * 64) // (hits[0] + 16), 1, _most(self.bits)) for hits, prior in zip(self.hits, self.prior, strict=True)]
+        self.share1, self.full2 = share[0], share[1] << TOTAL_BITS - 10
         scale = 1 << self.bits
         total = np.bincount(self.of, self.count, len(self.alphabet)).astype(np.int64)
         spare = scale - self.alphabet
@@ -86,36 +96,61 @@ class _Model:
         self.freq = q
 
     def look(self) -> None:
-        self.i1 = self.at1 + self.prev[0]
-        self.i2 = self.at2 + ((self.prev[0] * 40503 + self.prev[1] * 30011 + (self.prev[0] >> 5)) & (1 << HASH_BITS) - 1)
+        a, b = self.prev
+        self.i1 = self.at1 + a
+        self.i2 = (a * 40503 + b * 30011 + (a >> 5) & (1 << self.hash) - 1) + self.at2
         self.e1, self.e2 = self.one[self.i1], self.two[self.i2]
-        self.c1, self.k1, self.c2, self.k2 = self.e1 >> 3, self.e1 & 7, self.e2 >> 3, self.e2 & 7
-        self.f2 = self.share[1][self.lane8 + self.k2] << TOTAL_BITS - 10
-        self.f1 = (TOTAL - self.f2) * self.share[0][self.lane8 + self.k1] >> 10
+        self.c1, self.c2 = self.e1 >> 3, self.e2 >> 3
+        self.k1, self.k2 = (self.e1 & 7) + self.lane[0], (self.e2 & 7) + self.run + self.lane[1]
+        self.f2 = self.full2[self.k2]
+        self.f1 = (TOTAL - self.f2) * self.share1[self.k1] >> 10
         self.f12 = self.f1 + self.f2
         self.rest = TOTAL - self.f12
 
     def learn(self, sym: np.ndarray) -> None:
         h1, h2 = self.c1 == sym, self.c2 == sym
         new = sym << 3
-        for table, at, entry, k, hit in ((self.one, self.i1, self.e1, self.k1, h1), (self.two, self.i2, self.e2, self.k2, h2)):
-            move = _MOVE[k + 8 * hit]  # confidence rises by one or halves; a doubtful candidate makes way
+        for table, at, entry, hit in ((self.one, self.i1, self.e1, h1), (self.two, self.i2, self.e2, h2)):
+            move = _MOVE[(entry & 7) + 8 * hit]  # confidence rises by one or halves; a doubtful candidate makes way
             table[at] = np.where(move > -9, entry + move, new)
         self.log.append((sym, self.k1, self.k2, h1, h2))
+        self.run = np.minimum(self.run + 8, 8 * RUN) * h2
         self.prev[1] = self.prev[0]
         self.prev[0] = sym
-        if len(self.log) == RENEW:
+        self.steps += 1
+        if len(self.log) == RENEW or self.steps & self.steps - 1 == 0:
             self.renew()
 
 
 def _bits(alphabet: int) -> int:
-    return 14 if alphabet <= 8192 else 16
+    """The counts' share of the range is dealt in 2**bits parts; a block's alphabet has fewer than 2**20 ids."""
+    return 14 if alphabet <= 4096 else 16 if alphabet <= 1 << 14 else 18 if alphabet <= 1 << 16 else 21
 
 
-def _encode_lanes(symbols: np.ndarray, alphabet: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct ids, and each id's number among them."""
+    if not len(ids) or ids.max() >= 1 << 22:
+        return np.unique(ids, return_inverse=True)
+    here = np.zeros(int(ids.max()) + 1, bool)
+    here[ids] = True
+    alphabet = np.flatnonzero(here)
+    return alphabet, (np.cumsum(here) - 1)[ids]
+
+
+def _most(bits: int) -> int:
+    """Of 1024 parts of the range, the most that a candidate gets: two such leave 2**bits of TOTAL."""
+    return 1024 - math.ceil(1024 * 2 ** ((bits - TOTAL_BITS) / 2))
+
+
+def _stripes(n: int) -> int:
+    """A power of two, so that a stretch has about ``STEPS`` ids, or fewer where there are few."""
+    return 1 << max(0, round(np.log2(max(n, 1) / STEPS)))
+
+
+def _encode_lanes(symbols: np.ndarray, alphabet: np.ndarray, bits: int, stripes: int) -> tuple[np.ndarray, np.ndarray]:
     """symbols [lanes, steps] -> (words [lanes, most], counts)."""
     lanes, steps = symbols.shape
-    m = _Model(alphabet, bits)
+    m = _Model(alphabet, bits, stripes)
     low, rng = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
     out = np.zeros((lanes, steps * TOTAL_BITS // 32 + 4), U)
     n = np.zeros(lanes, np.int64)
@@ -152,10 +187,10 @@ def _encode_lanes(symbols: np.ndarray, alphabet: np.ndarray, bits: int) -> tuple
     return (out & U(0xFFFFFFFF)).astype(np.uint32), n
 
 
-def _decode_lanes(words: np.ndarray, first: np.ndarray, alphabet: np.ndarray, bits: int, steps: int) -> np.ndarray:
+def _decode_lanes(words: np.ndarray, first: np.ndarray, alphabet: np.ndarray, bits: int, steps: int, stripes: int) -> np.ndarray:
     """The inverse; lane i's words begin at words[first[i]]."""
     lanes = len(first)
-    m = _Model(alphabet, bits)
+    m = _Model(alphabet, bits, stripes)
     words = np.concatenate([words, np.zeros(4, np.uint32)]).astype(U)
     at = first.copy()
     code = words[at] << U(32) | words[at + 1]
@@ -197,46 +232,47 @@ def _decode_lanes(words: np.ndarray, first: np.ndarray, alphabet: np.ndarray, bi
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """Blocks of BLOCK ids (the last has fewer), coded side by side where their shapes agree."""
-    todo: dict[tuple[int, int], list] = {}
+    todo: dict[tuple[int, int, int], list] = {}
     pieces = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
     for k, x in enumerate(pieces):
-        alphabet, sym = np.unique(x, return_inverse=True)
-        steps = -(-len(x) // STRIPES)
-        sym = np.pad(sym, (0, steps * STRIPES - len(x))).reshape(STRIPES, steps)
-        todo.setdefault((steps, _bits(len(alphabet))), []).append((k, alphabet, sym))
+        alphabet, sym = _alphabet(x)
+        stripes = _stripes(len(x))
+        steps = -(-len(x) // stripes)
+        sym = np.pad(sym, (0, steps * stripes - len(x))).reshape(stripes, steps)
+        todo.setdefault((steps, _bits(len(alphabet)), stripes), []).append((k, alphabet, sym))
     out: list[bytes] = [b""] * len(pieces)
-    for (steps, bits), group in todo.items():
-        words, n = _encode_lanes(np.concatenate([g[2] for g in group]), np.array([len(g[1]) for g in group]), bits)
+    for (_, bits, stripes), group in todo.items():
+        words, n = _encode_lanes(np.concatenate([g[2] for g in group]), np.array([len(g[1]) for g in group]), bits, stripes)
         for j, (k, alphabet, _) in enumerate(group):
-            lane = slice(j * STRIPES, (j + 1) * STRIPES)
+            lane = slice(j * stripes, (j + 1) * stripes)
             names = zlib.compress(np.diff(alphabet.astype(np.int64), prepend=0).astype("<u4").tobytes())
             flat = b"".join(w[:c].astype("<u4").tobytes() for w, c in zip(words[lane], n[lane], strict=True))
             body = n[lane].astype("<u4").tobytes() + names + flat
             raw = pieces[k].astype("<u4").tobytes()
-            out[k] = HEAD.pack(MAGIC, len(pieces[k]), len(alphabet), len(names), len(body), zlib.crc32(raw), zlib.crc32(body)) + body
+            out[k] = HEAD.pack(MAGIC, len(pieces[k]), len(alphabet), stripes, len(names), len(body), zlib.crc32(raw), zlib.crc32(body)) + body
     return out
 
 
 def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     """Ids of all blocks, one after another; raises CorruptBlock where a checksum fails."""
-    todo: dict[tuple[int, int], list] = {}
+    todo: dict[tuple[int, int, int], list] = {}
     for k, b in enumerate(blocks):
-        magic, n, size, names, body, crc_ids, crc_body = HEAD.unpack_from(b)
+        magic, n, size, stripes, names, body, crc_ids, crc_body = HEAD.unpack_from(b)
         data = b[HEAD.size : HEAD.size + body]
-        if magic != MAGIC or len(data) != body or zlib.crc32(data) != crc_body:
+        if magic != MAGIC or len(data) != body or zlib.crc32(data) != crc_body or not stripes:
             raise CorruptBlock(f"block {k}: damaged")
-        counts = np.frombuffer(data, "<u4", STRIPES).astype(np.int64)
-        alphabet = np.cumsum(np.frombuffer(zlib.decompress(data[4 * STRIPES : 4 * STRIPES + names]), "<u4").astype(np.int64))
-        words = np.frombuffer(data, "<u4", offset=4 * STRIPES + names)
+        counts = np.frombuffer(data, "<u4", stripes).astype(np.int64)
+        alphabet = np.cumsum(np.frombuffer(zlib.decompress(data[4 * stripes : 4 * stripes + names]), "<u4").astype(np.int64))
+        words = np.frombuffer(data, "<u4", offset=4 * stripes + names)
         if len(alphabet) != size or counts.sum() != len(words):
             raise CorruptBlock(f"block {k}: lengths")
-        todo.setdefault((-(-n // STRIPES), _bits(size)), []).append((k, n, alphabet, counts, words, crc_ids))
+        todo.setdefault((-(-n // stripes), _bits(size), stripes), []).append((k, n, alphabet, counts, words, crc_ids))
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
-    for (steps, bits), group in todo.items():
+    for (steps, bits, stripes), group in todo.items():
         first = np.cumsum(np.concatenate([[0], *(g[3] for g in group)]))[:-1]
-        sym = _decode_lanes(np.concatenate([g[4] for g in group]), first, np.array([len(g[2]) for g in group]), bits, steps)
+        sym = _decode_lanes(np.concatenate([g[4] for g in group]), first, np.array([len(g[2]) for g in group]), bits, steps, stripes)
         for j, (k, n, alphabet, _, _, crc) in enumerate(group):
-            own = alphabet[sym[j * STRIPES : (j + 1) * STRIPES].ravel()[:n]].astype("<u4")
+            own = alphabet[sym[j * stripes : (j + 1) * stripes].ravel()[:n]].astype("<u4")
             if zlib.crc32(own.tobytes()) != crc:
                 raise CorruptBlock(f"block {k}: ids")
             out[k] = own
