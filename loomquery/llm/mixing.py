@@ -9,14 +9,17 @@ passed it to the parent's siblings. All amounts are whole tokens: shares are
 rounded down.
 
 A leaf's budget is met by whole epochs and the prefix of one more, in an order
-seeded by epoch: documents in the order of md5(seed:epoch:doc_id), while their
-running sum of tokens fits. The running sums are taken in buckets of the order,
-so no task sees a whole leaf.
-
-Defined results: null text has no tokens; a null language or source counts as
-the name ``(null)``; unlisted names have weight 1, and weight 0 gets nothing.
-Documents with one id are ordered by their text's md5; exact repeats share
-rank, and are taken together or not at all. An empty table gives an empty one.
+seeded by epoch: documents in the order of md5(seed:epoch:doc_id:md5(text)), while
+their running sum of tokens fits. The running sums are taken in buckets of the
+order, so no task sees a whole leaf; what comes of them is one key a leaf, the
+last that fits. A document is chosen by comparing its key with its leaf's, so
+documents are never shuffled.
+
+Defined results: null text has no tokens and the md5 of nothing; a null language
+or source counts as the name ``(null)``, as a null id does; unlisted names have
+weight 1, and weight 0 gets nothing. Exact repeats share a key, and are taken
+together or not at all. An empty table gives an empty one. Columns of any name
+are kept, but for those named like an added one, which wins.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomquery.llm.shared import checkpoint, docs_of, parts
+from loomquery.llm.shared import checkpoint, docs_of, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
-SALTS = 64
+LEAF = ["dom", "lng", "src"]
+#: Leaves of some hundred bytes that may be broadcast.
+SMALL = 100_000
 
 
 def weight_of(column: str, weights: dict[str, int]) -> Column:
@@ -54,40 +59,72 @@ def share(nodes: DataFrame, parent: list[str], key: str) -> DataFrame:
     return n.withColumn("give", F.expr("CASE WHEN full THEN cap ELSE w * (b - s) DIV u END")).drop("s", "u", "full", "b")
 
 
+def measured(docs: DataFrame, domain: Column, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(c0, c1, ... : the kept columns; dom, lng, src: the leaf; n: tokens; own: what the order goes by) of each document."""
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("(null)"))
+    own = F.concat_ws(":", name(F.col(doc_id)), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    n = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), name(domain).alias("dom"), name(F.col(lang)).alias("lng"), name(F.col(source)).alias("src"), n.alias("n"), own.alias("own"))
+
+
+def order_key(seed: int) -> Column:
+    """A document's place in the epoch behind its leaf's whole ones."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("epochs") + 1).cast("string"), F.col("own")))
+
+
+def budgets(rows: DataFrame, weights: dict[str, dict[str, int]], percent: int, max_epochs: int, seed: int) -> DataFrame:
+    """(dom, lng, src, epochs, last) of each leaf that gets tokens: whole epochs, and the last key of one more (null: none).
+
+    rows: (dom, lng, src, n, own), a table that is read more than once.
+    """
+    leaf = checkpoint(rows.groupBy(*LEAF).agg(F.sum("n").alias("avail"), F.count("*").alias("rows")))
+    sums = leaf.agg(F.coalesce(F.sum("avail"), F.lit(0)).alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("r")).first()
+    total, count = sums["n"], sums["r"]
+    leaf = leaf.withColumn("cap", F.col("avail") * max_epochs).withColumn("w", weight_of("src", weights.get("source", {})))
+    langs = leaf.filter("w > 0").groupBy("dom", "lng").agg(F.sum("cap").alias("cap")).withColumn("w", weight_of("lng", weights.get("lang", {})))
+    domains = langs.filter("w > 0").groupBy("dom").agg(F.sum("cap").alias("cap")).withColumn("w", weight_of("dom", weights.get("domain", {})))
+    got = share(domains.withColumn("b", F.lit(total * percent // 100)), [], "dom").select("dom", F.col("give").alias("b"))
+    got = share(langs.join(got, "dom"), ["dom"], "lng").select("dom", "lng", F.col("give").alias("b"))
+    got = share(leaf.join(got, ["dom", "lng"]), ["dom", "lng"], "src").filter("avail > 0 AND give > 0")
+    got = checkpoint(got.select(*LEAF, F.expr("give DIV avail").alias("epochs"), F.expr("give % avail").alias("rest")))
+
+    # the running sums of the epoch after the whole ones, in buckets of the keys' first bits
+    place = [*LEAF, "b"]
+    bits = max(8, math.ceil(math.log2(max(count, 1) / 65536)))
+    keyed = rows.select(*LEAF, "n", "own")
+    keyed = beside(keyed, got).withColumn("k", order_key(seed))
+    keyed = keyed.withColumn("b", F.shiftright(F.conv(F.substring("k", 1, 8), 16, 10).cast("long"), 32 - bits))
+    keyed = checkpoint(keyed.groupBy(*place, "k", "rest").agg(F.sum("n").alias("n")))
+    before = Window.partitionBy(*LEAF).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = keyed.groupBy(*place, "rest").agg(F.sum("n").alias("t")).withColumn("t", F.coalesce(F.sum("t").over(before), F.lit(0)))
+    run = F.col("t") + F.sum("n").over(Window.partitionBy(*place).orderBy("k"))
+    fits = keyed.drop("rest").join(totals.filter("t <= rest"), place).withColumn("run", run).filter("run <= rest")
+    return checkpoint(got.drop("rest").join(fits.groupBy(*LEAF).agg(F.max("k").alias("last")), LEAF, "left"))
+
+
+def beside(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rows with what their leaf has; up to ``SMALL`` leaves are sent to the tasks, more are joined by a shuffle."""
+    few = leaves.limit(SMALL + 1).count() <= SMALL
+    return rows.join(F.broadcast(leaves) if few else leaves, LEAF)
+
+
+def choose(rows: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
+    """rows of ``measured`` with ``copies``, without those that are not taken. leaves: one row for each source and language."""
+    out = beside(rows, leaves)
+    return out.withColumn("copies", F.col("epochs") + F.when(order_key(seed) <= F.col("last"), 1).otherwise(0)).filter("copies > 0")
+
+
 def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], percent: int = 80, max_epochs: int = 2, seed: int = 7, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
     """docs with ``mix_domain``, ``mix_tokens`` and ``mix_copies`` (times taken); rows not taken are left out.
 
     ``percent``: budget as a share of all tokens. ``weights``: by level (domain,
     lang, source) and name.
     """
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("(null)"))
-    d = docs.select("*", name(domain).alias("_d"), name(F.col(lang)).alias("_l"), name(F.col(source)).alias("_s"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("_n"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    leaf = checkpoint(d.groupBy("_d", "_l", "_s").agg(F.sum("_n").alias("avail"), F.count("*").alias("rows")))
-    sums = leaf.agg(F.coalesce(F.sum("avail"), F.lit(0)).alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("r")).first()
-    total, rows = sums["n"], sums["r"]
-    leaf = leaf.withColumn("cap", F.col("avail") * max_epochs).withColumn("w", weight_of("_s", weights.get("source", {})))
-    langs = leaf.filter("w > 0").groupBy("_d", "_l").agg(F.sum("cap").alias("cap")).withColumn("w", weight_of("_l", weights.get("lang", {})))
-    domains = langs.filter("w > 0").groupBy("_d").agg(F.sum("cap").alias("cap")).withColumn("w", weight_of("_d", weights.get("domain", {})))
-    got = share(domains.withColumn("b", F.lit(total * percent // 100)), [], "_d").select("_d", F.col("give").alias("b"))
-    got = share(langs.join(got, "_d"), ["_d"], "_l").select("_d", "_l", F.col("give").alias("b"))
-    got = share(leaf.join(got, ["_d", "_l"]), ["_d", "_l"], "_s").filter("avail > 0 AND give > 0")
-    got = checkpoint(got.select("_d", "_l", "_s", F.expr("give DIV avail").alias("epochs"), F.expr("give % avail").alias("rest")))
-
-    # the seeded order of the epoch after the whole ones; salts spread the largest leaf over tasks
-    salted = got.withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = F.coalesce(F.col(doc_id).cast("string"), F.lit("(null)"))
-    d = d.withColumn("_x", F.pmod(F.xxhash64(F.col(doc_id), F.col("_n")), F.lit(SALTS)).cast("int")).join(salted, ["_d", "_l", "_s", "_x"])
-    d = d.withColumn("_k", F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("epochs") + 1).cast("string"), own)))
-    bits = max(8, math.ceil(math.log2(max(rows, 1) / 65536)))
-    d = d.withColumn("_b", F.shiftright(F.conv(F.substring("_k", 1, 8), 16, 10).cast("long"), 32 - bits)).drop("_x")
-    place = ["_d", "_l", "_s", "_b"]
-    d = d.repartition(parts(docs.sparkSession), *place)
-    totals = d.groupBy(*place).agg(F.sum("_n").alias("t"))
-    before = Window.partitionBy("_d", "_l", "_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(totals.withColumn("t", F.coalesce(F.sum("t").over(before), F.lit(0))), place)
-    run = F.sum("_n").over(Window.partitionBy(*place).orderBy("_k", "_t"))
-    d = d.withColumn("mix_copies", F.col("epochs") + F.when(F.col("t") + run <= F.col("rest"), 1).otherwise(0)).filter("mix_copies > 0")
-    return d.select(*docs.columns, F.col("_d").alias("mix_domain"), F.col("_n").alias("mix_tokens"), "mix_copies")
+    names = (text, doc_id, lang, source)
+    leaves = budgets(written(measured(docs, domain, *names), "measured"), weights, percent, max_epochs, seed)
+    keep = [c for c in docs.columns if c.lower() not in ("mix_domain", "mix_tokens", "mix_copies")]
+    out = choose(measured(docs, domain, *names, keep=tuple(keep)), leaves, seed)
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), F.col("dom").alias("mix_domain"), F.col("n").alias("mix_tokens"), F.col("copies").alias("mix_copies"))
 
 
 #: Production parameters of the registered query and of the pipeline.
@@ -102,8 +139,11 @@ def domain_of(source: str = "source") -> Column:
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    out = mix(docs_of(spark, sf_dir).select("doc_id", "text", "lang", "source"), domain_of(), WEIGHTS)
-    return out.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
+    """The result has no text, so texts are read once, for what is measured of them."""
+    keep = ("doc_id", "lang", "source")
+    rows = written(measured(docs_of(spark, sf_dir), domain_of(), keep=keep), "measured")
+    out = choose(rows, budgets(rows, WEIGHTS, 80, 2, 7), 7)
+    return out.select(F.col("c0").alias("doc_id"), F.col("dom").alias("domain"), F.col("c1").alias("lang"), F.col("c2").alias("source"), F.col("n").alias("n_tokens"), F.col("copies"))
 
 
 def _level(name: str, of: str, parent: str, key: str) -> str:
@@ -132,9 +172,9 @@ dom_in AS (SELECT *, (SELECT sum(n) * 80 // 100 FROM t) AS b FROM dom_n),{_level
 lang_in AS (SELECT lang_n.*, dom.give AS b FROM lang_n JOIN dom USING (d)),{_level("lng", "lang_in", "d", "l")}
 leaf_in AS (SELECT leaf.*, lng.give AS b FROM leaf JOIN lng USING (d, l)),{_level("lef", "leaf_in", "d, l", "s0")}
 o AS (
-  SELECT t.*, give // avail AS epochs, give % avail AS rest, md5('7:' || (give // avail + 1) || ':' || coalesce(doc_id::VARCHAR, '(null)')) AS k
+  SELECT t.*, give // avail AS epochs, give % avail AS rest, md5('7:' || (give // avail + 1) || ':' || coalesce(doc_id::VARCHAR, '(null)') || ':' || md5(coalesce(text, ''))) AS k
   FROM t JOIN lef USING (d, l, s0) WHERE avail > 0 AND give > 0),
-r AS (SELECT *, sum(n) OVER (PARTITION BY d, l, s0 ORDER BY k, md5(coalesce(text, ''))) AS run FROM o)
+r AS (SELECT *, sum(n) OVER (PARTITION BY d, l, s0 ORDER BY k) AS run FROM o)
 SELECT doc_id, d AS domain, lang, source, n AS n_tokens, (epochs + CASE WHEN run <= rest THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM r WHERE epochs + CASE WHEN run <= rest THEN 1 ELSE 0 END > 0
 """
