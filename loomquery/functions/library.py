@@ -101,7 +101,22 @@ def _random_string(n: str = "16", *, kind: Kind) -> str:
 
 
 def _is_array(e: str, kind: Kind) -> bool:
-    return kind(e) == "array" or bool(re.match(r"(array|split|array_sort|transform|filter|sequence|json_object_keys|collect_list|collect_set|slice)\(", e))
+    return bool(re.match(r"(array|split|array_sort|transform|filter|sequence|json_object_keys|collect_list|collect_set|slice)\(", e)) or kind(e) == "array"
+
+
+def _listed(e: str) -> str:
+    """A parenthesised list of values as an array."""
+    return f"array{e}" if e.startswith("(") and e.endswith(")") and _commas(e[1:-1]) else e
+
+
+def _commas(text: str) -> bool:
+    """Whether a comma stands outside brackets and strings."""
+    depth = 0
+    for part in re.findall(r"'(?:[^'\\]|''|\\.)*'|.", text, re.S):
+        depth += (part in "([") - (part in ")]") if len(part) == 1 else 0
+        if part == "," and not depth:
+            return True
+    return False
 
 
 @function("LENGTH", 1)
@@ -112,14 +127,14 @@ def _length(x: str, *, kind: Kind) -> str:
 @function("CONCAT", 1, 99)
 def _concat(*a: str, kind: Kind) -> str:
     if len(a) == 1:
-        return f"array_join(transform({a[0]}, x -> coalesce(CAST(x AS STRING), 'None')), '')"
+        return f"array_join(transform({_listed(a[0])}, x -> coalesce(CAST(x AS STRING), 'None')), '')"
     return f"concat({', '.join(a)})"
 
 
 @function("CONCAT_WS", 2, 99)
 def _concat_ws(sep: str, *a: str, kind: Kind) -> str:
     if len(a) == 1:
-        return f"array_join(transform({a[0]}, x -> coalesce(CAST(x AS STRING), 'None')), {sep})"
+        return f"array_join(transform({_listed(a[0])}, x -> coalesce(CAST(x AS STRING), 'None')), {sep})"
     return f"concat({f', {sep}, '.join(a)})"
 
 
@@ -200,14 +215,30 @@ def cast(x: str, name: str, args: list[str], kind: Kind, safe: bool = False, ele
             return f"CAST(NULL AS ARRAY<{inner}>)"
         return f"transform(filter({x}, e -> e IS NOT NULL), e -> {verb}(e AS {inner}))"
     to = spark_type(up, args)
-    if to == "BIGINT" and kind(x) == "timestamp":
+    of = kind(x) if to in ("BIGINT", "TIMESTAMP_NTZ", "STRING") else ""
+    if to == "BIGINT" and of == "timestamp":
         return f"unix_micros(CAST({x} AS TIMESTAMP))"
+    if to == "TIMESTAMP_NTZ" and of == "integer":  # microseconds
+        return f"CAST(timestamp_micros({x}) AS TIMESTAMP_NTZ)"
+    if to == "STRING" and of == "double":
+        out = shortest(x)
+        return f"left({out}, {args[0]})" if args else out
     if to == "BINARY":
         x = f"CAST({x} AS STRING)"
     out = f"{verb}({x} AS {to})"
     return f"left({out}, {args[0]})" if up == "VARCHAR" and args else out
 
 
+def shortest(x: str) -> str:
+    """The shortest text of a double: plain digits up to 1e16, then an exponent of two digits at least."""
+    t = f"CAST({x} AS STRING)"
+    plain = f"regexp_replace(regexp_replace(CAST(CAST({t} AS DECIMAL(38, 22)) AS STRING), '0+$', ''), '\\\\.$', '.0')"
+    power = f"CAST(split({t}, 'E')[1] AS INT)"
+    far = f"concat(regexp_replace(split({t}, 'E')[0], '\\\\.0$', ''), if({power} < 0, 'e-', 'e+'), if(abs({power}) < 10, '0', ''), abs({power}))"
+    special = f"WHEN isnan({x}) THEN 'nan' WHEN {t} = 'Infinity' THEN 'inf' WHEN {t} = '-Infinity' THEN '-inf'"
+    return f"CASE {special} WHEN contains({t}, 'E') THEN CASE WHEN abs({x}) >= 1e-4D AND abs({x}) < 1e16D THEN {plain} ELSE {far} END ELSE {t} END"
+
+
 for _n in ("INTEGER", "DOUBLE", "VARCHAR", "BOOLEAN", "DATE", "TIMESTAMP", "BLOB", "VARBINARY"):
     for _safe in (False, True):
         function(f"TRY_{_n}" if _safe else _n, 1, 2)(lambda x, *a, kind, _n=_n, _safe=_safe: cast(x, _n, list(a), kind, _safe))
@@ -313,7 +344,14 @@ template("FROM_UNIXTIME", 1, f"CAST(timestamp_seconds({{0}}) AS {NTZ})")
 function("UNIXTIME", 0, 1)(lambda x="current_timestamp()", *, kind: f"CAST(unix_timestamp(CAST({x} AS TIMESTAMP)) AS BIGINT)")
 
 # --- conditions, arrays, JSON ----------------------------------------------
-template("COALESCE", 1, "coalesce({*})", 99)
+
+
+@function("COALESCE", 1, 99)
+def _coalesce(*a: str, kind: Kind) -> str:
+    """The first value that is neither null nor, among doubles, not a number."""
+    return f"coalesce({', '.join(f'nanvl({x}, NULL)' if kind(x) == 'double' else x for x in a)})"
+
+
 template("IFNOTNULL", 2, "CASE WHEN {0} IS NOT NULL THEN {1} END")
 template("IIF IF", 3, "if({0}, {1}, {2})")
 template("ARRAY_CONTAINS", 2, "coalesce(array_contains({0}, {1}), false)")

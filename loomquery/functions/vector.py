@@ -18,20 +18,26 @@ def _each(f):
     return lambda s: s.map(f, na_action="ignore")
 
 
-def bag(text: str) -> np.ndarray:
-    """Hashed bag of words: each lower-case word adds to two of 1024 slots."""
-    out = np.zeros(SLOTS, np.float32)
-    for w in re.findall(r"\w+", text.lower()):
-        h = zlib.crc32(w.encode())
-        out[h % SLOTS] += 1
-        out[(h >> 16) % SLOTS] += 1
+def bags(texts: pd.Series) -> np.ndarray:
+    """Hashed bags of words, a row a text: each lower-case word adds to two of 1024 slots; a word is hashed once."""
+    words = texts.str.lower().str.findall(r"\w+")
+    row = np.repeat(np.arange(len(words)), words.str.len().to_numpy(int))
+    of, names = pd.factorize(np.array([w for ws in words for w in ws], object))
+    h = np.array([zlib.crc32(w.encode()) for w in names], np.int64)[of] if len(of) else np.zeros(0, np.int64)
+    out = np.zeros((len(words), SLOTS), np.float32)
+    for slot in (h % SLOTS, (h >> 16) % SLOTS):
+        np.add.at(out, (row, slot), 1)
     return out
 
 
-def cosine(a: str, b: str) -> float:
-    x, y = bag(a), bag(b)
-    size = float(np.linalg.norm(x) * np.linalg.norm(y))
-    return float(x @ y) / size if size else 0.0
+def cosine(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Cosines of texts pairwise; 0 where one has no word."""
+    which, different = pd.factorize(b)  # mostly one constant
+    y = bags(pd.Series(different, dtype=object))
+    x = bags(a)
+    size = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)[which]
+    dot = np.einsum("ij,ij->i", x, y[which])
+    return np.divide(dot, size, out=np.zeros(len(a)), where=size > 0)
 
 
 def register(spark: SparkSession) -> None:
@@ -47,7 +53,12 @@ def register(spark: SparkSession) -> None:
 
     @F.pandas_udf("double")
     def cos(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else cosine(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        out = np.full(len(a), np.nan)
+        whole = np.flatnonzero(a.notna() & b.notna())
+        for i in range(0, len(whole), 1000):
+            at = whole[i : i + 1000]
+            out[at] = cosine(a.iloc[at].reset_index(drop=True), b.iloc[at].reset_index(drop=True))
+        return pd.Series(out).where(a.notna() & b.notna(), None)
 
     for name, f in (("loom_b85encode", encode), ("loom_b85decode", decode), ("loom_cosine", cos)):
         spark.udf.register(name, f)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import io
 import lzma
+import os
+import posixpath
 import re
 from collections.abc import Iterator
 
@@ -36,6 +38,22 @@ def walk(spark: SparkSession, path: str) -> Iterator[str]:
                 yield it.next().getPath().toString()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path's full name in its file system, without . and links of a local one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    scheme, _, rest = full.partition(":")
+    rest = posixpath.normpath("/" + rest.lstrip("/")) if not rest.startswith("//") or rest.startswith("///") else rest
+    return f"file:{os.path.realpath(rest)}" if scheme == "file" else f"{scheme}:{rest}".rstrip("/")
+
+
+def matches(spark: SparkSession, path: str) -> list[str]:
+    """Full names of what a path or glob matches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return [qualified(spark, s.getPath().toString()) for s in found]
+
+
 def is_data(path: str) -> bool:
     return not path.endswith(CONTROL) and not re.search(r"/[._][^/]*$", path)
 
@@ -75,8 +93,8 @@ def load(spark: SparkSession, paths: list[str], kind: str | None = None) -> Data
         out = spark.read.format("avro").option("recursiveFileLookup", True).load(data)
     elif form == "packed":  # compressed JSON lines that Hadoop has no codec for
         lines = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(data).select("content").mapInArrow(_unpack, "value string")
-        fields = spark.read.json(lines.rdd.map(lambda r: r.value)).schema
-        out = lines.select(F.from_json("value", fields).alias("r")).select("r.*")
+        texts = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        out = DataFrame(spark._jsparkSession.read().json(texts), spark)
     else:
         first = spark.read.format("binaryFile").load(data[0]).select("content").first()[0]
         schema = _open(bytes(first)).schema

@@ -6,6 +6,9 @@ import datetime as dt
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomquery.errors import NotAllowed, QueryError
 
 PLANET_SCHEMA = (
     "id long, name string, mass double, diameter long, density long, gravity decimal(3,1), escapeVelocity double, rotationPeriod double, lengthOfDay double, distanceFromSun double, perihelion double, aphelion double, "
@@ -43,6 +46,60 @@ def stop_words(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(w,) for w in STOP], "value string")
 
 
-def variables(spark: SparkSession, values: dict[str, object]) -> DataFrame:
-    rows = [(k, str(v), type(v).__name__, "user", "visible") for k, v in sorted(values.items())]
-    return spark.createDataFrame(rows, "name string, value string, type string, owner string, visibility string")
+#: Other names of columns, by relation.
+ALIASES = {
+    "$planets": {
+        "escape_velocity": "escapeVelocity", "rotation_period": "rotationPeriod", "length_of_day": "lengthOfDay", "distance_from_sun": "distanceFromSun", "orbital_period": "orbitalPeriod", "oribtal_velocity": "orbitalVelocity", "orbital_velocity": "orbitalVelocity",
+        "oribtial_inclination": "orbitalInclination", "orbital_inclination": "orbitalInclination", "orbital_eccentricity": "orbitalEccentricity", "obliquity_to_orbit": "obliquityToOrbit", "mean_temperature": "meanTemperature", "surface_pressure": "surfacePressure", "number_of_moons": "numberOfMoons",
+    },
+    "$satellites": {"planet_id": "planetId"},
+    "$missions": {"launched_at": "Lauched_at"},
+}
+#: Sample relations that are read from a folder, and their columns.
+SAMPLES = {
+    "$satellites": "id long, planetId long, name string, gm double, radius double, density double, magnitude double, albedo double",
+    "$astronauts": "name string, year long, group long, status string, birth_date date, birth_place string, gender string, alma_mater array<string>, undergraduate_major string, graduate_major string, military_rank string, military_branch string, space_flights long, space_flight_hours long, space_walks long, space_walks_hours long, missions array<string>, death_date date, death_mission string",
+    "$missions": "Company string, Location string, Price double, Lauched_at timestamp_ntz, Rocket string, Rocket_Status string, Mission string, Mission_Status string",
+}
+
+
+def sample(df: DataFrame, name: str) -> DataFrame:
+    """A sample relation's file with the columns and types it is known for; columns it lacks are null."""
+    have = {c.lower(): c for c in df.columns}
+    columns = [c.split(" ", 1) for c in SAMPLES[name].split(", ")]
+    return df.select(*((F.col(f"`{have[c.lower()]}`") if c.lower() in have else F.lit(None)).cast(kind).alias(c) for c, kind in columns))
+
+
+#: Settings that clients of this kind ask for, all set by the server.
+SYSTEM: dict[str, object] = {
+    "auto_increment_increment": 1, "autocommit": True, "character_set_client": "utf8mb4", "character_set_connection": "utf8mb4", "character_set_database": "utf8mb4", "character_set_results": "utf8mb4", "character_set_server": "utf8mb4",
+    "collation_connection": "utf8mb4_general_ci", "collation_database": "utf8mb4_general_ci", "collation_server": "utf8mb4_general_ci", "event_scheduler": "OFF", "interactive_timeout": 28800, "lower_case_table_names": 0, "max_allowed_packet": 67108864, "max_execution_time": 0,
+    "net_buffer_length": 16384, "net_write_timeout": 28800, "performance_schema": False, "sql_auto_is_null": False, "sql_mode": "ANSI", "sql_select_limit": None, "system_time_zone": "UTC", "time_zone": "UTC", "transaction_isolation": "READ-COMMITTED", "transaction_read_only": False, "wait_timeout": 28800,
+}
+
+
+def value_of(values: dict[str, object], name: str, roles: tuple[str, ...]) -> object:
+    """A variable's value: the session's own, or the system's; user_memberships are its roles."""
+    if name in values:
+        return values[name]
+    if name == "user_memberships":
+        return list(roles)
+    if name in SYSTEM:
+        return SYSTEM[name]
+    raise QueryError(f"no variable {name}")
+
+
+def checked(name: str, value: object) -> object:
+    """value, if a session may set the variable."""
+    if name in SYSTEM or name == "user_memberships":
+        raise NotAllowed(f"{name} is set by the server")
+    return value
+
+
+def variables(spark: SparkSession, values: dict[str, object], roles: tuple[str, ...] | None) -> DataFrame:
+    """Variables with their owners; the system's too, unless roles are None."""
+    kinds = {"str": "VARCHAR", "int": "INTEGER", "float": "DOUBLE", "bool": "BOOLEAN", "list": "ARRAY", "NoneType": "NULL"}
+    rows = [(k, v, "USER") for k, v in values.items()]
+    if roles is not None:
+        rows += [(k, v, "SERVER") for k, v in SYSTEM.items()] + [("user_memberships", list(roles), "INTERNAL")]
+    return spark.createDataFrame([(k, str(v), kinds.get(type(v).__name__, "VARCHAR"), owner, "UNRESTRICTED") for k, v, owner in sorted(rows, key=lambda r: r[0])], "name string, value string, type string, owner string, visibility string")
