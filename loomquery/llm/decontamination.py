@@ -9,8 +9,10 @@ whole shingle set, and no match is lost.
 For longer items, documents are partitioned by their number of distinct five-word shingles, in
 powers of two. A partition's documents are sketched by one-permutation MinHash
 with as many bins as the partition's largest size: shingles are dealt to bins by
-hash, and each bin keeps its least. A test item is sketched once for every
-partition in the same way. A short item that lies in a long document loses a bin
+hash, and each bin keeps its least. A test item is sketched in the same way for
+every partition with fewer bins than the item has shingles; for the others, whose
+sketch would hold about all of its shingles, one table has them all. A short item
+that lies in a long document loses a bin
 only to a smaller foreign shingle in that bin, so it shares many bins with the
 document whatever the document's length; one shared bin makes a candidate. A
 shared shingle loses its bin with a probability of 0.43 at most (a document that
@@ -45,6 +47,8 @@ WIDTH = 5
 SIZES = 26
 #: Items whose matches share as many shingles or more are sketched, others looked up exactly.
 SURE = 24
+#: Items whose exact shingles a task keeps.
+KEPT = 2000
 _WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 
 
@@ -107,10 +111,14 @@ def enough(s: np.ndarray, ptr: np.ndarray, threshold: float) -> tuple[np.ndarray
 
 
 class Items:
-    """A block of test items: shingles to look up, sketches for every size class, and the exact shingles."""
+    """A block of test items: shingles to look up, sketches for the size classes under an item's own, and the texts.
+
+    Two numbers a shingle looked up, and less than four a sketched one; exact
+    shingles are made again for the items that are candidates, and kept for some.
+    """
 
     def __init__(self, ids: list, texts: list[bytes], threshold: float):
-        self.ids, self.exact, self.threshold = ids, [five_words(t) for t in texts], threshold
+        self.ids, self.texts, self.threshold = ids, texts, threshold
         column = pa.array(texts, pa.binary())
         self.by_class: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         parts = [(i, *shingle_sets(t)) for i, _, t in K.slices(column)]
@@ -120,9 +128,24 @@ class Items:
         own = np.repeat(short, n)
         self.short = self._sorted(*enough(s[own], np.r_[0, np.cumsum(np.where(short, n, 0))], threshold))
         long, ptr = s[~own], np.r_[0, np.cumsum(np.where(short, 0, n))]
-        self.sketched = len(long) > 0
-        for c in range(SIZES if self.sketched else 0):
-            self.by_class[c] = self._sorted(*sketch(long, ptr, np.full(len(n), c)))
+        self.size = np.minimum(size_class(n), SIZES - 1)
+        self.whole = self._sorted(K.doc_of(ptr), long)
+        for c in range(int(self.size[~short].max(initial=0))):
+            wide = self.size[K.doc_of(ptr)] > c
+            at = np.r_[0, np.cumsum(np.where(~short & (self.size > c), n, 0))]
+            self.by_class[c] = self._sorted(*sketch(long[wide], at, np.full(len(n), c)))
+        self._exact: dict[int, set] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_exact": {}}
+
+    def exact(self, k: int) -> set[tuple[bytes, ...]]:
+        """An item's shingles as words."""
+        if k not in self._exact:
+            if len(self._exact) >= KEPT:
+                self._exact.clear()
+            self._exact[k] = five_words(self.texts[k])
+        return self._exact[k]
 
     @staticmethod
     def _sorted(item: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +156,15 @@ class Items:
         """Distinct (document, item) pairs that share a shingle looked up, or a bin's least shingle."""
         s, ptr = shingle_sets(t)
         out = [lookup(*self.short, K.doc_of(ptr), s)]
-        if self.sketched:
+        if len(self.whole[0]):
             sizes = np.minimum(size_class(np.diff(ptr)), SIZES - 1)
             d, v = sketch(s, ptr, sizes)
+            pairs = lookup(*self.whole, d, v)
+            out.append(pairs[self.size[pairs[:, 1]] <= sizes[pairs[:, 0]]])
             for c in np.unique(sizes):
-                own = sizes[d] == c
-                out.append(lookup(*self.by_class[int(c)], d[own], v[own]))
+                if int(c) in self.by_class:
+                    own = sizes[d] == c
+                    out.append(lookup(*self.by_class[int(c)], d[own], v[own]))
         return np.unique(np.concatenate(out), axis=0)
 
     def found(self, column: pa.Array) -> list[tuple[int, int, int, int]]:
@@ -153,20 +179,25 @@ class Items:
                 d = int(pairs[lo, 0])
                 have = five_words(t.buf[t.ptr[d] : t.ptr[d + 1]].tobytes())
                 for k in pairs[lo:hi, 1]:
-                    want = self.exact[k]
+                    want = self.exact(int(k))
                     shared = len(want & have)
                     if want and shared >= self.threshold * len(want) - 1e-9:
                         out.append((i + d, int(k), shared, len(want)))
         return out
 
 
+def built_bytes(text: bytes) -> int:
+    """About what an item takes in a block: its text, and four numbers a word at most."""
+    return len(text) + 32 * (text.count(b" ") + 1) + 200
+
+
 def blocks(items: DataFrame, item_id: str, item_text: str, threshold: float, block_bytes: int) -> Iterator[Items]:
-    """The items, at most ``block_bytes`` of text at a time; there is one block at least."""
+    """The items, ``block_bytes`` of built tables at a time; there is one block at least."""
     ids, texts, size, none = [], [], 0, True
     for row in items.select(F.col(item_id).alias("i"), F.encode(F.col(item_text), "utf-8").alias("t")).orderBy("i").toLocalIterator():
         ids.append(row[0])
         texts.append(bytes(row[1] or b""))
-        size += len(texts[-1])
+        size += built_bytes(texts[-1])
         if size >= block_bytes:
             yield Items(ids, texts, threshold)
             ids, texts, size, none = [], [], 0, False
@@ -174,12 +205,12 @@ def blocks(items: DataFrame, item_id: str, item_text: str, threshold: float, blo
         yield Items(ids, texts, threshold)
 
 
-def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, block_bytes: int = 64 << 20) -> DataFrame:
     """(item_id, doc_id, containment, n_shared, n_item) of all pairs with containment >= threshold.
 
     The items are a stated query set. They are sent to all rows in blocks of
-    ``block_bytes`` of text at most, so what is broadcast has a fixed bound, and
-    the driver reads them one block at a time.
+    ``block_bytes``, as built (an item more at most), so what is broadcast has a
+    fixed bound, and the driver reads them one block at a time.
     """
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     full = extended(src.select("doc_id"), ("containment", "double"), ("n_shared", "long"), ("n_item", "long"))
@@ -198,7 +229,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, block_bytes: int = 64 << 20) -> DataFrame:
     """Rows of docs that hold no item, unchanged; blocks of items filter one after another, without a join."""
     at = docs.columns.index(text)
     for block in blocks(items, item_id, item_text, threshold, block_bytes):
