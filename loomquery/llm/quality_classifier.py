@@ -7,21 +7,24 @@ shapes. The model gives an expected grade and tail probabilities.
 Defined results: null, empty or wordless text has score 0, so the thresholds
 alone decide. Unlabelled documents and null labels are not learned from; with
 fewer than two grades in the sample everything is selected. Rows repeat as they
-are, and equal texts get equal results.
+are, and equal texts get equal results; equal rows are learned from once. A kept
+column that is named like an added one makes way for it; other columns play no
+part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomquery.llm import textkernel as K
-from loomquery.llm.quality_rules import labelled
-from loomquery.llm.shared import arrow_map, docs_of
+from loomquery.llm.quality_rules import bounded, labelled
+from loomquery.llm.shared import arrow_map, docs_of, kept_columns
 
 BITS = 18
 
@@ -117,18 +120,20 @@ def fit_ordinal(slot: np.ndarray, weight: np.ndarray, ptr: np.ndarray, grade: np
     return Ordinal(w.astype(np.float32), theta, bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade, columns: list[str], sample: int = 12_000, text: str = "text", bits: int = BITS) -> Ordinal:
-    """A model from ``sample`` rated documents at most (a documented bound); features are made on the executors."""
-    src = labelled(docs, labels, columns, sample).select("doc_id", grade.cast("int").alias("grade"), F.col(text).alias("t"))
+def fit(docs: DataFrame, labels: DataFrame, grade: Callable[..., Column], columns: list[str], sample: int = 12_000, text: str = "text", bits: int = BITS) -> Ordinal:
+    """A model from ``sample`` rated documents at most (a documented bound on ids, and on rows); features are made on the executors.
+
+    ``grade`` gets the label columns, averaged, and gives the grade from 0.
+    """
+    src = labelled(docs, labels, columns, sample, text).select("id", "h", grade(*(F.col(f"y{i}") for i in range(len(columns)))).cast("int").alias("grade"), "t")
 
     def run(b: pa.RecordBatch):
-        for i, j, t in K.slices(b.column(2)):
+        for i, j, t in K.slices(b.column(3)):
             slot, w, ptr = hashed(t, bits)
             blobs = [[a[lo:hi].tobytes() for lo, hi in zip(ptr[:-1], ptr[1:], strict=True)] for a in (slot.astype(np.int32), w.astype(np.float16))]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(x, pa.binary()) for x in blobs)], ["doc_id", "grade", "s", "w"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3)), *(pa.array(x, pa.binary()) for x in blobs)], ["id", "h", "grade", "s", "w"])
 
-    kind = src.schema["doc_id"].dataType.simpleString()
-    rows = arrow_map(src, run, f"doc_id {kind}, grade int, s binary, w binary").toPandas().sort_values("doc_id", kind="stable")
+    rows = bounded(arrow_map(src, run, "id long, h long, grade int, s binary, w binary"), sample).toPandas().sort_values(["id", "h"])
     ptr = np.concatenate([[0], np.cumsum([len(s) // 4 for s in rows["s"]])]).astype(np.int64)
     return fit_ordinal(np.frombuffer(b"".join(rows["s"]), np.int32), np.frombuffer(b"".join(rows["w"]), np.float16).astype(np.float32), ptr, rows["grade"].to_numpy(np.int64), bits)
 
@@ -136,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade, columns: list[str], sample: i
 def rate(docs: DataFrame, model: Ordinal, text: str = "text", keep: tuple[str, ...] = ("doc_id",), at_least: int | None = None, least: float = 0.5) -> DataFrame:
     """Expected grade, P(grade >= at_least) and whether that reaches ``least``. The weights have a fixed size."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*keep, F.col(text).alias("_text"))
+    keep = kept_columns(keep, "expected_grade", "tail_probability", "selected")
+    src = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("_text_"))
 
     def run(b: pa.RecordBatch):
         m = sent.value
@@ -154,6 +160,5 @@ def rate(docs: DataFrame, model: Ordinal, text: str = "text", keep: tuple[str, .
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Grades: 0 toxic, 1 poor, 2 good; selected where good is more likely than not."""
     docs = docs_of(spark, sf_dir)
-    grade = F.when(F.col("toxic") == 1, 0).otherwise(1 + F.col("quality"))
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), grade, ["quality", "toxic"])
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), lambda quality, toxic: F.when(toxic == 1, 0).otherwise(1 + quality), ["quality", "toxic"])
     return rate(docs, model)

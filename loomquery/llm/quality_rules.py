@@ -7,8 +7,10 @@ into node arrays that score a batch level by level.
 
 Defined results: null or empty text has no words, so it fails the base rule.
 Labels that are null, or of unknown documents, are not used; a document with
-several labels counts with their mean, rounded. Without two label classes every
-document that passes the base rule is kept. Repeated rows are judged alike.
+several labels counts with their mean, rounded; equal rows are learned from once.
+Without two label classes every document that passes the base rule is kept.
+Repeated rows are judged alike, null ids stay null. A kept column that is named
+like an added one makes way for it; other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomquery.llm import textkernel as K
-from loomquery.llm.shared import arrow_map, docs_of
+from loomquery.llm.shared import arrow_map, docs_of, kept_columns
 
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -184,7 +186,8 @@ def fit_trees(x: np.ndarray, y: np.ndarray, falling: tuple[int, ...] = (), round
 
 def measure(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """``keep`` columns, the five statistics and the features (array) of each row."""
-    src = df.select(*keep, F.col(text).alias("_text"))
+    keep = kept_columns(keep, *STATS, "features")
+    src = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("_text_"))
 
     def run(b: pa.RecordBatch):
         for i, j, t in K.slices(b.column(len(keep))):
@@ -200,21 +203,28 @@ def measure(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return arrow_map(src, run, schema.add("features", ArrayType(DoubleType())))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int, doc_id: str = "doc_id") -> DataFrame:
-    """Documents with the mean of their labels: ``sample`` labelled ids at most, the smallest by a hash.
+def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(id, h, t, y0, y1, ...) of labelled documents: the text, its hash and the means of their label columns.
 
-    The ids are broadcast; ``sample`` bounds their size.
+    ``sample`` labelled ids at most, the smallest by a hash. They are broadcast;
+    ``sample`` bounds their size, not how many rows have such an id.
     """
-    ids = labels.dropna(subset=[doc_id, *columns]).groupBy(doc_id).agg(*(F.round(F.avg(c)).cast("int").alias(c) for c in columns))
-    ids = ids.orderBy(F.xxhash64(F.col(doc_id).cast("long")), doc_id).limit(sample)
-    return docs.join(F.broadcast(ids), doc_id)
+    means = (F.round(F.avg(c)).cast("int").alias(f"y{i}") for i, c in enumerate(columns))
+    ids = labels.select(F.col(doc_id).cast("long").alias("id"), *columns).dropna().groupBy("id").agg(*means)
+    ids = ids.orderBy(F.xxhash64("id"), "id").limit(sample)
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t")).join(F.broadcast(ids), "id")
+
+
+def bounded(rows: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` of different (id, h), the smallest by a hash."""
+    return rows.dropDuplicates(["id", "h"]).orderBy(F.xxhash64("id", "h"), "id", "h").limit(sample)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str = "text") -> Trees:
-    """Trees from ``sample`` labelled documents at most (a documented bound)."""
-    rows = measure(labelled(docs, labels, ["quality"], sample), text, "doc_id", "quality").orderBy("doc_id").select("quality", "features").toPandas()
+    """Trees from ``sample`` labelled documents at most (a documented bound on ids, and on rows)."""
+    rows = bounded(measure(labelled(docs, labels, ["quality"], sample, text), "t", "id", "h", "y0").select("id", "h", "y0", "features"), sample).toPandas().sort_values(["id", "h"])
     x = np.array(rows["features"].tolist(), float).reshape(len(rows), len(FEATURES))
-    y = rows["quality"].to_numpy(float)
+    y = rows["y0"].to_numpy(float)
     if len(np.unique(y)) < 2:
         x, y = x[:0], y[:0]
     return fit_trees(x, y, tuple(FEATURES.index(f) for f in FALLING))
@@ -223,7 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str = "t
 def judge(docs: DataFrame, trees: Trees, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.5) -> DataFrame:
     """Statistics, base rule, probability of good quality and verdict of each row."""
     model = docs.sparkSession.sparkContext.broadcast(trees)
-    src = docs.select(*keep, F.col(text).alias("_text"))
+    keep = kept_columns(keep, *STATS, "base_failed", "kept", "quality_score")
+    src = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("_text_"))
 
     def run(b: pa.RecordBatch):
         for i, j, t in K.slices(b.column(len(keep))):

@@ -80,6 +80,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def kept_columns(keep: Iterable[str], *added: str) -> tuple[str, ...]:
+    """keep without the columns that an added one's name replaces."""
+    return tuple(c for c in keep if c.lower() not in added)
+
+
 def crc_mod(doc_id: str, m: int):
     """crc32 of the id's decimal text, modulo m; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % m, F.lit(0))
