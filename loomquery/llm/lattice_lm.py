@@ -1,19 +1,22 @@
 """Language-model scoring by a subword lattice.
 
-An existing tokenizer's pieces form the vocabulary. Their unigram weights are
-fitted to the training text by expectation maximisation over all segmentations;
-a text's score is the log10 of its probability summed over all segmentations of
+An existing tokenizer's pieces form the vocabulary, and its scores their first
+unigram weights. The weights are fitted to the training text by expectation
+maximisation over all segmentations (no round of it leaves the file's own); a
+text's score is the log10 of its probability summed over all segmentations of
 its words, each found by a forward recursion in log space. Segmentations never
 cross blanks, so the recursion runs once a distinct word, and a document adds up
 its words' results and that of its end.
 
 Defined results: null text is empty, which has the end token alone. Rows repeat
 as they are, equal texts score alike. With no training row all counts are 0, N
-and V are 0 and the pieces have equal weights.
+and V are 0 and the pieces have the file's weights. A kept column that is named
+like an added one makes way for it; other columns play no part.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,27 +32,46 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 
 from loomquery.llm import textkernel as K
 from loomquery.llm.jaccard_join import groups
-from loomquery.llm.shared import arrow_map, checkpoint, crc_mod, docs_of, parts
+from loomquery.llm.shared import arrow_map, checkpoint, crc_mod, docs_of, kept_columns, parts
 
 LN10 = float(np.log(10))
 
+#: Words of so many bytes are walked one by one, byte by byte, over stretches of edges.
+LONG, STRETCH = 256, 1 << 16
+SCALED = math.log(1e100)
 #: Stands before each word in the lattice; blanks never occur inside a word.
 START = b" "
 
 
-def pieces_of(path: str) -> list[bytes]:
-    """Lower-cased byte pieces of a sentencepiece model, with all single bytes, so that every text has a segmentation."""
+def pieces_of(path: str) -> tuple[list[bytes], np.ndarray]:
+    """Lower-cased byte pieces of a sentencepiece model with their natural log weights, which sum to 1.
+
+    All single bytes are pieces, so that every text has a segmentation. A unigram
+    model's scores are log-probabilities as they are. Scores that number the
+    pieces (merge ranks) become those of Zipf's law. Bytes that the file has not
+    weigh as little as its last piece; pieces that differ in case add up.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    out = {bytes([b]) for b in range(256)}
+    found: list[tuple[bytes, float]] = []
     for i in range(sp.get_piece_size()):
         if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i):
             continue
         p = re.sub(rb"\xe2\x96\x81", START, sp.id_to_piece(i).encode()).lower()
         if p and START not in p[1:]:
-            out.add(p)
-    return sorted(out)
+            found.append((p, sp.get_score(i)))
+    scores = np.array([x for _, x in found])
+    if len(scores) and (scores == np.round(scores)).all() and len(np.unique(scores)) == len(scores):
+        scores = -np.log(scores.max() - scores + 2)
+    weight: dict[bytes, float] = {}
+    for (p, _), x in zip(found, np.exp(scores).tolist(), strict=True):
+        weight[p] = weight.get(p, 0.0) + x
+    for b in range(256):
+        weight.setdefault(bytes([b]), min(weight.values(), default=1.0))
+    pieces = sorted(weight)
+    w = np.array([weight[p] for p in pieces])
+    return pieces, np.log(w / w.sum())
 
 
 @dataclass
@@ -148,9 +170,10 @@ class Lattice:
 
     @staticmethod
     def groups(words: list[bytes], most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(positions, byte matrix) of equally long words, a bounded number of bytes at a time."""
-        size = np.array([len(w) for w in words])
+        """(positions, byte matrix) of equally long words under ``LONG``, a bounded number of bytes at a time."""
+        size = np.array([len(w) for w in words], np.int64)
         order = np.argsort(size, kind="stable")
+        order = order[size[order] < LONG]
         i = 0
         while i < len(order):
             width = size[order[i]]
@@ -159,32 +182,108 @@ class Lattice:
             yield rows, np.frombuffer(b"".join(START + words[r] for r in rows), np.uint8).reshape(j - i, width + 1).astype(np.uint64)
             i = j
 
+    def stretches(self, word: np.ndarray, back: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(from, to, piece) of one long word's edges, by their start, for ``STRETCH`` starts at a time."""
+        n = len(word)
+        firsts = range(0, n, STRETCH)
+        for lo in reversed(firsts) if back else firsts:
+            hi = min(lo + STRETCH, n)
+            h, at = np.zeros(hi - lo, np.uint64), np.arange(lo, hi)
+            found = []
+            for k in range(self.longest):
+                on = at + k < n
+                h, at = self._step(h[on], word[at[on] + k]), at[on]
+                ids = self.find(h)
+                hit = ids >= 0
+                found.append((at[hit], at[hit] + k + 1, ids[hit]))
+                on = ids > -2
+                h, at = h[on], at[on]
+                if not len(at):
+                    break
+            i, j, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(-i if back else i, kind="stable")
+            yield i[order], j[order], ids[order]
+
+    def walk(self, word: np.ndarray, back: bool = False) -> np.ndarray:
+        """Logs of the forward (or backward) sums at each place of one long word.
+
+        The sums near the present place are numbers of one scale, which grows with
+        what has been passed; each place's log keeps its own.
+        """
+        n, p, scale = len(word), np.exp(self.log_p), 0.0
+        a = [0.0] * (n + 1)
+        a[n if back else 0] = 1.0
+        out = np.zeros(n + 1)
+        for i, j, ids in self.stretches(word, back):
+            last = -1
+            for x, y, w in zip(i.tolist(), j.tolist(), p[ids].tolist(), strict=True):
+                if x != last:
+                    here = a[last] if back and last >= 0 else a[x]
+                    at = last if back else x
+                    if at >= 0:
+                        if here < 1e-100:
+                            for k in range(at, min(at + self.longest, n) + 1):
+                                a[k] *= 1e100
+                            scale += 1
+                            here = a[at]
+                        out[at] = math.log(here) - scale * SCALED
+                    last = x
+                if back:
+                    a[x] += w * a[y]
+                else:
+                    a[y] += w * a[x]
+            if back:
+                out[last] = math.log(a[last]) - scale * SCALED
+        if not back:
+            out[n] = math.log(a[n]) - scale * SCALED
+        return out
+
+    def long_word(self, word: bytes) -> np.ndarray:
+        return np.frombuffer(START + word, np.uint8).astype(np.uint64) + np.uint64(1)
+
     def log_prob(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each word's probability, over all its segmentations."""
         out = np.zeros(len(words))
+        for r, w in enumerate(words):
+            if len(w) >= LONG:
+                out[r] = self.walk(self.long_word(w))[-1]
         for rows, m in self.groups(words):
             out[rows] = self.forward(len(m), m.shape[1], self.edges(m))[-1]
         return out
 
     def expected(self, words: list[bytes], weight: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, words counting ``weight`` times."""
+        """Expected uses of each piece, words counting ``weight`` times.
+
+        Sums of products as they are, where a word's probability is far from
+        underflow (what a part of it lost is then less than a 10^-50th of it), and
+        in log space for all other words.
+        """
         out = np.zeros(len(self.log_p))
         p = np.exp(self.log_p)
+        for word, times in zip(words, weight.tolist(), strict=True):
+            if len(word) >= LONG:
+                x = self.long_word(word)
+                a, b = self.walk(x), self.walk(x, True)
+                for i, j, ids in self.stretches(x):
+                    out += np.bincount(ids, times * np.exp(a[i] + self.log_p[ids] + b[j] - a[-1]), len(out))
         for rows, m in self.groups(words):
-            edges = self.edges(m)
-            w = weight[rows]
+            edges, w = self.edges(m), weight[rows]
             n, width = m.shape
-            if width <= 32:  # short words can't underflow: plain sums of products
-                a, b = np.zeros((width + 1, n)), np.zeros((width + 1, n))
-                a[0] = b[width] = 1
-                for i, j, r, ids in sorted(edges, key=lambda e: (e[1], e[0])):
-                    a[j, r] += a[i, r] * p[ids]
-                for i, j, r, ids in sorted(edges, key=lambda e: (-e[0], e[1])):
-                    b[i, r] += b[j, r] * p[ids]
-                w = w / a[-1]
-                for i, j, r, ids in edges:
-                    np.add.at(out, ids, w[r] * a[i, r] * p[ids] * b[j, r])
+            a, b = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+            a[0] = b[width] = 1
+            for i, j, r, ids in sorted(edges, key=lambda e: (e[1], e[0])):
+                a[j, r] += a[i, r] * p[ids]
+            fine = a[-1] > 1e-250
+            for i, j, r, ids in sorted(edges, key=lambda e: (-e[0], e[1])) if fine.any() else ():
+                b[i, r] += b[j, r] * p[ids]
+            share = np.where(fine, w / np.where(fine, a[-1], 1), 0)
+            for i, j, r, ids in edges if fine.any() else ():
+                np.add.at(out, ids, share[r] * a[i, r] * p[ids] * b[j, r])
+            if fine.all():
                 continue
+            small = np.flatnonzero(~fine)
+            m, w = m[small], w[small]
+            edges, n = self.edges(m), len(small)
             a, b = self.forward(n, width, edges), self.backward(n, width, edges)
             for i, j, r, ids in edges:
                 out += np.bincount(ids, w[r] * np.exp(a[i, r] + self.log_p[ids] + b[j, r] - a[-1, r]), len(out))
@@ -219,12 +318,11 @@ def word_counts(df: DataFrame, text: str, train: str) -> DataFrame:
     return arrow_map(df.select(F.col(text).alias("t"), F.col(train).alias("l")), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit(counts: DataFrame, n_docs: int, pieces: list[bytes], rounds: int = 3, add: float = 0.1) -> Lattice:
-    """Expectation maximisation over all (word, c); the driver gets one sum for each piece."""
+def fit(counts: DataFrame, n_docs: int, n_words: int, pieces: list[bytes], start: np.ndarray, rounds: int = 3, add: float = 0.1) -> Lattice:
+    """Expectation maximisation over all (word, c), from the weights ``start``; the driver gets one sum for each piece."""
     sc = counts.sparkSession.sparkContext
-    lattice = Lattice(pieces, np.full(len(pieces) + 1, -np.log(len(pieces) + 1.0)))
-    size = np.array([len(p) for p in pieces])
-    lattice.log_p[:-1] = -1.5 * size - 2  # a first guess that prefers no length
+    end = (n_docs + 1) / (n_docs + n_words + 2)  # a word is a piece at least
+    lattice = Lattice(pieces, np.append(start + np.log1p(-end), np.log(end)))
     counts = counts.filter("c > 0")
     for _ in range(rounds):
         sent = sc.broadcast(lattice)
@@ -243,7 +341,7 @@ def fit(counts: DataFrame, n_docs: int, pieces: list[bytes], rounds: int = 3, ad
     return lattice
 
 
-def score(df: DataFrame, train: Column, pieces: list[bytes], text: str = "text", keep: tuple[str, ...] = ("doc_id",), rounds: int = 3, common: int = 50_000) -> DataFrame:
+def score(df: DataFrame, train: Column, vocabulary: tuple[list[bytes], np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",), rounds: int = 3, common: int = 50_000) -> DataFrame:
     """``keep``, n_tokens, n_known, train_tokens, base_score and score of every row of ``df``.
 
     Words with more than 1/common of all tokens (fewer than ``common``, so a
@@ -252,14 +350,16 @@ def score(df: DataFrame, train: Column, pieces: list[bytes], text: str = "text",
     bucket's part of the word table; no word there has a large share.
     """
     spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    df = df.select(*keep, F.col(text).alias("_text"), train.alias("_train"), F.monotonically_increasing_id().alias("_row"))
+    keep = kept_columns(keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    names, keep = keep, tuple(f"_keep{i}" for i in range(len(keep)))
+    df = df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(names, keep, strict=True)), F.col(text).alias("_text"), train.alias("_train"), F.monotonically_increasing_id().alias("_row"))
     counts = checkpoint(word_counts(df, "_text", "_train"))
     n_docs = df.filter("_train").count()
     total = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] + n_docs, total["v"] + (n_docs > 0)
-    model = fit(counts, n_docs, pieces, rounds)
+    model = fit(counts, n_docs, total["n"], *vocabulary, rounds)
     lattice = sc.broadcast(model)
-    unit = n + 0.1 * (v + 1) if n else 1.0
+    unit = n + 0.1 * (v + 1)
     rare = F.col("c") <= n / common
     hot = counts.filter(~rare).toPandas()
     words = [bytes(w) for w in hot["word"]]
@@ -358,7 +458,7 @@ def score(df: DataFrame, train: Column, pieces: list[bytes], text: str = "text",
     both = arrow_map(counts.filter(rare), table, packed).unionAll(arrow_map(df.select("_text", "_row", *keep), bags, packed))
     met = both.repartition(parts(spark), "bucket").sortWithinPartitions("bucket", "kind")
     back = met.mapInArrow(look_up, packed).select("home", *(f.name for f in packed.fields if f.name != "home")).repartition(parts(spark), "home").sortWithinPartitions("home")
-    return back.mapInArrow(add_up, result).select(*keep, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return back.mapInArrow(add_up, result).select(*(F.col(k).alias(c) for c, k in zip(names, keep, strict=True)), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1_lattice_lm(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
