@@ -19,15 +19,16 @@ the base spans stay, and of the model's spans that touch none of them the set of
 the highest total score without overlaps is taken.
 
 Defined results: null and empty texts have no spans. Repeated rows give repeated
-results. Without labelled spans to learn from, the base spans are all there is.
-Positions are code points.
+results, null ids stay null. Without labelled spans to learn from, the base spans
+are all there is. Positions are code points. Other columns, whatever their names,
+play no part.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,10 +41,11 @@ from pyspark.sql import functions as F
 from loomquery.llm.shared import arrow_map, docs_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: The base patterns.
+#: The base patterns. An address' first number is only tried from its first digit (from
+#: within, it would end alike), which keeps the time on long runs of digits in proportion.
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -84,7 +86,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not _DIGITS.search(text):
         return out
     for m in PATTERNS["ip"].finditer(text) if "." in text else ():
-        if all(int(p) <= 255 for p in m[0].split(".")):
+        if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in PATTERNS["card"].finditer(text):
         d = re.sub(r"[^0-9]", "", m[0])
@@ -303,13 +305,11 @@ def may_grow(kind: int, text: str) -> bool:
 def around_at(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
     """The longest plausible place of an address round each ``@`` that no base span holds."""
     stops = [m.start() for m in _STOPS.finditer(text)]
-    taken = sorted((a, b) for _, a, b in base)
-    ends = np.maximum.accumulate([b for _, b in taken]) if taken else []
+    taken = Taken(base)
     stops = [-1, *stops, len(text)]
     for n in range(1, len(stops) - 1):
         i = stops[n]
-        held = bisect_right(taken, (i, len(text)))
-        if text[i] != "@" or held and ends[held - 1] > i:
+        if text[i] != "@" or taken.touch(i, i + 1):
             continue
         lo, hi = n - 1, n + 1  # a blank next to the @ is part of it
         lo -= lo > 0 and stops[lo] == i - 1 and text[i - 1] != "@"
@@ -317,6 +317,22 @@ def around_at(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int
         yield stops[lo] + 1, stops[hi]
 
 
+class Taken:
+    """Places of spans that may overlap each other."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        own = sorted((a, b) for _, a, b in spans)
+        self.starts, self.ends, most = [a for a, _ in own], [], 0
+        for _, b in own:
+            most = max(most, b)
+            self.ends.append(most)
+
+    def touch(self, a: int, b: int) -> bool:
+        """Whether [a, b) has a position of any span."""
+        n = bisect_left(self.starts, b)
+        return n > 0 and self.ends[n - 1] > a
+
+
 def search(model: Tagger, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, int, float]]]:
     """The model's plausible spans (kind, start, end, score) of each text, whole at any length.
 
@@ -325,6 +341,7 @@ def search(model: Tagger, texts: list[str], base: list[list[tuple[str, int, int]
     long for the level below, and only such spans are taken from them.
     """
     found: list[list] = [[] for _ in texts]
+    taken = [Taken(b) for b in base]
     wider: dict[int, set[tuple[int, int]]] = defaultdict(set)
     held: list[np.ndarray] = []
     owner: list[tuple[int, int]] = []
@@ -344,7 +361,7 @@ def search(model: Tagger, texts: list[str], base: list[list[tuple[str, int, int]
             for k, lo, hi, s in spans_of_tags(tags[w], gain[w]):
                 a, z = at + lo, min(at + hi, len(t))
                 if lo == 0 and at > 0 or hi == width and at + width < len(t):
-                    if may_grow(k, t[a:z]) and not any(a < y and x < z for _, x, y in base[d]):
+                    if may_grow(k, t[a:z]) and not taken[d].touch(a, z):
                         widen(level + 1, d, a)
                 elif (level == 0 or z - a >= width // 4) and plausible(k, t[a:z]):
                     found[d].append((k, a, z, s))
@@ -380,8 +397,9 @@ def search(model: Tagger, texts: list[str], base: list[list[tuple[str, int, int]
 def reconcile(base: list[tuple[str, int, int]], found: list[tuple[int, int, int, float]]) -> list[tuple[str, int, int]]:
     """Base spans and the best set of found ones without overlaps, by kind, then start."""
     best: dict[tuple[int, int, int], float] = {}
+    taken = Taken(base)
     for k, a, b, s in found:
-        if s > 0 and not any(a < y and x < b for _, x, y in base):
+        if s > 0 and not taken.touch(a, b):
             best[k, a, b] = max(s, best.get((k, a, b), s))
     items = sorted(((a, b, k, s) for (k, a, b), s in best.items()), key=lambda i: (i[1], i[0], i[2]))
     ends, total, take = [i[1] for i in items], [0.0], []
