@@ -7,6 +7,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ import corpus_pipeline
 from loomquery.llm import decontamination, jaccard_join, language_id, mixing, queries, suffix_dedup, token_output
 from loomquery.llm.bwt import repeated_starts
 from loomquery.llm.components import components
-from loomquery.llm.range_coder import CorruptBlock, decode_blocks, encode_blocks
+from loomquery.llm.range_coder import BLOCK, CorruptBlock, decode_blocks, encode_blocks
 
 WORDS = [f"w{i}" for i in range(400)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -94,6 +96,26 @@ def test_decontamination_finds_every_item_in_every_document(spark, n_words):
     assert {r.n_item for r in got} == {n_words - 4}
 
 
+def test_decontamination_of_long_items_in_shorter_documents(spark):
+    """Documents of a smaller class than the item: its sketches by class, and the rule of the share."""
+    rng = random.Random(77)
+    items = [(i, prose(rng, n)) for i, n in enumerate([1100] * 8 + [70] * 8 + [36] * 8)]
+    docs = [(10 * i + k, " ".join(t.split()[: int(len(t.split()) * share)])) for i, t in items for k, share in enumerate((0.9, 0.84, 0.7))] + [(None, items[0][1])]
+    its = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.matches(frame(spark, docs), its, block_bytes=50_000).collect()
+    assert {(r.item_id, r.doc_id) for r in got} == {(i, 10 * i + k) for i, _ in items for k in (0, 1)} | {(0, None)}
+    block = decontamination.Items([0], [items[0][1].encode()], 0.8)
+    assert sum(len(x) for x, _ in block.by_class.values()) < 2 * 1100 and len(__import__("pickle").dumps(block)) < 2 * decontamination.built_bytes(items[0][1].encode())
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    docs = frame(spark, [(1, "one two three four five six"), (None, "x"), (3, None), (3, None)]).selectExpr("*", "1 AS item_id", "2 AS _text", "3 AS containment")
+    its = spark.createDataFrame([(1, "one two three four five"), (None, None)], "item_id long, text string")
+    left = decontamination.decontaminate(docs, its)
+    assert left.columns == docs.columns and sorted(map(repr, (r.doc_id for r in left.collect()))) == ["3", "3", "None"]
+    assert [(r.item_id, r.doc_id) for r in decontamination.matches(docs, its).collect()] == [(1, 1)]
+
+
 # mixing
 def test_mixing_equals_its_sql(spark, tmp_path):
     rng = random.Random(5)
@@ -121,6 +143,28 @@ def test_shares_fill_siblings_first(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA), F.lit("d"), {}).count() == 0
 
 
+def test_mixing_of_hot_ids_repeats_and_clashing_names(spark, monkeypatch):
+    """Null and equal ids are ordered by their texts; repeats go together; columns of any name are kept."""
+    rng = random.Random(3)
+    rows = [(None if i % 3 else 7, prose(rng, 10), "en", "src1", 0) for i in range(300)] + [(9, "a " * 10, "en", "src1", 0)] * 50
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS n", "2 AS dom", "3 AS own", "4 AS c0", "5 AS _n", "6 AS MIX_tokens", "7 AS epochs")
+    out = mixing.mix(docs, F.lit("d"), {}, percent=50, max_epochs=1)
+    assert out.columns == [c for c in docs.columns if c != "MIX_tokens"] + ["mix_domain", "mix_tokens", "mix_copies"]
+    got = out.collect()
+    taken = Counter((r.doc_id, r.text) for r in got)
+    key = lambda i, t: hashlib.md5(f"7:1:{'(null)' if i is None else i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
+    expect, used = [], 0
+    for k in sorted({key(r[0], r[1]) for r in rows}):
+        own = [r[:2] for r in rows if key(r[0], r[1]) == k]
+        used += 10 * len(own)
+        if used > 1750:
+            break
+        expect += own
+    assert taken == Counter(expect) and {(r.n, r.dom, r._n, r.epochs) for r in got} == {(1, 2, 5, 7)}
+    monkeypatch.setattr(mixing, "SMALL", 0)  # leaves too many to broadcast
+    assert Counter((r.doc_id, r.text) for r in mixing.mix(docs, F.lit("d"), {}, percent=50, max_epochs=1).collect()) == taken
+
+
 # Jaccard join
 def brute_classes(rows, threshold=0.8):
     def sets(t):
@@ -151,12 +195,16 @@ def brute_classes(rows, threshold=0.8):
     return out
 
 
+def numbered(df):
+    return df.withColumn("_row", F.monotonically_increasing_id())
+
+
 @pytest.mark.parametrize("limit", [2000, 4])
 def test_jaccard_join_against_brute_force(spark, tmp_path, limit):
     rows = corpus()
     frame(spark, rows).coalesce(3).write.parquet(str(tmp_path / "d"))
-    docs = jaccard_join.numbered(spark.read.parquet(str(tmp_path / "d")))
-    got = jaccard_join.classes(docs, limit=limit).collect()
+    docs = numbered(spark.read.parquet(str(tmp_path / "d")))
+    got = jaccard_join.classes(docs, limit=limit, block=10).collect()
     key = lambda r: repr(tuple(r))
     assert sorted(map(key, ((r.doc_id, r.class_id, r.n_links) for r in got))) == sorted(map(key, brute_classes(rows)))
     kept = jaccard_join.deduplicate(spark.read.parquet(str(tmp_path / "d")))
@@ -165,9 +213,34 @@ def test_jaccard_join_against_brute_force(spark, tmp_path, limit):
     assert set(none) <= {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+@pytest.mark.parametrize("width", [2, 3])
+def test_jaccard_join_splits_large_nodes_without_losing_links(spark, tmp_path, width):
+    """Hot nodes of three kinds: near copies that no split parts, texts that share a third, and pairs at the threshold."""
+    rng = random.Random(31)
+    base, shared = prose(rng, 120).split(), prose(rng, 60)
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, f"{shared} {prose(rng, 100)}") for i in range(60)]
+    for i in range(40):
+        t = prose(rng, 104)  # 100 shingles; five changed at either end, 95 of 105 at most are left
+        rows += [(200 + 2 * i, t), (201 + 2 * i, t + " " + prose(rng, rng.randint(15, 25)))]
+    frame(spark, rows).coalesce(2).write.parquet(str(tmp_path / "d"))
+    got = jaccard_join.classes(numbered(spark.read.parquet(str(tmp_path / "d"))), limit=8, width=width, block=16).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted(brute_classes(rows))
+
+
+def test_jaccard_join_keeps_columns_of_any_name(spark, tmp_path):
+    frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, None), (3, "")]).selectExpr("*", "7 AS _row", "8 AS _ROW_", "9 AS c", "1 AS rep", "2 AS size").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = jaccard_join.deduplicate(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id is None, r.doc_id, r._row) for r in got.collect()) == [(False, 1, 7), (False, 3, 7), (True, None, 7)]
+
+
 def test_jaccard_join_of_nothing(spark):
-    empty = jaccard_join.numbered(frame(spark, []))
-    assert jaccard_join.classes(empty).count() == 0
+    assert jaccard_join.classes(numbered(frame(spark, []))).count() == 0
 
 
 def test_runs_reach_the_recall():
@@ -229,6 +302,45 @@ def test_substring_dedup_against_brute_force(spark, tmp_path):
     assert suffix_dedup.deduplicate(frame(spark, [])).count() == 0
 
 
+def brute_spans(raw, least=200):
+    count = Counter(r[i : i + least] for r in raw for i in range(len(r) - least + 1))
+    out = []
+    for r in raw:
+        gone = np.zeros(len(r) + 1, int)
+        for p in range(len(r) - least + 1):
+            if count[r[p : p + least]] > 1:
+                gone[p : p + least] = 1
+        edge = np.flatnonzero(np.diff(np.r_[0, gone]))
+        out.append(list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)))
+    return out
+
+
+def test_substring_dedup_splits_hot_anchors(spark, tmp_path):
+    """A line and a passage that most texts share, each with other text around: handed on until places hold little."""
+    rng = random.Random(21)
+    chars = "abcdefghij "
+    some = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    line, passage, blank = some(160), some(230), " " * 150
+    rows = [(i, some(120) + rng.choice([line, line, passage, blank, passage[:199], passage[20:]]) + some(120)) for i in range(150)]
+    rows += [(200 + i, rows[i][1]) for i in range(5)] + [(300, "z" * 500), (301, "é" * 150 + "x"), (302, None), (303, "")]
+    frame(spark, rows).repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    expect = dict(zip([i for i, _ in rows], brute_spans([(t or "").encode() for _, t in rows]), strict=True))
+    for most in (3000, 600):
+        got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_dedup.deduplicate(docs, most=most).collect()}
+        assert got == expect
+
+
+def test_groups_larger_than_a_piece_are_not_whole():
+    t = pa.table({"k": [1] * 3 + [2] * 9 + [3] * 2 + [4] * 7, "v": range(21)})
+    for rows in (1, 2, 4, 50):
+        got = [(x["k"].to_pylist(), whole) for x, whole in suffix_dedup.by_key(iter(t.to_batches(max_chunksize=rows)), 5)]
+        assert [k for ks, _ in got for k in ks] == t["k"].to_pylist()
+        for ks, whole in got:
+            assert whole or len(set(ks)) == 1
+            assert not whole or all(ks.count(k) == t["k"].to_pylist().count(k) for k in set(ks))
+
+
 # token files
 def test_range_coder_round_trips():
     rng = np.random.default_rng(0)
@@ -242,7 +354,14 @@ def test_range_coder_round_trips():
     p = 1 / np.arange(1, 1001)
     y = rng.choice(1000, 200_000, p=p / p.sum())
     assert sum(map(len, encode_blocks(y))) * 8 / len(y) < -(p / p.sum() * np.log2(p / p.sum())).sum() + 0.8
-    assert (decode_blocks([blocks[1]]) == x[65536:131072]).all()  # each block on its own
+    z = np.tile(y, 6)
+    assert (decode_blocks(encode_blocks(z)[1:]) == z[BLOCK:]).all()  # each block on its own
+    w = [rng.integers(0, 3000, 300) for _ in range(60)]  # passages that come again, as copies do
+    text = np.concatenate([w[i] for i in rng.integers(0, 60, 1000)])
+    share = np.bincount(text) / len(text)
+    assert sum(map(len, encode_blocks(text))) * 8 / len(text) < 0.5 * -(share[share > 0] * np.log2(share[share > 0])).sum()
+    huge = rng.integers(0, 1 << 31, 100_000)  # more different ids than 65,536
+    assert (decode_blocks(encode_blocks(huge)) == huge).all()
     broken = bytearray(blocks[0])
     broken[5000] ^= 1
     with pytest.raises(CorruptBlock):
@@ -254,11 +373,10 @@ def test_token_files_hold_the_tokenizers_ids(spark):
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(path)  # as loaded
     rnd = random.Random(1)
     odd = ["".join(rnd.choice("abAB'sS.,!?é Éß 12́\x0b\x1c\xa0　字Σς\n\tİ<|>/re") for _ in range(rnd.randint(0, 40))) for _ in range(300)]
-    rows = corpus()[:60] + [(500 + i, t) for i, t in enumerate(odd)] + [(7, "again"), (7, "again"), (None, "no id"), (900, "<|endoftext|> it's WE'LL"), (901, None)]
+    rows = corpus()[:60] + [(500 + i, t) for i, t in enumerate(odd)] + [(7, "again"), (7, "again"), (None, "no id"), (900, "<|endoftext|> it's WE'LL"), (901, None), (902, "x<|endoftext|>y a<|startoftext|> <|ENDOFTEXT|> don't<|"), (903, "longword" * 20_000)]
     got = token_output.encode(frame(spark, rows), path).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     assert len(got) == len(rows)
@@ -276,6 +394,41 @@ def test_token_files_hold_the_tokenizers_ids(spark):
     assert token_output.encode(frame(spark, []), path).count() == 0
 
 
+def test_ranges_deal_hot_ids_and_repeats_in_order():
+    rng = random.Random(4)
+    rows = [(rng.choice([None, None, 5, 5, 5, -9, 12, rng.randrange(50)]), rng.choice([1, 1, -3, rng.randrange(-40, 40)])) for _ in range(3000)]
+    ranges = token_output.Ranges.of(rows[:500], 40)
+    part = ranges.find(np.array([i is None for i, _ in rows]), np.array([i or 0 for i, _ in rows]), np.array([h for _, h in rows]))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    order = [r for _, r in sorted(zip(part.tolist(), map(key, rows), strict=True))]
+    assert order == sorted(map(key, rows)) and Counter(part.tolist()).most_common(1)[0][1] < 3000 / 40 * 3
+    assert token_output.Ranges.of([], 4).find(np.array([True, False]), np.array([0, 1]), np.array([0, 0])).tolist() == [0, 0]
+
+
+def test_contexts_win_against_counts_of_tokenised_text():
+    """Bits an id are clearly fewer than those of the block's own counts, which no coder knows before."""
+    P = pytest.importorskip("public_tokenizers")
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    texts = pq.read_table(path, columns=["text"])["text"].combine_chunks()
+    ids = np.concatenate([x for x, _ in token_output.encoder(P.path("word_bpe_49k.json")).ids(texts, 2)])[:BLOCK]
+    share = np.bincount(ids) / len(ids)
+    order0 = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert len(ids) == BLOCK and sum(map(len, encode_blocks(ids))) * 8 / len(ids) < 0.96 * order0
+
+
+def test_chunks_of_one_hash_keep_their_own_ids(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    plain = token_output.K.Text.hashes
+    texts = pa.array([" ".join(w) for w in (WORDS, WORDS[::-1], ["prefix-suffix", "xrefix-suffix", "a" * 30, "b" * 30])])
+    path = P.path("word_bpe_49k.json")
+    expect = [x for ids, _ in token_output.Encoder(path).ids(texts, 2) for x in ids.tolist()]
+    monkeypatch.setattr(token_output.K.Text, "hashes", lambda self, a, b: plain(self, a, b) % np.uint64(40))
+    got = [x for ids, _ in token_output.Encoder(path).ids(texts, 2) for x in ids.tolist()]
+    assert got == expect
+
+
 # pipeline
 def test_pipeline_against_brute_force(spark, tmp_path):
     P = pytest.importorskip("public_tokenizers")

@@ -1,4 +1,6 @@
 import math
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -80,6 +82,10 @@ def test_lattice_sums_all_segmentations():
     for w, lp in zip(words[:3], m.log_prob(words)[:3], strict=True):
         assert lp == pytest.approx(math.log(brute_segmentations(b" " + w, p)))
     # expected uses: by numeric derivative of the log-probability
+    tiny = lattice_lm.Lattice(pieces, np.append(np.full(len(pieces), math.log(1e-13)), -1.0))  # a long word's probability underflows
+    assert np.isfinite(use := tiny.expected([b"ab" * 20, b"c"], np.ones(2))).all()
+    whole = sum(u * len(x) for u, x in zip(use, pieces, strict=False))
+    assert whole == pytest.approx(41 + 2)
     e = m.expected(words, np.array([1.0, 2.0, 3.0, 1.0]))
     for i in range(len(pieces)):
         d = m.log_p.copy()
@@ -88,6 +94,21 @@ def test_lattice_sums_all_segmentations():
         assert e[i] == pytest.approx(((up - m.log_prob(words)) * [1, 2, 3, 1]).sum() / 1e-5, rel=1e-3, abs=1e-3)
 
 
+def test_long_words_are_walked_alike(monkeypatch):
+    pieces = sorted({bytes([b]) for b in b" abc"} | {b" a", b"ab", b"abc", b"bc", b" ab", b"cabc"})
+    r = np.random.default_rng(1).random(len(pieces) + 1) * 1e-3
+    m = lattice_lm.Lattice(pieces, np.log(r / r.sum() * 1e-3))
+    words = [b"abc", b"cabab" * 9, b"bcbcabc" * 40, b"a", b"cab" * 80]
+    weight = np.array([1.0, 2.0, 3.0, 1.0, 0.5])
+    plain = m.log_prob(words), m.expected(words, weight)
+    monkeypatch.setattr(lattice_lm, "LONG", 3)
+    for stretch in (7, 1 << 16):
+        monkeypatch.setattr(lattice_lm, "STRETCH", stretch)
+        assert m.log_prob(words) == pytest.approx(plain[0]) and m.expected(words, weight) == pytest.approx(plain[1])
+    began = time.process_time()
+    assert np.isfinite(m.log_prob([b"abc" * 100_000])).all() and time.process_time() - began < 20
+
+
 def test_lattice_takes_pieces_of_any_length():
     P = pytest.importorskip("public_tokenizers")
     import sentencepiece
@@ -96,7 +117,8 @@ def test_lattice_takes_pieces_of_any_length():
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     own = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
     raw = {p.replace("▁", " ").encode().lower() for p in own if "▁" not in p[1:]}
-    got = lattice_lm.pieces_of(path)
+    got, weight = lattice_lm.pieces_of(path)
+    assert np.exp(weight).sum() == pytest.approx(1) and weight[got.index(b" the")] > weight[got.index(b" though")] > weight[got.index(b"\xff")]
     assert set(got) == raw | {bytes([b]) for b in range(256)} and max(map(len, got)) > 16
     long = max(got, key=len).lstrip(b" ")
     m = lattice_lm.Lattice(got, np.zeros(len(got) + 1))
@@ -105,6 +127,7 @@ def test_lattice_takes_pieces_of_any_length():
 
 def test_lattice_scores(spark):
     pieces = sorted({bytes([b]) for b in range(256)} | {b" the", b"th", b"at"})
+    pieces = pieces, np.full(len(pieces), -np.log(len(pieces)))
     rows = [(i, t, i != 3) for i, t in enumerate(["the cat", "that Cat the", None, "new cat", "the " * 30])] + [(9, "x\x0by\x1cz", True)]
     df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
     out = {r.doc_id: r for r in lattice_lm.score(df, F.col("train"), pieces).collect()}
@@ -119,7 +142,12 @@ def test_lattice_scores(spark):
         assert out[i].base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
         assert -1e6 < out[i].score < 0
     assert lattice_lm.score(df.limit(0), F.col("train"), pieces).count() == 0
-    assert lattice_lm.score(df, F.lit(False), pieces).filter("n_known = 0 AND score < 0").count() == len(rows)
+    none = lattice_lm.score(df, F.lit(False), pieces).collect()
+    assert all(r.n_known == 0 and r.score < 0 and r.base_score == 0 and r.train_tokens == 0 for r in none) and len(none) == len(rows)
+    clash = df.selectExpr("*", "1 AS score", "2 AS _row", "3 AS _text", "4 AS Home")
+    out = lattice_lm.score(clash, F.col("train"), pieces, keep=("doc_id", "score", "_row", "_text", "Home"), rounds=0)
+    assert out.columns == ["doc_id", "_row", "_text", "Home", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert {(r._row, r._text, r.Home) for r in out.collect()} == {(2, 3, 4)}
 
 
 # quality
@@ -157,6 +185,18 @@ def test_quality_rules_odd_rows(spark):
     rows = quality_rules.judge(odd(spark), trees).collect()
     assert len(rows) == len(ODD) and not any(r.kept for r in rows) and all(r.base_failed for r in rows)
     assert quality_rules.judge(odd(spark).limit(0), trees).count() == 0
+    clash = odd(spark).selectExpr("*", "7 AS Kept", "8 AS n_words", "9 AS _text", "1 AS quality", "2 AS h", "3 AS t", "4 AS y0")
+    assert quality_rules.fit(clash, labels).roots.tolist() == trees.roots.tolist()
+    out = quality_rules.judge(clash, trees, keep=("doc_id", "Kept", "n_words", "_text", "quality"))
+    assert out.columns == ["doc_id", "_text", "quality", *quality_rules.STATS, "base_failed", "kept", "quality_score"] and {r._text for r in out.collect()} == {9}
+
+
+def test_a_hot_label_is_a_bounded_sample(spark):
+    """One id with many rows, equal and different ones, is learned from ``sample`` times at most."""
+    docs = spark.createDataFrame([(1, f"text {i % 40}") for i in range(400)] + [(2, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
+    rows = quality_rules.labelled(docs, labels, ["quality"], 10)
+    assert rows.count() == 401 and quality_rules.bounded(rows, 10).count() == 10 and quality_rules.bounded(rows, 1000).count() == 41
 
 
 def test_ordinal_regression_held_out(spark):
@@ -165,14 +205,16 @@ def test_ordinal_regression_held_out(spark):
     rows = [(i, " ".join(rng.choice(vocabulary[g] + ["the", "a", "of"], 30)), g) for i, g in enumerate(rng.integers(0, 3, 600))]
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(g)) for i, _, g in rows[:400]], "doc_id long, g int")
-    m = quality_classifier.fit(df, labels, F.col("g"), ["g"])
+    m = quality_classifier.fit(df, labels, lambda g: g, ["g"])
     assert (np.diff(m.thresholds) >= 0).all()
     out = {r.doc_id: r for r in quality_classifier.rate(df, m).collect()}
     assert np.mean([round(out[i].expected_grade) == g for i, _, g in rows[400:]]) > 0.95
     assert np.mean([out[i].selected == (g == 2) for i, _, g in rows[400:]]) > 0.95
     assert len(quality_classifier.rate(odd(spark), m).collect()) == len(ODD)
-    none = quality_classifier.fit(df, labels.limit(0), F.col("g"), ["g"])
+    none = quality_classifier.fit(df, labels.limit(0), lambda g: g, ["g"])
     assert all(r.selected for r in quality_classifier.rate(odd(spark), none).collect())
+    clash = odd(spark).selectExpr("*", "7 AS Selected", "8 AS grade", "9 AS _text", "1 AS id", "2 AS h")
+    assert quality_classifier.rate(clash, m, keep=("doc_id", "Selected", "grade", "_text", "id")).columns == ["doc_id", "grade", "_text", "id", "expected_grade", "tail_probability", "selected"]
 
 
 # personal data
@@ -185,6 +227,38 @@ def test_base_spans_are_the_patterns():
     assert corpus_pii.base_spans("mail a.b@c.de, 10.0.0.256 1.2.3.4, 4111 1111 1111 1111 or +1 (555) 555-1234") == [("email", 5, 13), ("ip", 26, 33), ("card", 35, 54), ("phone", 58, 75)]
 
 
+def raw_spans(t):
+    """The contract's patterns, as they are written there."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    luhn = lambda d: sum((x * 2 - 9 * (x > 4)) if i % 2 else x for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(d := digits(m[0])) <= 19 and luhn(d)]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m[0])) <= 15]
+
+
+def test_base_spans_equal_the_contracts_patterns():
+    rng = np.random.default_rng(8)
+    for k in range(6000):
+        t = "".join(rng.choice(list("01259.. +-()@a\n٣") if k % 2 else list("0012.. -"), rng.integers(0, 60)))
+        assert corpus_pii.base_spans(t) == raw_spans(t)
+    for d in range(0, 400, 7):  # the same spans at any place of a text
+        t = " " * d + "4111-1111 1111 1111, 1.2.3.255, +1 555 555-1234 a@b.c" + "#" * (d % 5)
+        assert corpus_pii.base_spans(t) == raw_spans(t) and len(raw_spans(t)) == 4
+
+
+def test_long_runs_of_digits_take_time_in_proportion():
+    """No conversion of thousands of digits, no search anew from each digit."""
+    t = "9" * 300_000 + ".1.1.1 " + "0" * 5000 + "1.2.3.4 " + "1." * 100_000 + " " + "+1" * 50_000
+    began = time.process_time()
+    assert ("ip", 300_007, 305_014) in corpus_pii.base_spans(t)
+    assert time.process_time() - began < 5
+    found = [(3, i, i + 3, 1.0) for i in range(0, 400_000, 4)]
+    base = [("ip", i, i + 2) for i in range(1, 400_000, 8)]
+    began = time.process_time()
+    assert len(corpus_pii.reconcile(base, found)) == 100_000 and time.process_time() - began < 5
+
+
 def test_tagger_gradients():
     rng = np.random.default_rng(0)
     tagger = corpus_pii.Tagger.new(4, 3, 1)
