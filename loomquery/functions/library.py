@@ -231,7 +231,16 @@ def cast(x: str, name: str, args: list[str], kind: Kind, safe: bool = False, ele
 
 def shortest(x: str) -> str:
     """The shortest text of a double: plain digits up to 1e16, then an exponent of two digits at least."""
-    t = f"CAST({x} AS STRING)"
+    raw = f"CAST({x} AS STRING)"
+
+    def rounded(n: int) -> tuple[str, str]:
+        cut = f"format_string('%.{n - 1}e', {x})"
+        return cut, f"concat(regexp_replace(regexp_replace(split({cut}, 'e')[0], '0+$', ''), '\\\\.$', '.0'), 'E', split({cut}, 'e')[1])"
+
+    # the platform's text may have a digit or two too many
+    digits = f"length(regexp_replace(split({raw}, 'E')[0], '^[-0.]+|[.]', ''))"
+    (cut, sixteen), (_, seventeen) = rounded(16), rounded(17)
+    t = f"(CASE WHEN {digits} > 16 AND CAST({cut} AS DOUBLE) = {x} THEN {sixteen} WHEN {digits} > 17 THEN {seventeen} ELSE {raw} END)"
     plain = f"regexp_replace(regexp_replace(CAST(CAST({t} AS DECIMAL(38, 22)) AS STRING), '0+$', ''), '\\\\.$', '.0')"
     power = f"CAST(split({t}, 'E')[1] AS INT)"
     far = f"concat(regexp_replace(split({t}, 'E')[0], '\\\\.0$', ''), if({power} < 0, 'e-', 'e+'), if(abs({power}) < 10, '0', ''), abs({power}))"

@@ -6,7 +6,11 @@ has no equal (random values, implementation-defined results).
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomquery.plans.session import Session
 
@@ -86,7 +90,7 @@ add("get_element", "SELECT GET(s, 1) AS a, GET(s, -1) AS b, GET(s, 9) AS c FROM
 add("str_encode", "SELECT c_custkey, BASE64_ENCODE(c_name) AS b, HEX_ENCODE(c_name) AS h, HEX_DECODE(HEX_ENCODE(c_name)) AS x, BASE64_DECODE(BASE64_ENCODE(c_name)) AS y, BASE85_DECODE(BASE85_ENCODE(c_name)) AS z FROM customer", "SELECT c_custkey, base64(c_name::BLOB) AS b, hex(c_name) AS h, c_name AS x, c_name AS y, c_name AS z FROM customer")
 add("str_split", "SELECT event_id, SPLIT(event_type, 'c') AS p, LENGTH(SPLIT(event_type, 'c')) AS n FROM events", "SELECT event_id, string_split(event_type, 'c') AS p, len(string_split(event_type, 'c')) AS n FROM events")
 add("str_humanize", "SELECT HUMANIZE(x) AS h FROM (VALUES (950), (12), (1200000), (2500000000)) AS v(x)", "SELECT * FROM (VALUES ('1.0 thousand'), ('12'), ('1.2 million'), ('2.5 billion')) AS v(h)")
-add("text_match", "SELECT conv_id, turn FROM conversations WHERE MATCH (text) AGAINST ('help')", None)
+add("text_match", "SELECT conv_id, turn FROM conversations WHERE MATCH (text) AGAINST ('whi')", """SELECT conv_id, turn FROM conversations WHERE list_contains(list_transform(string_split_regex(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+'), lambda t: CASE WHEN length(t) > 3 THEN regexp_replace(t, '([^s])s$', '\\1') ELSE t END), 'whi')""")
 add("text_cosine", "SELECT doc_id, ROUND(COSINE_SIMILARITY(text, 'the and of'), 4) AS c FROM documents", None)
 add("str_random", "SELECT RANDOM() AS a, NORMAL() AS b, RANDOM_STRING(8) AS c, HASH(r_name) AS h FROM region", None)
 # types
@@ -123,6 +127,26 @@ add("show_columns", "SHOW COLUMNS FROM nation", "SELECT * FROM (VALUES ('n_natio
 add("explain", "EXPLAIN SELECT COUNT(*) AS n FROM region", None)
 add("visible_self_join", "SELECT COUNT(*) AS n FROM events AS a INNER JOIN events AS b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
 add("time_series_gaps", "SELECT d.d AS day, COUNT(e.event_id) AS n FROM GENERATE_SERIES('2024-01-01', '2024-01-31', '1d') AS d LEFT JOIN events AS e ON DATE_TRUNC('day', e.ts) = d.d GROUP BY d.d", "SELECT d.day, COUNT(e.event_id) AS n FROM (SELECT generate_series AS day FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS d LEFT JOIN events AS e ON date_trunc('day', e.ts) = d.day GROUP BY d.day")
+add("visible_glob", "SELECT COUNT(*) AS n FROM `./natio*.parquet`", "SELECT COUNT(*) AS n FROM nation")
+# types, conversions, DISTINCT ON over tables
+add("distinct_on_limit", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place = 1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 40")
+add("typed_derived", "SELECT d.event_id, LENGTH(d.p) AS n, d.p[0] AS a, LENGTH(d.t) AS m FROM (SELECT event_id, SPLIT(event_type, 'c') AS p, event_type AS t FROM events) AS d ORDER BY LENGTH(d.p)", "SELECT event_id, len(string_split(event_type, 'c')) AS n, string_split(event_type, 'c')[1] AS a, length(event_type) AS m FROM events")
+add("typed_by_alias", "SELECT l.c_custkey, LENGTH(l.v) AS a, LENGTH(r.v) AS b FROM (SELECT c_custkey, c_name AS v FROM customer) AS l INNER JOIN (SELECT c_custkey, SPLIT(c_name, '#') AS v FROM customer) AS r ON l.c_custkey = r.c_custkey", "SELECT c_custkey, length(c_name) AS a, len(string_split(c_name, '#')) AS b FROM customer")
+add("coalesce_nan", "SELECT o_orderkey, COALESCE(t.x, -1.0) AS c FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST('NaN' AS DOUBLE) WHEN o_orderkey % 3 = 1 THEN o_totalprice END AS x FROM orders) AS t", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN o_totalprice ELSE -1.0::DOUBLE END AS c FROM orders")
+add("double_text", "SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS s, CAST(POWER(2, o_orderkey % 70) AS VARCHAR) AS p, CAST(1 / POWER(2, o_orderkey % 30) AS VARCHAR) AS q FROM orders", "SELECT o_orderkey, o_totalprice::VARCHAR AS s, pow(2, o_orderkey % 70)::VARCHAR AS p, (1 / pow(2, o_orderkey % 30))::VARCHAR AS q FROM orders")
+add("integer_timestamp", "SELECT event_id, CAST(event_id * 1000003 AS TIMESTAMP) AS t, INTEGER(CAST(event_id * 1000003 AS TIMESTAMP)) AS i, CAST(ts AS INTEGER) AS u FROM events", "SELECT event_id, make_timestamp(event_id * 1000003) AS t, event_id * 1000003 AS i, epoch_us(ts) AS u FROM events")
+add("try_types", "SELECT event_id, TRY_TIMESTAMP(event_type) AS a, TRY_DECIMAL(props, 5, 2) AS b, TRY_VARCHAR(user_id) AS c, TRY_INTEGER(event_type) AS d, INT(user_id) AS e, PASSTHRU(event_type) AS f FROM events", "SELECT event_id, NULL::TIMESTAMP AS a, NULL::DECIMAL(5, 2) AS b, user_id::VARCHAR AS c, NULL::BIGINT AS d, user_id AS e, event_type AS f FROM events")
+add("concat_tuple", "SELECT n_nationkey, CONCAT((n_name, '-', 'x')) AS a, CONCAT_WS('/', (n_name, n_name)) AS b FROM nation", "SELECT n_nationkey, n_name || '-x' AS a, n_name || '/' || n_name AS b FROM nation")
+add("interval_ranges", "SELECT o_orderkey, o_orderdate + INTERVAL '1 6' DAY TO HOUR AS a, o_orderdate - INTERVAL '1-2' YEAR TO MONTH AS b FROM orders", "SELECT o_orderkey, o_orderdate + INTERVAL 30 HOUR AS a, o_orderdate - INTERVAL 14 MONTH AS b FROM orders")
+add("interval_compare", "SELECT event_id FROM events WHERE ts - TIMESTAMP '2024-01-01 00:00:00' > INTERVAL '10' DAY", "SELECT event_id FROM events WHERE ts - TIMESTAMP '2024-01-01 00:00:00' > INTERVAL 10 DAY")
+add("seconds", "SELECT event_id, SECOND(ts) AS s, TIMEDIFF(TIMESTAMP '2024-01-01 00:00:00', ts) AS h, UNIXTIME(ts) AS u FROM events", "SELECT event_id, second(ts) AS s, datesub('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS h, floor(epoch(ts))::BIGINT AS u FROM events")
+add("array_any_all", "SELECT event_id, ARRAY_CONTAINS_ANY(SPLIT(event_type, 'i'), ARRAY['cl', 's']) AS a, ARRAY_CONTAINS_ALL(SPLIT(event_type, 'i'), ARRAY['cl', 'ck']) AS b, SPLIT(event_type, 'i') @> ('v', 'ck') AS c FROM events", "SELECT event_id, list_has_any(string_split(event_type, 'i'), ['cl', 's']) AS a, list_has_all(string_split(event_type, 'i'), ['cl', 'ck']) AS b, list_has_any(string_split(event_type, 'i'), ['v', 'ck']) AS c FROM events")
+add("array_sort", "SELECT vec_id, SORT(embedding) AS s FROM embeddings", "SELECT vec_id, list_sort(embedding) AS s FROM embeddings")
+add("agg_distinct_set", "SELECT t.k, SORT(t.p) AS p FROM (SELECT o_orderstatus AS k, DISTINCT(o_orderpriority) AS p FROM orders GROUP BY o_orderstatus) AS t", "SELECT o_orderstatus AS k, list_sort(list(DISTINCT o_orderpriority)) AS p FROM orders GROUP BY o_orderstatus")
+add("signum_soundex", "SELECT o_orderkey, SIGNUM(o_totalprice - 100000) AS s, SOUNDEX(o_orderstatus) AS x FROM orders", "SELECT o_orderkey, sign(o_totalprice - 100000)::DOUBLE AS s, o_orderstatus || '000' AS x FROM orders")
+add("json_string", "SELECT event_id, GET_STRING(props, 'k') AS k FROM events", "SELECT event_id, props ->> 'k' AS k FROM events")
+add("in_table_array", "SELECT event_id, 'ck' = ANY(SPLIT(event_type, 'i')) AS a, 'ck' IN UNNEST(SPLIT(event_type, 'i')) AS b, event_type != ALL(SPLIT(event_type, 'i')) AS c FROM events", "SELECT event_id, list_contains(string_split(event_type, 'i'), 'ck') AS a, list_contains(string_split(event_type, 'i'), 'ck') AS b, NOT list_contains(string_split(event_type, 'i'), event_type) AS c FROM events")
+add("planets_other_names", "SELECT name, escape_velocity, number_of_moons FROM $planets AS p FOR 1800-01-01 WHERE mean_temperature > 0", "SELECT * FROM (VALUES ('Mercury', 4.3::DOUBLE, 0), ('Venus', 10.4, 0), ('Earth', 11.2, 1)) AS t(name, escape_velocity, number_of_moons)")
 # whole queries
 add("priority_counts", "SELECT o_orderpriority, COUNT(*) AS n FROM orders LEFT SEMI JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 40 WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1998-01-01' GROUP BY o_orderpriority ORDER BY o_orderpriority", "SELECT o_orderpriority, COUNT(*) AS n FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1998-01-01' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40) GROUP BY o_orderpriority")
 add("forecast_revenue", "SELECT ROUND(SUM(l_extendedprice * l_discount), 0) AS revenue FROM lineitem WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '1997-01-01' AND l_discount BETWEEN 0.02 AND 0.08 AND l_quantity < 24", "SELECT round_even(SUM(l_extendedprice * l_discount), 0) AS revenue FROM lineitem WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '1997-01-01' AND l_discount BETWEEN 0.02 AND 0.08 AND l_quantity < 24")
@@ -138,5 +162,50 @@ def run(name: str):
     return query
 
 
-QUERIES = {name: run(name) for name in Q}
-ORACLE_SQL = {name: o for name, (_, o) in Q.items() if o is not None}
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the place that driver and executors share."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(conf or f'file://{tempfile.gettempdir()}').rstrip('/')}/formats-{uuid.uuid4().hex}"
+
+
+def stored(kind: str, table: str, **options):
+    """A table of sf_dir written in another format, and read by its name."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch(spark)
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").write.options(**options).format(kind).save(f"{root}/{table}")
+        return Session(spark, root).sql(f"SELECT * FROM {table}")
+
+    return query
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in a date-partitioned tree; three days of it are read."""
+    root = scratch(spark)
+    day = F.date_format("ts", "'year_'yyyy'/month_'MM'/day_'dd")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("day", day)
+    for n in range(1, 6):
+        events.filter(F.col("day") == f"year_2024/month_01/day_0{n}").drop("day").write.parquet(f"{root}/events/year_2024/month_01/day_0{n}")
+    return Session(spark, root).sql("SELECT event_id, ts FROM events FOR DATES BETWEEN '2024-01-02' AND '2024-01-04'")
+
+
+def in_session(statement: str, **options):
+    return lambda spark, sf_dir: Session(spark, sf_dir, **options).sql(statement)
+
+
+#: Queries that need files or a session of their own, with their oracles.
+MORE = {
+    "format_orc": (stored("orc", "customer"), "SELECT * FROM customer"),
+    "format_jsonl": (stored("json", "nation"), "SELECT * FROM nation"),
+    "format_csv": (stored("csv", "part", header=True), "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part"),
+    "dated_tree": (dated, "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-05'"),
+    "view": (in_session("SELECT COUNT(*) AS n, SUM(t) AS t FROM big", views={"big": "SELECT o_custkey, COUNT(*) AS t FROM orders GROUP BY o_custkey"}), "SELECT COUNT(*) AS n, SUM(t)::BIGINT AS t FROM (SELECT COUNT(*) AS t FROM orders GROUP BY o_custkey)"),
+    "execute_prepared": (in_session("EXECUTE dear(least = 1e5, mark = 'F')", prepared={"dear": "SELECT o_orderkey FROM orders WHERE o_totalprice > :least AND o_orderstatus = :mark"}), "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'"),
+    "visible_rows": (in_session("SELECT n_name, r_name FROM nation.parquet AS n INNER JOIN `./region.parquet` AS r ON n_regionkey = r_regionkey", visible={"region": [["r_regionkey = 1"], ["r_regionkey > 2", "r_regionkey < 4"]]}), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IN (1, 3)"),
+    "permitted": (in_session("SELECT COUNT(*) AS n FROM `./nation.parquet`", roles=("reader",), permissions=[("reader", "nat*")]), "SELECT COUNT(*) AS n FROM nation"),
+}
+
+QUERIES = {**{name: run(name) for name in Q}, **{name: q for name, (q, _) in MORE.items()}}
+ORACLE_SQL = {**{name: o for name, (_, o) in Q.items() if o is not None}, **{name: o for name, (_, o) in MORE.items()}}

@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 
 from loomquery.errors import QueryError, UnknownRelation
 
-FORMATS = {"parquet": "parquet", "orc": "orc", "jsonl": "json", "ndjson": "json", "csv": "csv", "tsv": "csv", "psv": "csv", "arrow": "arrow", "ipc": "arrow", "feather": "arrow", "xz": "packed", "lzma": "packed", "zst": "packed", "zstd": "packed", "gz": "json", "avro": "avro"}
+FORMATS = {"parquet": "parquet", "orc": "orc", "jsonl": "json", "json": "json", "ndjson": "json", "csv": "csv", "tsv": "csv", "psv": "csv", "arrow": "arrow", "ipc": "arrow", "feather": "arrow", "xz": "packed", "lzma": "packed", "zst": "packed", "zstd": "packed", "gz": "json", "avro": "avro"}
 SEPARATORS = {"csv": ",", "tsv": "\t", "psv": "|"}
 #: Control files, never read as data.
 CONTROL = ("frame.complete", "frame.ignore", ".manifest", ".complete", ".ignore")

@@ -34,7 +34,7 @@ def test_query(spark, duck, name):
     df = queries.QUERIES[name](spark, DATA)
     rows = [tuple(norm(v) for v in r) for r in df.collect()]
     if name not in queries.ORACLE_SQL:
-        assert rows is not None
+        assert rows  # nothing to compare with, but something comes
         return
     other = duck.sql(queries.ORACLE_SQL[name])
     at = [other.columns.index(c) for c in df.columns]
