@@ -235,14 +235,14 @@ def shortest(x: str) -> str:
 
     def rounded(n: int) -> tuple[str, str]:
         cut = f"format_string('%.{n - 1}e', {x})"
-        return cut, f"concat(regexp_replace(regexp_replace(split({cut}, 'e')[0], '0+$', ''), '\\\\.$', '.0'), 'E', split({cut}, 'e')[1])"
+        return cut, f"concat(regexp_replace(regexp_replace(split({cut}, 'e')[0], '0+$', ''), '\\\\.$', '.0'), 'E', get(split({cut}, 'e'), 1))"
 
     # the platform's text may have a digit or two too many
     digits = f"length(regexp_replace(split({raw}, 'E')[0], '^[-0.]+|[.]', ''))"
     (cut, sixteen), (_, seventeen) = rounded(16), rounded(17)
-    t = f"(CASE WHEN {digits} > 16 AND CAST({cut} AS DOUBLE) = {x} THEN {sixteen} WHEN {digits} > 17 THEN {seventeen} ELSE {raw} END)"
-    plain = f"regexp_replace(regexp_replace(CAST(CAST({t} AS DECIMAL(38, 22)) AS STRING), '0+$', ''), '\\\\.$', '.0')"
-    power = f"CAST(split({t}, 'E')[1] AS INT)"
+    t = f"(CASE WHEN {digits} > 16 AND try_cast({cut} AS DOUBLE) = {x} THEN {sixteen} WHEN {digits} > 17 THEN {seventeen} ELSE {raw} END)"
+    plain = f"regexp_replace(regexp_replace(CAST(try_cast({t} AS DECIMAL(38, 22)) AS STRING), '0+$', ''), '\\\\.$', '.0')"
+    power = f"try_cast(get(split({t}, 'E'), 1) AS INT)"
     far = f"concat(regexp_replace(split({t}, 'E')[0], '\\\\.0$', ''), if({power} < 0, 'e-', 'e+'), if(abs({power}) < 10, '0', ''), abs({power}))"
     special = f"WHEN isnan({x}) THEN 'nan' WHEN {t} = 'Infinity' THEN 'inf' WHEN {t} = '-Infinity' THEN '-inf'"
     return f"CASE {special} WHEN contains({t}, 'E') THEN CASE WHEN abs({x}) >= 1e-4D AND abs({x}) < 1e16D THEN {plain} ELSE {far} END ELSE {t} END"

@@ -37,15 +37,16 @@ class Session:
     conditions, any of which (each a list of ANDed conditions) shows a row. Both
     hold for what a name stands for, so by whatever path, glob or case it is read.
     strict: reject what only Spark adds to the dialect. samples: a folder with the
-    sample relations' files.
+    sample relations' files. fetch: gives the bytes that HTTP('url') reads; without
+    it, HTTP is an error, so no statement reaches a network by itself.
     """
 
     def __init__(
         self, spark: SparkSession, root: str = ".", views: dict[str, str] | None = None, prepared: dict[str, str] | None = None, roles: tuple[str, ...] = (), permissions: list[tuple[str, str]] | None = None,
-        visible: dict[str, list[list[str]]] | None = None, strict: bool = False, today: dt.date | None = None, samples: str | None = None,
+        visible: dict[str, list[list[str]]] | None = None, strict: bool = False, today: dt.date | None = None, samples: str | None = None, fetch: Callable[[str], bytes] | None = None,
     ):
         self.spark, self.root, self.strict = spark, root.rstrip("/"), strict
-        self.views, self.prepared = dict(views or {}), dict(prepared or {})
+        self.views, self.prepared = dict(views or {}), {k.lower(): v for k, v in (prepared or {}).items()}
         self.roles, self.permissions, self.visible = roles, permissions, {k.lower(): v for k, v in (visible or {}).items()}
         self.samples = samples or f"{self.root}/samples"
         self.started, self.executed = time.time(), 0
@@ -53,6 +54,8 @@ class Session:
         self.variables: dict[str, object] = {}
         self.frames: dict[str, DataFrame] = {}
         self.stores: dict[str, Callable[[str], DataFrame]] = {}
+        self.catalogs: dict[str, str] = {}
+        self.fetch = fetch
         self.n = 0
         self._views: list[str] = []
         spark.conf.set("spark.sql.session.timeZone", "UTC")  # timestamps have no zone here
@@ -75,6 +78,10 @@ class Session:
         """Tables of a database; Spark pushes columns, filters and limits to it."""
         self.register_store(prefix, lambda t: self.spark.read.format("jdbc").options(url=url, dbtable=t, **options).load(), True)
 
+    def catalog(self, prefix: str, catalog: str) -> None:
+        """Tables of a Spark catalog, as an Iceberg one; FOR a day reads the table as it was at the end of that day."""
+        self.catalogs[prefix.lower()] = catalog
+
     def relation(self, name: str, span: Span | None = None) -> DataFrame:
         """The rows of a relation that this session may see.
 
@@ -107,9 +114,17 @@ class Session:
             return self.frames[low], []
         if m := re.fullmatch(r"FAKE\((.*)\)", name, re.S):
             return self._fake(m[1].split(chr(31))), []
+        if m := re.fullmatch(r"HTTP\((.*)\)", name, re.S):
+            return self._http(library.literal(m[1])), []
         if low.startswith("$"):
             return self._virtual(low, days), []
         prefix = low.split(".")[0]
+        if prefix in self.catalogs:
+            reader = self.spark.read
+            if days:
+                end = dt.datetime.combine(days[1], dt.time.max, dt.UTC)
+                reader = reader.option("as-of-timestamp", int(end.timestamp() * 1000))
+            return files.flat(reader.table(f"{self.catalogs[prefix]}.{name[len(prefix) + 1 :]}")), []
         if prefix in self.stores:
             return self.stores[prefix](name), []
         if "://" in name or "/" in name or re.search(r"\.(\w+)$", name) and name.rsplit(".", 1)[-1].lower() in files.FORMATS:
@@ -152,6 +167,17 @@ class Session:
             return virtual.sample(files.load(self.spark, [path], "parquet"), name)
         raise UnknownRelation(f"no relation {name}")
 
+    def _http(self, url: str | None) -> DataFrame:
+        """A file of a web server, decoded by its ending on the driver: for small ones."""
+        if not url or not re.match(r"https?://", url):
+            raise QueryError("HTTP takes the literal address of a file")
+        if self.fetch is None:
+            raise NotAllowed("this session fetches nothing; give it fetch")
+        kind = re.search(r"\.(\w+)$", re.sub(r"[?#].*", "", url))
+        if not kind:
+            raise QueryError(f"{url} does not say its format by its ending")
+        return files.flat(self.spark.createDataFrame(files.decoded(self.fetch(url), kind[1])))
+
     def _fake(self, args: list[str]) -> DataFrame:
         """Random rows: a number of long columns, or a list of types."""
         rows = int(args[0])
@@ -235,8 +261,15 @@ class Session:
             return explain.explain(self._one(rest.strip(), params), analyze, form)
         if word == "SET" and len(t) >= 4:
             name = t[1].text.lstrip("@")
+            if self.strict and not t[1].text.startswith("@") and name not in virtual.SYSTEM:
+                raise QueryError(f"no variable {name}; a session's own begin with @")
             self.variables[name] = virtual.checked(name, literal_of([x.text for x in t[3:]]))
             return virtual.variables(self.spark, {name: self.variables[name]}, None)
+        if word == "SHOW" and [x.up for x in t[1:4]] in (["EXTENDED", "COLUMNS", "FROM"], ["FULL", "COLUMNS", "FROM"]):
+            name = "".join(x.text for x in t[4:]).strip("`")
+            known = {v: k for k, v in virtual.ALIASES.get(name.lower(), {}).items()}
+            rows = [(f.name, f.dataType.simpleString(), f.nullable, known.get(f.name)) for f in self.relation(name).schema.fields]
+            return self.spark.createDataFrame(rows, "name string, type string, nullable boolean, alias string")
         if word == "SHOW" and [x.up for x in t[1:3]] == ["COLUMNS", "FROM"]:
             df = self.relation("".join(x.text for x in t[3:]).strip("`"))
             return self.spark.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields], "name string, type string, nullable boolean")
@@ -251,7 +284,7 @@ class Session:
             name = t[1].text.lstrip("@")
             return virtual.variables(self.spark, {name: virtual.value_of(self.variables, name, self.roles)}, None)
         if word == "EXECUTE":
-            name = t[1].text
+            name = t[1].text.lower()
             if name not in self.prepared:
                 raise QueryError(f"no statement {name}")
             return self._one(self.prepared[name], arguments(t[2:]) or None)

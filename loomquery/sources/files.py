@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import io
 import lzma
 import os
 import posixpath
 import re
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
+import pyarrow.csv
+import pyarrow.json
+import pyarrow.orc
+import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -18,7 +25,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 
 from loomquery.errors import QueryError, UnknownRelation
 
-FORMATS = {"parquet": "parquet", "orc": "orc", "jsonl": "json", "json": "json", "ndjson": "json", "csv": "csv", "tsv": "csv", "psv": "csv", "arrow": "arrow", "ipc": "arrow", "feather": "arrow", "xz": "packed", "lzma": "packed", "zst": "packed", "zstd": "packed", "gz": "json", "avro": "avro"}
+FORMATS = {"parquet": "parquet", "orc": "orc", "jsonl": "json", "json": "json", "ndjson": "json", "csv": "csv", "tsv": "csv", "psv": "csv", "arrow": "arrow", "ipc": "arrow", "feather": "arrow", "xz": "packed", "lzma": "packed", "zst": "packed", "zstd": "packed", "gz": "json", "avro": "avro", "xlsx": "xlsx"}
 SEPARATORS = {"csv": ",", "tsv": "\t", "psv": "|"}
 #: Control files, never read as data.
 CONTROL = ("frame.complete", "frame.ignore", ".manifest", ".complete", ".ignore")
@@ -96,13 +103,14 @@ def load(spark: SparkSession, paths: list[str], kind: str | None = None) -> Data
         texts = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
         out = DataFrame(spark._jsparkSession.read().json(texts), spark)
     else:
-        first = spark.read.format("binaryFile").load(data[0]).select("content").first()[0]
-        schema = _open(bytes(first)).schema
+        opened = _sheet if form == "xlsx" else _open
+        first = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(data[0]).select("content").first()[0]
+        schema = opened(bytes(first)).schema
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for content in b.column(0):
-                    yield from _open(content.as_py()).cast(schema).to_batches()
+                    yield from opened(content.as_py()).cast(schema).to_batches()
 
         out = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(data).select("content").mapInArrow(read, from_arrow_schema(schema))
     return flat(out)
@@ -137,6 +145,54 @@ def _open(raw: bytes) -> pa.Table:
         return pa.ipc.open_stream(io.BytesIO(raw)).read_all()
 
 
+def _sheet(raw: bytes) -> pa.Table:
+    """The first sheet of a workbook: its first row has the names; a column's cells have one type, or are text."""
+    book = zipfile.ZipFile(io.BytesIO(raw))
+    tag = lambda e: e.tag.rpartition("}")[2]
+    text = lambda e: "".join(t.text or "" for t in e.iter() if tag(t) == "t")
+    shared = [text(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
+    sheet = min((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    rows: list[dict[int, object]] = []
+    for row in (e for e in ElementTree.fromstring(book.read(sheet)).iter() if tag(e) == "row"):
+        cells: dict[int, object] = {}
+        for n, c in enumerate(e for e in row if tag(e) == "c"):
+            place = re.match(r"[A-Z]+", c.get("r", ""))
+            at = functools.reduce(lambda k, x: k * 26 + ord(x) - 64, place[0], 0) - 1 if place else n
+            value = next((v.text for v in c if tag(v) == "v"), None)
+            kind = c.get("t", "n")
+            if kind == "inlineStr":
+                cells[at] = text(c)
+            elif value is not None:
+                cells[at] = shared[int(value)] if kind == "s" else value == "1" if kind == "b" else float(value) if kind == "n" else value
+        rows.append(cells)
+    names = rows[0] if rows else {}
+    columns = {}
+    for k, name in sorted(names.items()):
+        values = [r.get(k) for r in rows[1:]]
+        if len({type(v) for v in values if v is not None}) > 1:
+            values = [None if v is None else str(v) for v in values]
+        elif all(isinstance(v, float) and v.is_integer() for v in values if v is not None):
+            values = [None if v is None else int(v) for v in values]
+        columns[str(name)] = pa.array(values, None if any(v is not None for v in values) else pa.string())
+    return pa.table(columns)
+
+
+def decoded(raw: bytes, kind: str) -> pa.Table:
+    """A file's bytes as a table, by its ending."""
+    form = FORMATS.get(kind.lower())
+    if form == "parquet":
+        return pyarrow.parquet.read_table(io.BytesIO(raw))
+    if form == "orc":
+        return pyarrow.orc.ORCFile(io.BytesIO(raw)).read()
+    if form == "csv":
+        return pyarrow.csv.read_csv(io.BytesIO(raw), parse_options=pyarrow.csv.ParseOptions(delimiter=SEPARATORS[kind.lower()], newlines_in_values=True))
+    if form == "json" and kind.lower() != "gz":
+        return pyarrow.json.read_json(io.BytesIO(raw))
+    if form in ("arrow", "xlsx"):
+        return (_sheet if form == "xlsx" else _open)(raw)
+    raise QueryError(f"no decoder for .{kind}")
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Structs as JSON text, small integers as long, floats as double: the types the dialect has."""
     out = []

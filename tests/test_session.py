@@ -179,3 +179,30 @@ def test_hints_say_nothing(run):
 def test_cosine_of_many_texts(run):
     got = run("SELECT ROUND(COSINE_SIMILARITY(s, 'a b'), 6) AS c FROM (VALUES ('a b'), ('A'), ('zz'), (''), (NULL)) AS t(s)")
     assert got[0] == (1.0,) and got[1][0] == pytest.approx(math.sqrt(0.5), abs=1e-5) and got[2:] == [(0.0,), (0.0,), (None,)]
+
+
+def test_steps_of_series_and_nulls_that_are_no_numbers(run):
+    assert run("SELECT COUNT(*) AS n FROM GENERATE_SERIES('2022-01-01', '2022-12-31', '1mth') AS g") == [(12,)]
+    assert run("SELECT COUNT(*) AS n FROM GENERATE_SERIES('2022-01-01', '2022-01-02', '1h 30 min') AS g") == [(17,)]
+    with pytest.raises(QueryError):
+        run("SELECT * FROM GENERATE_SERIES('2022-01-01', '2022-12-31', '1 fortnight') AS g")
+    assert run("SELECT COUNT(*) AS n FROM $planets WHERE surface_pressure / surface_pressure IS NULL") == [(5,)]
+    assert run("SELECT VARCHAR(surface_pressure) AS s FROM $planets WHERE VARCHAR(surface_pressure) IS NULL OR id = 9 ORDER BY s") == [("1e-05",), (None,), (None,), (None,), (None,)]
+
+
+def test_for_behind_a_subquery(run):
+    assert run("SELECT COUNT(*) AS n FROM (SELECT * FROM $planets AS d) AS p FOR '1800-01-01'") == [(7,)]
+    assert run("SELECT COUNT(*) AS n FROM (SELECT * FROM $planets) AS p CROSS JOIN (SELECT * FROM $planets FOR '1700-01-01') AS q FOR '1800-01-01'") == [(9 * 6,)]
+
+
+def test_addresses_lists_and_strictness(spark, root, run):
+    for bad in ("SELECT '!!' | '10.0.0.0/8'", "SELECT 0 | '10.0.0.0/8'", "SELECT '10.0.0.1' | 3", "SELECT '10.0.0.1/8' | '10.0.0.0/8'", "SELECT 1 IN (1, 'one')"):
+        with pytest.raises(QueryError):
+            run(bad)
+    s = Session(spark, str(root), strict=True, prepared={"P": "SELECT 1 AS a"})
+    for bad in ("SELECT name FROM $planets ORDER BY 1", "SELECT name FROM $planets ORDER BY LENGTH(name)", "SELECT id, name, id FROM $planets", "SELECT (name, id) FROM $planets", "SELECT * FROM $planets LEFT JOIN $planets USING (id)", "SET thing = 1"):
+        with pytest.raises((QueryError, Exception)) as e:
+            s.sql(bad)
+        assert type(e.value).__module__ == "loomquery.errors", bad
+    assert s.sql("SELECT a.name FROM $planets AS a INNER JOIN $planets AS b ON a.id = b.id ORDER BY a.name DESC").count() == 9 and s.sql("EXECUTE p").count() == 1
+    assert len(s.sql("SHOW EXTENDED COLUMNS FROM $planets").columns) == 4
