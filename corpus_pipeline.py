@@ -1,8 +1,15 @@
 """A training-corpus pipeline: each stage is one operator over all rows its predecessor kept.
 
 run(spark, sf_dir) writes each stage's rows as Parquet in the shared folder and
-reads them again as the next stage's documents. All stages but the last return
-the columns of documents.
+reads them again as the next stage's documents; a stage's table goes when the next
+one is written. All stages but the last return the columns of documents, whatever
+their names.
+
+Defined results: null, empty and letterless texts leave at the first stage, so all
+later ones have words. Of equal and nearly equal texts, repeated rows too, the row
+with the least id stays, and a null id comes last. Null ids, languages and sources
+are kept as such. Very long texts take part whole. Empty tables go through to an
+empty result; without a benchmark item nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomquery.llm import decontamination, jaccard_join, language_id, mixing, token_output
-from loomquery.llm.shared import crc_mod, docs_of, fresh_path
+from loomquery.llm.shared import crc_mod, discard, docs_of, fresh_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +60,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = docs_of(spark, sf_dir)
+    docs, before = docs_of(spark, sf_dir), None
     for i, (_, stage) in enumerate(STAGES):
         path = fresh_path(spark, f"stage{i}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
