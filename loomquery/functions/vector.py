@@ -41,7 +41,9 @@ def cosine(a: pd.Series, b: pd.Series) -> np.ndarray:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the functions known to SQL as loom_*."""
+    """Make the functions known to SQL as loom_*, once a session."""
+    if spark.catalog.functionExists("loom_cosine"):
+        return
 
     @F.pandas_udf("string")
     def encode(s: pd.Series) -> pd.Series:

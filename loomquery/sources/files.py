@@ -79,6 +79,20 @@ def days_between(spark: SparkSession, tree: str, start: dt.date, end: dt.date) -
     return partitioned(sorted(out), start, end)
 
 
+#: Schemas of single files, by name, length and time of change; so many at most.
+KNOWN = 1000
+_schemas: dict[tuple, StructType] = {}
+
+
+def stamp_of(spark: SparkSession, paths: list[str]) -> tuple | None:
+    """What tells whether a single file has changed; None for folders, globs and several files."""
+    if len(paths) != 1 or re.search(r"[*?\[{]", paths[0]):
+        return None
+    p = spark._jvm.org.apache.hadoop.fs.Path(paths[0])
+    s = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    return (s.getPath().toString(), s.getLen(), s.getModificationTime()) if s.isFile() else None
+
+
 def load(spark: SparkSession, paths: list[str], kind: str | None = None) -> DataFrame:
     """Files, folders or globs of one format as one relation; columns that a file lacks are null there."""
     data = [p for p in paths if is_data(p)]
@@ -89,7 +103,14 @@ def load(spark: SparkSession, paths: list[str], kind: str | None = None) -> Data
     if form is None:
         raise QueryError(f"no reader for .{kind} files")
     if form == "parquet":
-        out = spark.read.option("recursiveFileLookup", True).parquet(*data)
+        reader, stamp = spark.read.option("recursiveFileLookup", True), stamp_of(spark, data)
+        if stamp in _schemas:  # an unchanged file: Spark needn't run a job for its footer
+            reader = reader.schema(_schemas[stamp])
+        out = reader.parquet(*data)
+        if stamp:
+            if len(_schemas) >= KNOWN:
+                _schemas.clear()
+            _schemas[stamp] = out.schema
     elif form == "orc":
         out = spark.read.option("recursiveFileLookup", True).orc(*data)
     elif form == "json":

@@ -66,3 +66,11 @@ def test_compressed_lines(spark, tmp_path):
     (tmp_path / "rows" / "b.jsonl.xz").write_bytes(lzma.compress(b'{"a": 3, "d": "x"}\n'))
     rows = Session(spark, str(tmp_path)).sql("SELECT a, b, d FROM rows ORDER BY a").collect()
     assert [tuple(r) for r in rows] == [(1, '{"c":2}', None), (2, None, None), (3, None, "x")]
+
+
+def test_a_file_that_changed_is_looked_at_again(spark, tmp_path):
+    s = Session(spark, str(tmp_path))
+    for n in (1, 2):
+        pq.write_table(pa.table({f"c{k}": [k, k] for k in range(n)}), tmp_path / "t.parquet")
+        for _ in range(2):
+            assert s.sql("SELECT * FROM t").columns == [f"c{k}" for k in range(n)] and s.sql("SELECT * FROM t").count() == 2
