@@ -134,7 +134,7 @@ def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     here = np.zeros(int(ids.max()) + 1, bool)
     here[ids] = True
     alphabet = np.flatnonzero(here)
-    return alphabet, (np.cumsum(here) - 1)[ids]
+    return alphabet, (np.cumsum(here, dtype=np.int32) - 1)[ids]
 
 
 def _most(bits: int) -> int:
@@ -147,17 +147,16 @@ def _stripes(n: int) -> int:
     return 1 << max(0, round(np.log2(max(n, 1) / STEPS)))
 
 
-def _encode_lanes(symbols: np.ndarray, alphabet: np.ndarray, bits: int, stripes: int) -> tuple[np.ndarray, np.ndarray]:
-    """symbols [lanes, steps] -> (words [lanes, most], counts)."""
-    lanes, steps = symbols.shape
+def _encode_lanes(columns: np.ndarray, alphabet: np.ndarray, bits: int, stripes: int) -> tuple[np.ndarray, np.ndarray]:
+    """columns of symbols [steps, lanes] -> (words [lanes, most], counts)."""
+    steps, lanes = columns.shape
     m = _Model(alphabet, bits, stripes)
     low, rng = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
     out = np.zeros((lanes, steps * TOTAL_BITS // 32 + 4), U)
     n = np.zeros(lanes, np.int64)
-    columns = np.ascontiguousarray(symbols.T)
     for t in range(steps):
         m.look()
-        sym = columns[t]
+        sym = columns[t].astype(np.int64)
         i = m.at1 + sym
         start = m.cum[i] * m.rest >> bits
         size = ((m.cum[i] + m.freq[i]) * m.rest >> bits) - start
@@ -196,7 +195,7 @@ def _decode_lanes(words: np.ndarray, first: np.ndarray, alphabet: np.ndarray, bi
     code = words[at] << U(32) | words[at + 1]
     at += 2
     rng = np.full(lanes, (1 << 64) - 1, U)
-    out = np.empty((steps, lanes), np.int64)
+    out = np.empty((steps, lanes), np.int32)
     table = None
     lane_table = m.block << bits
     for t in range(steps):
@@ -238,11 +237,12 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         alphabet, sym = _alphabet(x)
         stripes = _stripes(len(x))
         steps = -(-len(x) // stripes)
-        sym = np.pad(sym, (0, steps * stripes - len(x))).reshape(stripes, steps)
+        sym = np.pad(sym.astype(np.int32), (0, steps * stripes - len(x))).reshape(stripes, steps)
         todo.setdefault((steps, _bits(len(alphabet)), stripes), []).append((k, alphabet, sym))
     out: list[bytes] = [b""] * len(pieces)
     for (_, bits, stripes), group in todo.items():
-        words, n = _encode_lanes(np.concatenate([g[2] for g in group]), np.array([len(g[1]) for g in group]), bits, stripes)
+        columns = np.concatenate([g[2].T for g in group], 1)
+        words, n = _encode_lanes(columns, np.array([len(g[1]) for g in group]), bits, stripes)
         for j, (k, alphabet, _) in enumerate(group):
             lane = slice(j * stripes, (j + 1) * stripes)
             names = zlib.compress(np.diff(alphabet.astype(np.int64), prepend=0).astype("<u4").tobytes())

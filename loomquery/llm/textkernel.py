@@ -32,7 +32,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n (grown on demand, kept per process)."""
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 65536)
+        size = n + 65536
         for k, b in enumerate((_BASE, _BASE_INV)):
             out = np.full(size, b, np.uint64)
             out[0] = 1

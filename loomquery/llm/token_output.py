@@ -42,7 +42,9 @@ from loomquery.llm.shared import arrow_map, checkpoint, docs_of, fresh_path, par
 
 FILE = b"LQTF"
 TAIL = struct.Struct("<IQ4s")
-GROUP = 64 * BLOCK
+GROUP = 4 * BLOCK
+#: Bytes of text encoded at once.
+SLICE = 1 << 20
 _MARK, _WORD = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[33:127] = True
 _MARK[48:58] = _MARK[65:91] = _MARK[97:123] = False
@@ -203,7 +205,7 @@ class Encoder:
 
     def ids(self, texts: pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(all ids, counts by document) of stretches of texts, ``end`` behind each document."""
-        for _, _, t in K.slices(texts):
+        for _, _, t in K.slices(texts, SLICE):
             raw = t.buf.tobytes()
             start, stop, uptr, alone = self.units(t, raw)
             low = t.lowered() if self.folds else t
@@ -354,6 +356,7 @@ def write(docs: DataFrame, to: str, tokenizer: str, end: int, text: str = "text"
     rows = rows.sortWithinPartitions("id", "h", "ids").select("id", "width", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # the memory of a worker that has encoded before
         part = TaskContext.get().partitionId()
         system, folder = file_system(to)
         out, names, counts, sizes = None, [], [], []
