@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomquery.llm.shared import checkpoint, docs_of, written
+from loomquery.llm.shared import checkpoint, discard, docs_of, fresh_path, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 LEAF = ["dom", "lng", "src"]
@@ -120,8 +120,11 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], per
     ``percent``: budget as a share of all tokens. ``weights``: by level (domain,
     lang, source) and name.
     """
-    names = (text, doc_id, lang, source)
-    leaves = budgets(written(measured(docs, domain, *names), "measured"), weights, percent, max_epochs, seed)
+    spark, names = docs.sparkSession, (text, doc_id, lang, source)
+    path = fresh_path(spark, "measured")
+    measured(docs, domain, *names).write.parquet(path)
+    leaves = budgets(spark.read.parquet(path), weights, percent, max_epochs, seed)
+    discard(spark, path)
     keep = [c for c in docs.columns if c.lower() not in ("mix_domain", "mix_tokens", "mix_copies")]
     out = choose(measured(docs, domain, *names, keep=tuple(keep)), leaves, seed)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), F.col("dom").alias("mix_domain"), F.col("n").alias("mix_tokens"), F.col("copies").alias("mix_copies"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from loomquery.llm.corpus_pii import op7_corpus_pii
 from loomquery.llm.decontamination import op5_decontamination
 from loomquery.llm.jaccard_join import op9_jaccard_join
@@ -25,10 +24,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": OP6_SQL,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from loomquery.llm import decontamination, queries
 from test_corpus import brute_classes, brute_spans
 from test_models import brute_profile, raw_spans
@@ -178,6 +179,6 @@ def test_op10(spark, sf_dir):
 def test_every_query_takes_empty_tables(spark, sf_dir, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
-    for name, query in queries.QUERIES.items():
+    for name, query in {**queries.QUERIES, "pipeline": corpus_pipeline.run}.items():
         df = query(spark, str(tmp_path))
         assert df.count() == 0 and df.columns, name

@@ -458,6 +458,22 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert (n, crc) == (len(ids), zlib.crc32(ids.tobytes()))
 
 
+def test_pipeline_takes_odd_and_empty_tables(spark, tmp_path):
+    rows = [(None, "the same words of a text that has no id"), (None, None), (3, ""), (3, ""), (4, "the same words of a text that has no id"), (5, "x" * 50_000), (6, "other words of another text here"), (6, "other words of another text here")]
+    for name, own in (("odd", rows), ("none", [])):
+        d = tmp_path / name
+        frame(spark, own).selectExpr("*", "1 AS _row", "2 AS lang_pred", "3 AS dom", "4 AS id").write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+    got = sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect())
+    assert set(got) <= {4, 5, 6} and len(got) == len(set(got)) and corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.language(spark, spark.read.parquet(str(tmp_path / "odd" / "documents.parquet")), ""), "")
+    assert kept.columns == spark.read.parquet(str(tmp_path / "odd" / "documents.parquet")).columns
+
+
 def test_registry():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.QUERIES if k.startswith("op")} and "pipeline" in queries.QUERIES
-    assert len(corpus_pipeline.STAGES) == 5 and language_id.UNKNOWN == "und" and os.path.exists(corpus_pipeline.__file__)
+    import __spark_entry__
+
+    every = __spark_entry__.queries()
+    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.QUERIES if k.startswith("op")}
+    assert set(queries.QUERIES) < set(every) and every["pipeline"] is corpus_pipeline.run
+    assert len(corpus_pipeline.STAGES) == 5 and language_id.UNKNOWN == "und"
