@@ -248,7 +248,9 @@ class Session:
         t = tokenize(s)
         word = t[0].up
         if word in ("SELECT", "WITH", "VALUES") or t[0].text == "(":
-            q = self.translate(s, params=params if isinstance(params, dict) else None)
+            if params and not isinstance(params, dict):
+                params = {f"_p{i}": v for i, v in enumerate(params)}
+            q = self.translate(s, params=params)
             return self.spark.sql(q, args=params) if params else self.spark.sql(q)
         if word == "EXPLAIN":
             rest, analyze, form = s[t[0].end :].strip(), False, "TEXT"

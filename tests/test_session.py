@@ -206,3 +206,7 @@ def test_addresses_lists_and_strictness(spark, root, run):
         assert type(e.value).__module__ == "loomquery.errors", bad
     assert s.sql("SELECT a.name FROM $planets AS a INNER JOIN $planets AS b ON a.id = b.id ORDER BY a.name DESC").count() == 9 and s.sql("EXECUTE p").count() == 1
     assert len(s.sql("SHOW EXTENDED COLUMNS FROM $planets").columns) == 4
+
+
+def test_positional_parameters_have_types(run):
+    assert run("SELECT LENGTH(v) AS n, CAST(? AS VARCHAR) AS s, ? AS t FROM (SELECT SPLIT(?, ',') AS v) AS d FOR '2020-01-01' WHERE LENGTH(v) > ?", [1e20, "x", "a,b,c", 2]) == [(3, "1e+20", "x")]
