@@ -29,7 +29,7 @@ import numpy as np
 MAGIC = b"LQR2"
 BLOCK = 1 << 20
 STEPS = 1024
-RENEW = 64
+RENEW = 256
 TOTAL_BITS = 24
 TOTAL = 1 << TOTAL_BITS
 RUN = 7
@@ -66,8 +66,9 @@ class _Model:
         self.lane = [self.block * k for k in self.kinds]
         prior = np.array([1, 4, 8, 12, 14, 15, 15, 15])
         self.prior = [np.tile(prior, n), np.tile(np.minimum(prior + 2 * np.arange(RUN + 1)[:, None], 15).ravel(), n)]
-        self.run = np.zeros(n * stripes, np.int64)  # order 2's hits in a row, in eighths of its kinds
-        self.prev = np.zeros((2, n * stripes), np.int64)
+        self.run = self.lane[1].copy()  # order 2's hits in a row, in eighths of its kinds, from the block's first kind
+        self.prev = np.zeros(n * stripes, np.int64)
+        self.before = np.zeros(n * stripes, np.int64)  # of the id before that, its part of the hash
         self.log: list[tuple] = []
         self.steps = 0
         self.renew()
@@ -75,11 +76,11 @@ class _Model:
     def renew(self) -> None:
         """Shares and counts from all that was coded."""
         if self.log:
-            sym, k1, k2, h1, h2 = (np.concatenate(x) for x in zip(*self.log, strict=True))
-            self.count += np.bincount(np.tile(self.at1, len(self.log)) + sym, minlength=len(self.count))
-            for hits, k, h in ((self.hits[0], k1, h1), (self.hits[1], k2, h2)):
-                hits[0] += np.bincount(k, minlength=hits.shape[1])
-                hits[1] += np.bincount(k[h], minlength=hits.shape[1])
+            place, k1, k2 = (np.concatenate(x) for x in zip(*self.log, strict=True))
+            self.count += np.bincount(place, minlength=len(self.count))
+            for hits, k in ((self.hits[0], k1), (self.hits[1], k2)):
+                both = np.bincount(k, minlength=2 * hits.shape[1]).reshape(-1, 2)
+                hits += [both.sum(1), both[:, 1]]
             self.log = []
         # 1/1024ths of what is left
         share = [np.clip((hits[1] * 1024 + prior * 64) // (hits[0] + 16), 1, _most(self.bits)) for hits, prior in zip(self.hits, self.prior, strict=True)]
@@ -96,27 +97,29 @@ class _Model:
         self.freq = q
 
     def look(self) -> None:
-        a, b = self.prev
-        self.i1 = self.at1 + a
-        self.i2 = (a * 40503 + b * 30011 + (a >> 5) & (1 << self.hash) - 1) + self.at2
-        self.e1, self.e2 = self.one[self.i1], self.two[self.i2]
+        self.i1 = self.at1 + self.prev
+        self.i2 = (self.prev * 40503 + self.before & (1 << self.hash) - 1) + self.at2
+        self.e1, self.e2 = self.one.take(self.i1, mode="clip"), self.two.take(self.i2, mode="clip")
         self.c1, self.c2 = self.e1 >> 3, self.e2 >> 3
-        self.k1, self.k2 = (self.e1 & 7) + self.lane[0], (self.e2 & 7) + self.run + self.lane[1]
-        self.f2 = self.full2[self.k2]
-        self.f1 = (TOTAL - self.f2) * self.share1[self.k1] >> 10
+        self.s1, self.s2 = self.e1 & 7, self.e2 & 7
+        self.k1, self.k2 = self.s1 + self.lane[0], self.s2 + self.run
+        self.f2 = self.full2.take(self.k2, mode="clip")
+        self.f1 = (TOTAL - self.f2) * self.share1.take(self.k1, mode="clip") >> 10
         self.f12 = self.f1 + self.f2
         self.rest = TOTAL - self.f12
 
-    def learn(self, sym: np.ndarray) -> None:
-        h1, h2 = self.c1 == sym, self.c2 == sym
+    def learn(self, sym: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
+        """h1, h2: where the candidates of order 1 and 2 were right."""
         new = sym << 3
-        for table, at, entry, hit in ((self.one, self.i1, self.e1, h1), (self.two, self.i2, self.e2, h2)):
-            move = _MOVE[(entry & 7) + 8 * hit]  # confidence rises by one or halves; a doubtful candidate makes way
-            table[at] = np.where(move > -9, entry + move, new)
-        self.log.append((sym, self.k1, self.k2, h1, h2))
-        self.run = np.minimum(self.run + 8, 8 * RUN) * h2
-        self.prev[1] = self.prev[0]
-        self.prev[0] = sym
+        for table, at, entry, state, hit in ((self.one, self.i1, self.e1, self.s1, h1), (self.two, self.i2, self.e2, self.s2, h2)):
+            move = _MOVE.take(state + 8 * hit, mode="clip")  # confidence rises by one or halves; a doubtful candidate makes way
+            entry += move
+            np.copyto(entry, new, where=move < -8)
+            table[at] = entry
+        self.log.append((self.at1 + sym, 2 * self.k1 + h1, 2 * self.k2 + h2))
+        self.run = np.minimum(self.run - self.lane[1] + 8, 8 * RUN) * h2 + self.lane[1]
+        self.before = self.prev * 30011
+        self.prev = sym
         self.steps += 1
         if len(self.log) == RENEW or self.steps & self.steps - 1 == 0:
             self.renew()
@@ -152,38 +155,41 @@ def _encode_lanes(columns: np.ndarray, alphabet: np.ndarray, bits: int, stripes:
     steps, lanes = columns.shape
     m = _Model(alphabet, bits, stripes)
     low, rng = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
-    out = np.zeros((lanes, steps * TOTAL_BITS // 32 + 4), U)
+    out = np.zeros((steps * TOTAL_BITS // 32 + 4, lanes), U)
     n = np.zeros(lanes, np.int64)
     for t in range(steps):
         m.look()
         sym = columns[t].astype(np.int64)
         i = m.at1 + sym
-        start = m.cum[i] * m.rest >> bits
-        size = ((m.cum[i] + m.freq[i]) * m.rest >> bits) - start
+        cum = m.cum.take(i, mode="clip")
+        start = cum * m.rest >> bits
+        size = ((cum + m.freq.take(i, mode="clip")) * m.rest >> bits) - start
         start += m.f12
-        one = np.flatnonzero(m.c1 == sym)
-        start[one], size[one] = m.f2[one], m.f1[one]
-        two = np.flatnonzero(m.c2 == sym)
-        start[two], size[two] = 0, m.f2[two]
+        h1, h2 = m.c1 == sym, m.c2 == sym
+        np.copyto(start, m.f2, where=h1)
+        np.copyto(size, m.f1, where=h1)
+        np.copyto(start, 0, where=h2)
+        np.copyto(size, m.f2, where=h2)
         step = rng >> U(TOTAL_BITS)
         new = low + step * start.view(U)
         carry = np.flatnonzero(new < low)
         if len(carry):
-            out[carry, n[carry] - 1] += U(1)
+            out[n[carry] - 1, carry] += U(1)
         low, rng = new, step * size.view(U)
         w = np.flatnonzero(rng < U(1 << 32))
         if len(w):
-            out[w, n[w]] = low[w] >> U(32)
+            out[n[w], w] = low[w] >> U(32)
             n[w] += 1
             low[w] <<= U(32)
             rng[w] <<= U(32)
-        m.learn(sym)
+        m.learn(sym, h1, h2)
     for shift in (32, 0):
-        out[np.arange(lanes), n] = low >> U(shift) & U(0xFFFFFFFF)
+        out[n, np.arange(lanes)] = low >> U(shift) & U(0xFFFFFFFF)
         n += 1
-    for j in range(out.shape[1] - 1, 0, -1):
-        out[:, j - 1] += out[:, j] >> U(32)
-    return (out & U(0xFFFFFFFF)).astype(np.uint32), n
+    out = out[: n.max(initial=1)]
+    for j in range(len(out) - 1, 0, -1):
+        out[j - 1] += out[j] >> U(32)
+    return np.ascontiguousarray((out & U(0xFFFFFFFF)).astype(np.uint32).T), n
 
 
 def _decode_lanes(words: np.ndarray, first: np.ndarray, alphabet: np.ndarray, bits: int, steps: int, stripes: int) -> np.ndarray:
@@ -206,10 +212,11 @@ def _decode_lanes(words: np.ndarray, first: np.ndarray, alphabet: np.ndarray, bi
         v = np.minimum(code // step, U(TOTAL - 1)).view(np.int64)
         r = v - m.f12
         u = (((np.maximum(r, 0) + 1 << bits) - 1).view(U) // m.rest.view(U)).view(np.int64)
-        sym = table[lane_table + u].astype(np.int64)
+        sym = table.take(lane_table + u, mode="clip").astype(np.int64)
         i = m.at1 + sym
-        start = m.cum[i] * m.rest >> bits
-        size = ((m.cum[i] + m.freq[i]) * m.rest >> bits) - start
+        cum = m.cum.take(i, mode="clip")
+        start = cum * m.rest >> bits
+        size = ((cum + m.freq.take(i, mode="clip")) * m.rest >> bits) - start
         start += m.f12
         near = np.flatnonzero(r < 0)
         if len(near):
@@ -225,7 +232,7 @@ def _decode_lanes(words: np.ndarray, first: np.ndarray, alphabet: np.ndarray, bi
             at[w] += 1
             rng[w] <<= U(32)
         out[t] = sym
-        m.learn(sym)
+        m.learn(sym, m.c1 == sym, m.c2 == sym)
     return out.T
 
 

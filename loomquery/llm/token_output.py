@@ -176,10 +176,8 @@ class Encoder:
             return start, stop, wptr, alone
         buf = t.buf
         at = np.flatnonzero(_MARK[buf[stop - 1]])
-        middle, left = stop[at] - 1, np.arange(len(at))
-        while len(left):
-            left = left[(middle[left] > start[at[left]]) & _MARK[buf[middle[left] - 1]]]
-            middle[left] -= 1
+        other = np.append(-1, np.flatnonzero(~_MARK[buf]))
+        middle = np.maximum(other[np.searchsorted(other, stop[at]) - 1] + 1, start[at])  # behind the last byte that is no mark
         last, before = buf[np.maximum(middle - 1, 0)], buf[np.maximum(middle - 2, 0)]
         wide = (before == 0xC3) & (last >= 0x80) & ((last & 0xDF) != 0x97) & (middle - 2 >= start[at])  # but for the signs of multiplication and division
         two = (middle > start[at]) & (_WORD[last] | wide) & ~np.isin(at, alone)
@@ -236,11 +234,9 @@ class Encoder:
 def tails_of(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Length and last eight bytes of each chunk in a 64-bit number; chunks of one length, up to eight, get different ones."""
     padded = np.concatenate([np.zeros(8, np.uint8), buf])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[stop]  # the eight bytes before stop
-    last = np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64)
-    size = np.minimum(stop - start, 8).astype(np.uint64)
-    last &= np.where(size < 8, (np.uint64(1) << size * np.uint64(8)) - np.uint64(1), ~np.uint64(0))
-    return last + K.mix((stop - start).astype(np.uint64))
+    ending = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))  # the eight bytes before each place
+    size = stop - start
+    return (ending[stop] >> (64 - 8 * np.minimum(size, 8)).astype(np.uint64)) + K.mix(size.astype(np.uint64))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -325,9 +321,10 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, text: str = "text", doc_i
     """
     spark = docs.sparkSession
     n_parts = parts(spark)
-    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
+    key = F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h")
+    src = docs.select(*key, F.col(text).alias("t"))
     share = min(1.0, SAMPLED * n_parts / max(docs.count(), 1))
-    sent = spark.sparkContext.broadcast(Ranges.of([tuple(r) for r in src.select("id", "h").sample(share, 1).collect()], n_parts))
+    sent = spark.sparkContext.broadcast(Ranges.of([tuple(r) for r in docs.sample(share, 1).select(*key).collect()], n_parts))
 
     def run(b: pa.RecordBatch):
         at, e = 0, encoder(tokenizer)

@@ -376,7 +376,7 @@ def test_token_files_hold_the_tokenizers_ids(spark):
     tok = Tokenizer.from_file(path)  # as loaded
     rnd = random.Random(1)
     odd = ["".join(rnd.choice("abAB'sS.,!?é Éß 12́\x0b\x1c\xa0　字Σς\n\tİ<|>/re") for _ in range(rnd.randint(0, 40))) for _ in range(300)]
-    rows = corpus()[:60] + [(500 + i, t) for i, t in enumerate(odd)] + [(7, "again"), (7, "again"), (None, "no id"), (900, "<|endoftext|> it's WE'LL"), (901, None), (902, "x<|endoftext|>y a<|startoftext|> <|ENDOFTEXT|> don't<|"), (903, "longword" * 20_000)]
+    rows = corpus()[:60] + [(500 + i, t) for i, t in enumerate(odd)] + [(7, "again"), (7, "again"), (None, "no id"), (900, "<|endoftext|> it's WE'LL"), (901, None), (902, "x<|endoftext|>y a<|startoftext|> <|ENDOFTEXT|> don't<|"), (903, "longword" * 20_000), (904, "x" + "!?" * 50_000 + " 7" + "-" * 3000)]
     got = token_output.encode(frame(spark, rows), path).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     assert len(got) == len(rows)
