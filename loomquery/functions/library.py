@@ -230,22 +230,24 @@ def cast(x: str, name: str, args: list[str], kind: Kind, safe: bool = False, ele
 
 
 def shortest(x: str) -> str:
-    """The shortest text of a double: plain digits up to 1e16, then an exponent of two digits at least."""
-    raw = f"CAST({x} AS STRING)"
-
-    def rounded(n: int) -> tuple[str, str]:
-        cut = f"format_string('%.{n - 1}e', {x})"
-        return cut, f"concat(regexp_replace(regexp_replace(split({cut}, 'e')[0], '0+$', ''), '\\\\.$', '.0'), 'E', get(split({cut}, 'e'), 1))"
-
-    # the platform's text may have a digit or two too many
-    digits = f"length(regexp_replace(split({raw}, 'E')[0], '^[-0.]+|[.]', ''))"
-    (cut, sixteen), (_, seventeen) = rounded(16), rounded(17)
-    t = f"(CASE WHEN {digits} > 16 AND try_cast({cut} AS DOUBLE) = {x} THEN {sixteen} WHEN {digits} > 17 THEN {seventeen} ELSE {raw} END)"
-    plain = f"regexp_replace(regexp_replace(CAST(try_cast({t} AS DECIMAL(38, 22)) AS STRING), '0+$', ''), '\\\\.$', '.0')"
-    power = f"try_cast(get(split({t}, 'E'), 1) AS INT)"
-    far = f"concat(regexp_replace(split({t}, 'E')[0], '\\\\.0$', ''), if({power} < 0, 'e-', 'e+'), if(abs({power}) < 10, '0', ''), abs({power}))"
-    special = f"WHEN isnan({x}) THEN 'nan' WHEN {t} = 'Infinity' THEN 'inf' WHEN {t} = '-Infinity' THEN '-inf'"
-    return f"CASE {special} WHEN contains({t}, 'E') THEN CASE WHEN abs({x}) >= 1e-4D AND abs({x}) < 1e16D THEN {plain} ELSE {far} END ELSE {t} END"
+    """The shortest text of a double: plain digits up to 1e16, then an exponent of two digits at least.
+
+    Lambdas name the value v, the platform's text r (which may have a digit or
+    two too many) and the text t with as few as it takes, so each is made once.
+    """
+
+    def rounded(n: int) -> str:
+        cut = f"format_string('%.{n - 1}e', v)"
+        return f"concat(regexp_replace(regexp_replace(split({cut}, 'e')[0], '0+$', ''), '\\\\.$', '.0'), 'E', get(split({cut}, 'e'), 1))"
+
+    digits = "length(regexp_replace(split(r, 'E')[0], '^[-0.]+|[.]', ''))"
+    fewest = f"CASE WHEN length(r) < 17 THEN r WHEN {digits} > 16 AND try_cast(format_string('%.15e', v) AS DOUBLE) = v THEN {rounded(16)} WHEN {digits} > 17 THEN {rounded(17)} ELSE r END"
+    plain = "regexp_replace(regexp_replace(CAST(try_cast(t AS DECIMAL(38, 22)) AS STRING), '0+$', ''), '\\\\.$', '.0')"
+    power = "try_cast(get(split(t, 'E'), 1) AS INT)"
+    far = f"concat(regexp_replace(split(t, 'E')[0], '\\\\.0$', ''), if({power} < 0, 'e-', 'e+'), if(abs({power}) < 10, '0', ''), abs({power}))"
+    special = "WHEN t = 'NaN' THEN 'nan' WHEN t = 'Infinity' THEN 'inf' WHEN t = '-Infinity' THEN '-inf'"
+    out = f"CASE WHEN NOT rlike(t, '[EIN]') THEN t {special} WHEN abs(v) >= 1e-4D AND abs(v) < 1e16D THEN {plain} ELSE {far} END"
+    return f"transform(array(CAST({x} AS DOUBLE)), v -> transform(array(CAST(v AS STRING)), r -> transform(array({fewest}), t -> {out})[0])[0])[0]"
 
 
 for _n in ("INTEGER", "DOUBLE", "VARCHAR", "BOOLEAN", "DATE", "TIMESTAMP", "BLOB", "VARBINARY"):

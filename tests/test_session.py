@@ -92,6 +92,8 @@ def test_conversions(run):
     assert run("SELECT COALESCE(x, 2.0) AS a FROM (SELECT CAST('NaN' AS DOUBLE) AS x) AS t") == [(2.0,)]
     for v in (1e20, 1e16, 123456789.5, 1.5, 1e-5, 0.0001, 12345678.0, -2.5e-7, 1e22, 9007199254740993.0, 0.00012345, -1e15, 2.0**-24, 0.1 + 0.2, 2.0**-30 * 3, 1 / 3, 123456.78901234567, 2.0**57):
         assert run("SELECT CAST(x AS VARCHAR) AS s, x::VARCHAR AS t FROM (VALUES (CAST(:v AS DOUBLE))) AS t(x)", {"v": v}) == [(str(v), str(v))]
+    assert run("SELECT CAST(x AS VARCHAR) AS s, COUNT(*) AS n FROM (VALUES (1.5), (1.5), (NULL), (CAST('inf' AS DOUBLE))) AS t(x) GROUP BY CAST(x AS VARCHAR) ORDER BY s") == [("1.5", 2), ("inf", 1), (None, 1)]
+    assert run("SELECT CAST(SUM(x) AS VARCHAR) AS s FROM (VALUES (1e16), (1e16)) AS t(x)") == [("2e+16",)]
     assert run("SELECT CAST(1e20 AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS n, CAST(12 AS VARCHAR) AS i") == [("1e+20", None, "12")]
     assert run("SELECT CAST(x AS TIMESTAMP) AS a FROM (VALUES (1000000), (NULL)) AS t(x)") == [(dt.datetime(1970, 1, 1, 0, 0, 1),), (None,)]
     assert run("SELECT INTEGER(TIMESTAMP '1970-01-01 00:00:01') AS a, CAST(t AS INTEGER) AS b FROM (SELECT TIMESTAMP '1970-01-01 00:00:02' AS t) AS x") == [(1_000_000, 2_000_000)]
